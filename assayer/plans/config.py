@@ -146,7 +146,7 @@ def find_datasets(requests: DataFrame, datasets: DataFrame, table_column: str) -
 
 def parse_allowed(c: Column) -> Column:
     """A quoted comma list (``'A','B'``) as an array of its values."""
-    return F.transform(F.split(c, ","), lambda part: F.trim(F.lit("'"), F.trim(part)))
+    return F.transform(F.split(c, ","), lambda part: F.trim(F.trim(part), F.lit("'")))
 
 
 def coverage(datasets: DataFrame, mappings: DataFrame, rules: DataFrame) -> DataFrame:

@@ -102,7 +102,10 @@ def latest_balance(daily_balance: DataFrame) -> DataFrame:
 def account_summary(account: DataFrame, customer: DataFrame, transaction: DataFrame,
                     daily_balance: DataFrame, as_of: AsOf) -> DataFrame:
     """Transaction totals and current balance per account."""
-    zero = F.lit(0).cast("decimal(18,2)")
+    def or_zero(c: str) -> Column:
+        """0 for an account without transactions; NULL amounts stay NULL."""
+        return F.when(F.col("tx_rows").isNull(), 0).otherwise(F.col(c))
+
     return (
         account.join(_per_account(transaction), "account_id", "left")
         .join(latest_balance(daily_balance), "account_id", "left")
@@ -112,8 +115,8 @@ def account_summary(account: DataFrame, customer: DataFrame, transaction: DataFr
             "opening_balance", "opened_date",
             F.datediff(day(as_of), F.col("opened_date")).alias("account_age_days"),
             F.coalesce("tx", F.lit(0)).alias("total_transactions"),
-            F.coalesce("tx_deposits", zero).alias("total_deposits"),
-            F.coalesce("tx_withdrawals", zero).alias("total_withdrawals"),
+            or_zero("tx_deposits").alias("total_deposits"),
+            or_zero("tx_withdrawals").alias("total_withdrawals"),
             F.col("tx_sum").alias("net_transaction_amount"), "current_balance",
             F.col("dq_score").alias("account_dq_score"),
             F.col("is_valid").alias("account_is_valid"))

@@ -69,18 +69,27 @@ def read_bronze(spark: SparkSession, entity: str, path: str | Sequence[str], as_
 
 
 def load_errors(scan: DataFrame) -> DataFrame:
-    """Rows parsed and rows of a wrong width per file, with one example text."""
+    """Rows parsed and rows of a wrong width per file, with one example text.
+
+    The first field is counted too: the reader refuses scans that need nothing but
+    the text of broken rows.
+    """
     return scan.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("rows_parsed"),
+        F.count(scan.columns[0]).alias("rows_with_first_field"),
         F.count(CORRUPT).alias("error_count"),
         F.min(CORRUPT).alias("first_error"),
     )
 
 
 def read_json(spark: SparkSession, path: str | Sequence[str],
-              schema: T.StructType | None = None) -> DataFrame:
-    """JSON files whose outer array, if any, is stripped to one row per element."""
-    reader = spark.read.option("multiLine", True).option("encoding", "UTF-8")
+              schema: T.StructType | None = None, document_per_file: bool = False) -> DataFrame:
+    """JSON files; an outer array is stripped to one row per element.
+
+    A document per line lets Spark split large files; ``document_per_file`` reads a
+    whole file as one document.
+    """
+    reader = spark.read.option("multiLine", document_per_file).option("encoding", "UTF-8")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
