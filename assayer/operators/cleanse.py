@@ -182,6 +182,8 @@ def silver_from_bronze(bronze: DataFrame, entity: str, as_of: AsOf) -> DataFrame
     keyed = bronze.withColumns(typed_keys)
     for condition in present:
         keyed = keyed.where(condition)
-    tie_break = [c for c in bronze.columns if c not in ("load_timestamp", "source_file")]
+    # The first key is taken over as landed, so it cannot differ within a group.
+    settled = ("load_timestamp", "source_file", spec.keys[0])
+    tie_break = [c for c in bronze.columns if c not in settled]
     newest = latest_per_key(keyed, list(typed_keys), "load_timestamp", tie_break)
     return cleanse(newest.drop(*typed_keys), entity, as_of)

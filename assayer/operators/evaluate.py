@@ -17,27 +17,32 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.functions.clock import AsOf, days_before, start_of_day
 from assayer.operators import rules as r
 from assayer.operators.rules import RuleSpec
+from assayer.sources.tables import literal_rows
 
-# check_key NULL marks the dataset's own row-count line.
+# check_key NULL marks the frame's own row-count line.
 MEASURE_COLUMNS = (
     "check_key", "rows_in_scope", "total_records", "invalid_records", "error_message",
 )
 ParentLookup = Callable[[RuleSpec], "tuple[DataFrame, str] | None"]
 
+_LINES = T.StructType([
+    T.StructField("position", T.IntegerType()), T.StructField("check_key", T.StringType()),
+    T.StructField("base", T.StringType()), T.StructField("error_message", T.StringType()),
+])
 
-def _measure(key: str | None, scope: Column, total: Column, invalid: Column,
-             error: str | None = None) -> Column:
-    return F.struct(
-        F.lit(key).cast("string").alias("check_key"),
-        scope.cast("bigint").alias("rows_in_scope"),
-        total.cast("bigint").alias("total_records"),
-        F.coalesce(invalid.cast("bigint"), F.lit(0).cast("bigint")).alias("invalid_records"),
-        F.lit(error).cast("string").alias("error_message"),
-    )
+
+def _measured(counted: DataFrame, spec: RuleSpec) -> DataFrame:
+    """A measure line from one row of scope, total and error counts ``n``, ``t``, ``e``."""
+    return counted.withColumns({
+        "check_key": F.lit(spec.check_key), "error_message": F.lit(None).cast("string"),
+    }).selectExpr(
+        "check_key", "coalesce(n, 0L) AS rows_in_scope", "coalesce(t, 0L) AS total_records",
+        "coalesce(e, 0L) AS invalid_records", "error_message")
 
 
 def unresolved(df: DataFrame, spec: RuleSpec) -> str | None:
@@ -77,29 +82,34 @@ def evaluate(df: DataFrame, specs: Iterable[RuleSpec], as_of: AsOf,
 
 
 def _fused(df: DataFrame, specs: list[tuple[RuleSpec, str | None]], as_of: AsOf) -> DataFrame:
-    """One aggregate over one scan, turned into a row per check."""
-    n = F.col("n")
-    zero = F.lit(0)
-    measures = [F.count(F.lit(1)).alias("n")]
-    lines = [_measure(None, n, n, zero)]
-    for i, (spec, problem) in enumerate(specs):
+    """One aggregate over one scan; its array of error counts becomes a row per check."""
+    rows = F.count(F.lit(1))
+    zero = F.lit(0).cast("bigint")
+    errors, lines = [zero], [(0, None, "all", None)]
+    for position, (spec, problem) in enumerate(specs, start=1):
         kind = r.kind_of(spec)
-        slot = f"m{i}"
+        base = "one" if kind == r.LOAD_AGE else "all"
         if problem is not None:
-            lines.append(_measure(spec.check_key, n, zero, zero, problem))
-        elif kind == r.ROW:
-            measures.append(F.count_if(r.row_error(spec, as_of)).alias(slot))
-            lines.append(_measure(spec.check_key, n, n, F.col(slot)))
+            error, base = zero, "none"
         elif kind == r.VOLUME:
-            floor = spec.params.get("min_rows", 1)
-            lines.append(_measure(spec.check_key, n, n, (n < floor).cast("int")))
+            error = (rows < spec.params.get("min_rows", 1)).cast("bigint")
         elif kind == r.LOAD_AGE:
             newest = F.max(F.col(spec.column or "load_timestamp").cast("timestamp_ntz"))
-            measures.append(newest.alias(slot))
-            limit = days_before(as_of, spec.params.get("max_age_days", 1))
-            stale = F.coalesce(F.col(slot) < limit, F.lit(True))
-            lines.append(_measure(spec.check_key, n, F.lit(1), stale.cast("int")))
-    return df.agg(*measures).select(F.inline(F.array(*lines)))
+            fresh = newest >= days_before(as_of, spec.params.get("max_age_days", 1))
+            error = F.when(fresh, 0).otherwise(1).cast("bigint")
+        else:
+            error = F.count_if(r.row_error(spec, as_of))
+        errors.append(error)
+        lines.append((position, spec.check_key, base, problem))
+    counted = df.agg(rows.alias("n"), F.array(*errors).alias("errors"))
+    return (
+        counted.select("n", F.posexplode("errors").alias("position", "e"))
+        .join(literal_rows(df.sparkSession, lines, _LINES), "position")
+        .selectExpr(
+            "check_key", "n AS rows_in_scope",
+            "CASE base WHEN 'all' THEN n WHEN 'one' THEN 1L ELSE 0L END AS total_records",
+            "e AS invalid_records", "error_message")
+    )
 
 
 def _distinct(df: DataFrame, spec: RuleSpec) -> DataFrame:
@@ -108,10 +118,8 @@ def _distinct(df: DataFrame, spec: RuleSpec) -> DataFrame:
     complete = reduce(Column.__and__, [F.col(f"k{i}").isNotNull() for i in range(len(keys))])
     per_key = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(
         F.count(F.lit(1)).alias("copies"))
-    counted = per_key.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("n"), F.count_if(complete).alias("d"))
-    n = F.col("n")
-    return counted.select(F.inline(F.array(_measure(spec.check_key, n, n, n - F.col("d")))))
+    counted = per_key.agg(F.sum("copies").alias("n"), F.count_if(complete).alias("d"))
+    return _measured(counted.selectExpr("n", "n AS t", "n - d AS e"), spec)
 
 
 def child_counts(df: DataFrame, column: str) -> DataFrame:
@@ -135,13 +143,11 @@ def _foreign_key(df: DataFrame, spec: RuleSpec, parent: DataFrame, parent_key: s
     if spec.params.get("count_joined_rows"):
         copies = F.coalesce(F.col("parents"), F.lit(1))
     known = F.col("fk").isNotNull()
-    counted = matched.agg(
-        F.coalesce(F.sum("children"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(F.when(known, F.col("children") * copies)), F.lit(0)).alias("t"),
+    return _measured(matched.agg(
+        F.sum("children").alias("n"),
+        F.sum(F.when(known, F.col("children") * copies)).alias("t"),
         F.sum(F.when(known & F.col("pk").isNull(), F.col("children"))).alias("e"),
-    )
-    return counted.select(F.inline(F.array(
-        _measure(spec.check_key, F.col("n"), F.col("t"), F.col("e")))))
+    ), spec)
 
 
 def daily_volume(df: DataFrame, day_column: str, window_days: int = 7,
@@ -168,11 +174,9 @@ def _volume_trend(df: DataFrame, spec: RuleSpec) -> DataFrame:
     """Days whose row count strays from the moving average."""
     days = daily_volume(df, spec.column or "load_timestamp",
                         spec.params.get("window_days", 7), spec.params.get("tolerance", 0.5))
-    counted = days.agg(
-        F.coalesce(F.sum("row_count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("t"),
-        F.count_if("is_anomaly").alias("e"))
-    return counted.select(F.inline(F.array(
-        _measure(spec.check_key, F.col("n"), F.col("t"), F.col("e")))))
+    return _measured(days.agg(
+        F.sum("row_count").alias("n"), F.count(F.lit(1)).alias("t"),
+        F.count_if("is_anomaly").alias("e")), spec)
 
 
 def rows_since_midnight(df: DataFrame, column: str, as_of: AsOf) -> DataFrame:

@@ -1,50 +1,65 @@
 """Samples of the rows that break each check.
 
 All row rules of a dataset share one scan: a row is tagged with every check it
-breaks and each check keeps its first rows.  Spark applies that limit inside the
+breaks and each check keeps some of its rows.  Spark applies that limit inside the
 map tasks before shuffling, so a check that most rows break moves no more data
-than one that few rows break.
+than one that few rows break.  Where the number of failures per check is known, a
+frequent check is thinned at random first, so that little is left to rank.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.functions.clock import AsOf
 from assayer.operators import rules as r
-from assayer.operators.evaluate import ParentLookup, unresolved
+from assayer.operators.evaluate import ParentLookup, child_counts, unresolved
 from assayer.operators.rules import RuleSpec
+from assayer.sources.tables import literal_rows
 
 # Fixed value: documented sample size per check.
 SAMPLE_SIZE = 100
+# Rows expected to survive thinning, in sample sizes.  With 16 the chance of ending
+# up short of one sample of 100 is below 1e-500.
+SURPLUS = 16
+SEED = 20240130
 _OUT = ("check_key", "failed_record_pk", "failed_column_value", "row_context")
+_CHECKS = T.StructType([T.StructField("_check", T.IntegerType()),
+                        T.StructField("check_key", T.StringType())])
 
 
 def _text(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
 
 
-def _top(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    window = Window.partitionBy("check_key").orderBy(*order)
+def _top(df: DataFrame, group: str, order: Sequence[Column], limit: int) -> DataFrame:
+    window = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= limit).drop("_n")
 
 
 def failed_rows(df: DataFrame, specs: Iterable[RuleSpec], as_of: AsOf, key: Sequence[str],
-                parents: ParentLookup | None = None, limit: int = SAMPLE_SIZE) -> DataFrame:
-    """Up to ``limit`` failing records per check, smallest key first.
+                parents: ParentLookup | None = None, limit: int = SAMPLE_SIZE,
+                counts: Mapping[str, int] | None = None) -> DataFrame:
+    """Up to ``limit`` failing records per check.
 
     Row and foreign-key rules give failing rows with their whole content as JSON;
-    uniqueness rules give the repeated key values with their number of copies.
+    uniqueness rules give repeated key values with their number of copies.  Without
+    ``counts`` the records with the smallest keys are taken; with ``counts``
+    (failures per check key) row rules give random ones, which costs far less when
+    many rows fail.
     """
     specs = [s for s in specs if unresolved(df, s) is None]
+    if counts is not None:
+        specs = [s for s in specs if counts.get(s.check_key, 0) > 0]
     parts = []
     row_specs = [s for s in specs if r.kind_of(s) == r.ROW]
     if row_specs:
-        parts.append(_row_failures(df, row_specs, as_of, key, limit))
+        parts.append(_row_failures(df, row_specs, as_of, key, limit, counts))
     for spec in specs:
         if r.kind_of(spec) == r.DISTINCT:
             parts.append(_repeated_keys(df, spec, limit))
@@ -68,27 +83,41 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def _row_failures(df: DataFrame, specs: Sequence[RuleSpec], as_of: AsOf, key: Sequence[str],
-                  limit: int) -> DataFrame:
-    tags = F.array_compact(F.array(*[
-        F.when(r.row_error(s, as_of), F.struct(
-            F.lit(s.check_key).alias("check_key"),
-            (_text(s.columns()) if len(s.columns()) != 1
-             else F.col(s.columns()[0]).cast("string")).alias("_value")))
-        for s in specs]))
-    tagged = df.select(_text(key).alias("_pk"), F.struct("*").alias("_row"),
-                       F.inline(tags))
-    return _finish(_top(tagged, _by_key(df.columns), limit))
+                  limit: int, counts: Mapping[str, int] | None) -> DataFrame:
+    def tag(number: int, spec: RuleSpec) -> Column:
+        columns = spec.columns()
+        value = F.col(columns[0]).cast("string") if len(columns) == 1 else _text(columns)
+        broken = r.row_error(spec, as_of)
+        failing = counts.get(spec.check_key, 0) if counts else 0
+        if failing > SURPLUS * limit:
+            broken = broken & (F.rand(SEED + number) < SURPLUS * limit / failing)
+        return F.when(broken, F.struct(F.lit(number).alias("_check"), value.alias("_value")))
+
+    tags = F.array_compact(F.array(*[tag(i, s) for i, s in enumerate(specs)]))
+    tagged = df.select(_text(key).alias("_pk"), F.struct("*").alias("_row"), F.inline(tags))
+    order = _by_key(df.columns) if counts is None else [F.rand(SEED)]
+    names = literal_rows(df.sparkSession, [(i, s.check_key) for i, s in enumerate(specs)], _CHECKS)
+    return _finish(_top(tagged, "_check", order, limit).join(names, "_check"))
 
 
 def _orphans(df: DataFrame, spec: RuleSpec, key: Sequence[str], parent: DataFrame,
              parent_key: str, limit: int) -> DataFrame:
+    """Rows of the smallest key values that have no parent.
+
+    Orphaned values are found from one row per value; no more than ``limit`` of
+    them are sent to the scan that fetches their rows, so the rows stay in place.
+    """
+    known = parent.select(F.col(parent_key).alias("fk")).distinct()
+    orphaned = (
+        child_counts(df, spec.column).where("fk IS NOT NULL").join(known, "fk", "left_anti")
+        .select("fk").orderBy("fk").limit(limit)
+    )
     child = F.col(spec.column)
-    known = parent.select(F.col(parent_key).alias(spec.column)).distinct()
-    orphans = df.where(child.isNotNull()).join(known, spec.column, "left_anti").select(*df.columns)
-    tagged = orphans.select(
+    rows = df.join(F.broadcast(orphaned), child == F.col("fk"), "left_semi")
+    tagged = rows.select(
         F.lit(spec.check_key).alias("check_key"), child.cast("string").alias("_value"),
-        _text(key).alias("_pk"), F.struct("*").alias("_row"))
-    return _finish(_top(tagged, _by_key(df.columns), limit))
+        _text(key).alias("_pk"), F.struct(*df.columns).alias("_row"))
+    return _finish(_top(tagged, "check_key", _by_key(df.columns), limit))
 
 
 def _repeated_keys(df: DataFrame, spec: RuleSpec, limit: int) -> DataFrame:
@@ -96,10 +125,9 @@ def _repeated_keys(df: DataFrame, spec: RuleSpec, limit: int) -> DataFrame:
     missing = reduce(Column.__or__, [F.col(c).isNull() for c in columns])
     repeated = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")).where(
         (F.col("copies") > 1) | missing)
-    tagged = repeated.select(
+    return _finish(repeated.orderBy(*columns).limit(limit).select(
         F.lit(spec.check_key).alias("check_key"), _text(columns).alias("_pk"),
-        _text(columns).alias("_value"), F.struct("*").alias("_row"))
-    return _finish(_top(tagged, _by_key([*columns, "copies"]), limit))
+        _text(columns).alias("_value"), F.struct("*").alias("_row")))
 
 
 def describe_failures(sample: DataFrame, failures: DataFrame) -> DataFrame:

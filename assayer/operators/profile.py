@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from assayer.functions import scoring
 from assayer.functions.clock import AsOf, instant
+from assayer.sources.tables import literal_rows
 
 # Profile limits that results depend on.
 TEXT_LIMIT = 255
@@ -28,6 +29,15 @@ LOW_CARDINALITY, LOW_CARDINALITY_ROWS = 10, 10
 DIGEST_FROM = 64
 
 
+_REGISTRY = T.StructType([
+    T.StructField("database_name", T.StringType()), T.StructField("schema_name", T.StringType()),
+    T.StructField("table_name", T.StringType()), T.StructField("column_name", T.StringType()),
+    T.StructField("data_type", T.StringType()), T.StructField("is_nullable", T.BooleanType()),
+    T.StructField("ordinal_position", T.IntegerType()),
+    T.StructField("column_comment", T.StringType()),
+])
+
+
 def category(data_type: T.DataType) -> str:
     """numeric, string, date or other."""
     if isinstance(data_type, T.NumericType):
@@ -173,7 +183,4 @@ def schema_registry(tables: dict[tuple[str, str, str], DataFrame]) -> DataFrame:
     rows = [(*name, f.name, f.dataType.simpleString().upper(), f.nullable, i,
              f.metadata.get("comment"))
             for name, df in tables.items() for i, f in enumerate(df.schema.fields, start=1)]
-    return spark.createDataFrame(
-        rows, "database_name string, schema_name string, table_name string, column_name string, "
-        "data_type string, is_nullable boolean, ordinal_position int, column_comment string"
-    ).orderBy("schema_name", "table_name", "ordinal_position")
+    return literal_rows(spark, rows, _REGISTRY).orderBy("schema_name", "table_name", "ordinal_position")

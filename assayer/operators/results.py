@@ -12,6 +12,7 @@ from assayer import schemas
 from assayer.functions import scoring
 from assayer.functions.clock import AsOf, instant
 from assayer.operators.rules import RuleSpec
+from assayer.sources.tables import literal_rows
 
 _SPEC_FIELDS = T.StructType([
     T.StructField("check_key", T.StringType()), T.StructField("dataset_id", T.StringType()),
@@ -26,16 +27,17 @@ def spec_frame(spark: SparkSession, specs: Iterable[RuleSpec]) -> DataFrame:
     """Configured checks as a small frame to join measures with."""
     rows = [(s.check_key, s.dataset_id, s.column, s.rule_id, s.rule_name, s.rule_type,
              s.rule_level, float(s.threshold), float(s.weight)) for s in specs]
-    return spark.createDataFrame(rows, _SPEC_FIELDS).withColumns({
+    return literal_rows(spark, rows, _SPEC_FIELDS).withColumns({
         "threshold": F.col("threshold").cast("decimal(10,2)"),
         "weight": F.col("weight").cast("decimal(5,2)")})
 
 
 def _aligned(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Exactly the schema's columns and types; absent ones are NULL."""
-    return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schema.fields])
+    present = set(df.columns)
+    return df.selectExpr(*[
+        f"CAST({f.name if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) "
+        f"AS {f.name}" for f in schema.fields])
 
 
 def check_id(run_id: Column, check_key: Column) -> Column:

@@ -135,5 +135,5 @@ def kind_of(spec: RuleSpec) -> str | None:
 
 
 def row_error(spec: RuleSpec, as_of: AsOf) -> Column:
-    """True for rows that break a ``row`` rule, false otherwise (never NULL)."""
-    return F.coalesce(CATALOGUE[spec.rule_name].error(spec, as_of), F.lit(False))
+    """True for rows that break a ``row`` rule; NULL or false for the others."""
+    return CATALOGUE[spec.rule_name].error(spec, as_of)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +27,7 @@ from assayer.operators.rules import RuleSpec, rule
 from assayer.operators.summary import daily_summary, upsert_summary
 from assayer.plans import config, seeds
 from assayer.sources.tables import (
-    Registry, append, cut_lineage, read_if_exists, replace_partitions,
+    Registry, append, cut_lineage, literal_rows, read_if_exists, replace_partitions,
 )
 
 # Fixed value: column names accepted as an incremental watermark.
@@ -84,9 +84,21 @@ class CheckRun:
     def failures(self) -> DataFrame:
         return shape.failures(self.results)
 
-    def failed_records(self, keys: dict[str, Sequence[str]], limit: int = 100) -> DataFrame:
-        """Sampled failing records of the checks that failed or warned."""
-        samples = [failed_rows(df, specs, self.as_of, keys[dataset], self.parents, limit)
+    def invalid_counts(self) -> dict[str, int]:
+        """Failures per check of the checks that failed or warned (one row each)."""
+        rows = self.failures().select("dataset_id", "rule_name", "column_name",
+                                      "invalid_records").collect()
+        return {f"{x['dataset_id']}|{x['rule_name']}|{x['column_name'] or '*'}":
+                x["invalid_records"] for x in rows}
+
+    def failed_records(self, keys: dict[str, Sequence[str]], limit: int = 100,
+                       counts: dict[str, int] | None = None) -> DataFrame:
+        """Sampled failing records of the checks that failed or warned.
+
+        With :meth:`invalid_counts` as ``counts`` the sample is random and cheap,
+        without it takes the smallest keys.
+        """
+        samples = [failed_rows(df, specs, self.as_of, keys[dataset], self.parents, limit, counts)
                    for dataset, (df, specs) in self.sources.items() if dataset in keys]
         return describe_failures(reduce(DataFrame.unionByName, samples), self.failures())
 
@@ -177,7 +189,7 @@ def run_checks(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str
     if measures:
         measured = reduce(DataFrame.unionByName, measures)
     else:
-        measured = spark.createDataFrame([], T.StructType([
+        measured = literal_rows(spark, [], T.StructType([
             T.StructField("check_key", T.StringType()), T.StructField("rows_in_scope", T.LongType()),
             T.StructField("total_records", T.LongType()),
             T.StructField("invalid_records", T.LongType()),
@@ -231,7 +243,6 @@ def run_rule(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
                              f"rule_name={rule_name}, column={column}")
         spec = bound[0]
         if threshold is not None:
-            from dataclasses import replace
             spec = replace(spec, threshold=float(threshold))
     return _run_specs(registry, conf, as_of, run_id, dataset, [spec], "CUSTOM", triggered_by)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from assayer import schemas
 from assayer.functions.clock import AsOf
 from assayer.functions.scoring import RULE_TYPES
+from assayer.sources.tables import literal_rows
 
 # The configuration facts that check results depend on.
 RULES = (
@@ -218,7 +219,7 @@ LINEAGE = (
 def rules(spark: SparkSession) -> DataFrame:
     rows = [(i, name, kind, level, text, True, name not in WITHOUT_DEFINITION)
             for i, (name, kind, level, text) in enumerate(RULES, start=1)]
-    return spark.createDataFrame(rows, schemas.RULES)
+    return literal_rows(spark, rows, schemas.RULES)
 
 
 def datasets(spark: SparkSession, layers=("BRONZE",), incremental: dict[str, str] | None = None,
@@ -226,7 +227,7 @@ def datasets(spark: SparkSession, layers=("BRONZE",), incremental: dict[str, str
     watermark = incremental or {}
     rows = [(*row, True, watermark.get(row[0]), Decimal(sla))
             for row in BRONZE_DATASETS + SILVER_DATASETS if row[2] in layers]
-    return spark.createDataFrame(rows, schemas.DATASETS)
+    return literal_rows(spark, rows, schemas.DATASETS)
 
 
 def mappings(spark: SparkSession, layers=("BRONZE",)) -> DataFrame:
@@ -240,7 +241,7 @@ def mappings(spark: SparkSession, layers=("BRONZE",)) -> DataFrame:
             for dataset, columns in checks.items()
             for column, named in columns.items() for name, limit in named.items()]
     rows = [(i, *row, True) for i, row in enumerate(flat, start=1)]
-    return spark.createDataFrame(rows, schemas.MAPPINGS)
+    return literal_rows(spark, rows, schemas.MAPPINGS)
 
 
 def weights(spark: SparkSession, effective: AsOf = "2000-01-01") -> DataFrame:
@@ -248,12 +249,12 @@ def weights(spark: SparkSession, effective: AsOf = "2000-01-01") -> DataFrame:
     rows = [(kind, domain, Decimal(str(weight)), priority, start, None, True)
             for domain, values in WEIGHTS.items()
             for kind, (weight, priority) in zip(RULE_TYPES, values)]
-    return spark.createDataFrame(rows, schemas.WEIGHTS)
+    return literal_rows(spark, rows, schemas.WEIGHTS)
 
 
 def allowed_values(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*row, True) for row in ALLOWED_VALUES], schemas.ALLOWED_VALUES)
+    return literal_rows(spark, [(*row, True) for row in ALLOWED_VALUES], schemas.ALLOWED_VALUES)
 
 
 def lineage(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LINEAGE), schemas.LINEAGE)
+    return literal_rows(spark, list(LINEAGE), schemas.LINEAGE)

@@ -32,6 +32,8 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         .option("enforceSchema", True)
+        # A parser that skips unused fields cannot tell that a row has another width.
+        .option("columnPruning", False)
         .csv(path)
         .withColumn("source_file", F.col("_metadata.file_path"))
     )

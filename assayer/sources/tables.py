@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.utils import AnalysisException
 
 Loader = Callable[[], DataFrame]
@@ -38,6 +41,15 @@ class Registry:
         return self.spark.table(source)
 
 
+def literal_rows(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType) -> DataFrame:
+    """A small frame of given rows, held in the plan itself so that no task parses Python."""
+    columns = list(zip(*rows)) or [()] * len(schema.fields)
+    arrow = to_arrow_schema(schema)
+    table = pa.table([pa.array(values, field.type) for values, field in zip(columns, arrow)],
+                     schema=arrow)
+    return spark.createDataFrame(table, schema)
+
+
 def asset_id(*parts: Column) -> Column:
     """``DATABASE.SCHEMA.TABLE``; NULL when any part is NULL."""
     pieces = [x for part in parts for x in (F.lit("."), part)][1:]

@@ -471,8 +471,9 @@ def _sample_sql() -> str:
                     continue
                 if name == "CONSISTENCY_FOREIGN_KEY":
                     parent, pkey = PARENTS[column]
-                    bad = (f"{column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p "
-                           f"WHERE p.{pkey} = c.{column})")
+                    bad = (f"{column} IN (SELECT DISTINCT {column} FROM {table} WHERE {column} "
+                           f"IS NOT NULL AND {column} NOT IN (SELECT {pkey} FROM {parent} WHERE "
+                           f"{pkey} IS NOT NULL) ORDER BY {column} LIMIT 100)")
                 else:
                     bad = _error(name, column, limit)
                 parts.append(f"""SELECT * FROM ({head}, pk AS failed_record_pk,
@@ -490,10 +491,50 @@ WHERE check_status IN ('FAILED', 'WARNING') AND invalid_records > 0"""
 @query("failed_samples", ctes(["stg_customer", "stg_account", "stg_transaction"], _sample_sql()))
 def failed_samples(spark, sf_dir):
     """Up to 100 failing records per failed check, with key and value."""
-    run = run_checks(_registry(spark, sf_dir), Configuration.shipped(spark), AS_OF, "RUN")
-    return run.failed_records({"DS_BRONZE_ACCOUNT": ["account_id"],
-                               "DS_BRONZE_TRANSACTION": ["transaction_id"]}).select(
-        "dataset_id", "rule_name", "column_name", "failed_record_pk", "failed_column_value")
+    registry, conf = _registry(spark, sf_dir), Configuration.shipped(spark)
+    keys = {"DS_BRONZE_ACCOUNT": ["account_id"], "DS_BRONZE_TRANSACTION": ["transaction_id"]}
+    out = None
+    for dataset in keys:
+        run = run_checks(registry, conf, AS_OF, "RUN", dataset)
+        part = run.failed_records(keys).select(
+            "dataset_id", "rule_name", "column_name", "failed_record_pk", "failed_column_value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _failing_sql() -> str:
+    """Number of sampled records per failed row check: all failures up to 100."""
+    judged = _rated(_seeded(("DS_BRONZE_TRANSACTION",)))
+    return f"""SELECT rule_name, column_name, least(invalid_records, 100) AS sampled,
+       least(invalid_records, 100) AS failing
+FROM ({judged}) j WHERE check_status IN ('FAILED', 'WARNING') AND invalid_records > 0
+  AND rule_name NOT IN ('UNIQUENESS_PRIMARY_KEY', 'CONSISTENCY_FOREIGN_KEY')"""
+
+
+@query("failed_samples_random", ctes(["stg_account", "stg_transaction"], _failing_sql()))
+def failed_samples_random(spark, sf_dir):
+    """Random samples: their size, and how many of the sampled rows break their rule."""
+    run = run_checks(_registry(spark, sf_dir), Configuration.shipped(spark), AS_OF, "RUN",
+                     "DS_BRONZE_TRANSACTION")
+    records = run.failed_records({"DS_BRONZE_TRANSACTION": ["transaction_id"]},
+                                 counts=run.invalid_counts())
+    row_checks = records.where(
+        ~F.col("rule_name").isin("UNIQUENESS_PRIMARY_KEY", "CONSISTENCY_FOREIGN_KEY"))
+    value = F.col("failed_column_value")
+    breaks = (
+        F.when(F.col("rule_name") == "COMPLETENESS_CHECK", value.isNull())
+        .when(F.col("rule_name") == "VALIDITY_POSITIVE_NUMBER",
+              F.coalesce(value.try_cast("decimal(38,0)") <= 0, F.lit(True)))
+        .when(F.col("rule_name") == "VALIDITY_NUMERIC_FORMAT",
+              value.try_cast("decimal(38,0)").isNull())
+        .when(F.col("rule_name") == "VALIDITY_DATE_FORMAT", value.try_cast("date").isNull())
+        .when(F.col("rule_name") == "VALIDITY_DATE_RANGE",
+              F.coalesce(value.try_cast("date") > F.lit("2024-01-30").cast("date"), F.lit(True)))
+        .when(F.col("rule_name") == "FRESHNESS_DATA_RECENCY",
+              value.try_cast("date") < F.lit("2023-11-01").cast("date"))
+        .otherwise(~value.isin("Deposit", "Withdrawal", "Transfer", "Payment")))
+    return row_checks.groupBy("rule_name", "column_name").agg(
+        F.count(F.lit(1)).alias("sampled"), F.count_if(breaks).alias("failing"))
 
 
 @query("latest_results", ctes(["history"], """
