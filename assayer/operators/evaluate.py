@@ -25,6 +25,9 @@ from assayer.operators.rules import RuleSpec
 from assayer.sources.tables import literal_rows
 
 # check_key NULL marks the frame's own row-count line.
+# Checks per aggregate: beyond about a hundred result fields Spark stops generating
+# code for it, and a second pass over the needed columns is cheaper than that.
+CHECKS_PER_PASS = 90
 MEASURE_COLUMNS = (
     "check_key", "rows_in_scope", "total_records", "invalid_records", "error_message",
 )
@@ -78,15 +81,19 @@ def evaluate(df: DataFrame, specs: Iterable[RuleSpec], as_of: AsOf,
             separate.append(_volume_trend(df, spec))
         else:
             fused.append((spec, problem))
-    return reduce(DataFrame.unionByName, [_fused(df, fused, as_of), *separate])
+    passes = [_fused(df, fused[i:i + CHECKS_PER_PASS], as_of, with_scope=i == 0)
+              for i in range(0, max(len(fused), 1), CHECKS_PER_PASS)]
+    return reduce(DataFrame.unionByName, [*passes, *separate])
 
 
-def _fused(df: DataFrame, specs: list[tuple[RuleSpec, str | None]], as_of: AsOf) -> DataFrame:
+def _fused(df: DataFrame, specs: list[tuple[RuleSpec, str | None]], as_of: AsOf,
+           with_scope: bool = True) -> DataFrame:
     """One aggregate over one scan; its array of error counts becomes a row per check."""
     rows = F.count(F.lit(1))
     zero = F.lit(0).cast("bigint")
-    errors, lines = [zero], [(0, None, "all", None)]
-    for position, (spec, problem) in enumerate(specs, start=1):
+    errors = [zero] if with_scope else []
+    lines = [(0, None, "all", None)] if with_scope else []
+    for spec, problem in specs:
         kind = r.kind_of(spec)
         base = "one" if kind == r.LOAD_AGE else "all"
         if problem is not None:
@@ -99,8 +106,8 @@ def _fused(df: DataFrame, specs: list[tuple[RuleSpec, str | None]], as_of: AsOf)
             error = F.when(fresh, 0).otherwise(1).cast("bigint")
         else:
             error = F.count_if(r.row_error(spec, as_of))
+        lines.append((len(errors), spec.check_key, base, problem))
         errors.append(error)
-        lines.append((position, spec.check_key, base, problem))
     counted = df.agg(rows.alias("n"), F.array(*errors).alias("errors"))
     return (
         counted.select("n", F.posexplode("errors").alias("position", "e"))

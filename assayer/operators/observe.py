@@ -241,7 +241,8 @@ def lineage_listing(edges: DataFrame) -> DataFrame:
         .alias("upstream"),
         asset_id(*[F.col(f"downstream_{p}") for p in ("database", "schema", "table")])
         .alias("downstream"),
-        "lineage_type", "transformation_logic").orderBy("upstream", "downstream")
+        "lineage_type", "transformation_logic",
+    ).orderBy("upstream", "downstream", "lineage_type", "transformation_logic")
 
 
 def report_extract(daily: DataFrame, scope: str = "PLATFORM") -> DataFrame:

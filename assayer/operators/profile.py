@@ -1,6 +1,6 @@
 """Column profiles and the checks derived from them.
 
-All plain measures of all columns share one aggregate over one scan.  Exact
+Plain measures of the columns share an aggregate over one scan.  Exact
 distinct counts are the expensive part: several of them in one aggregate would
 copy every row once per column, so each column is grouped on its own, reading
 just that column and collapsing repeats in the map tasks.
@@ -27,6 +27,8 @@ LOW_CARDINALITY, LOW_CARDINALITY_ROWS = 10, 10
 # Texts from this length on are grouped by their SHA-256 digest, whose 64 hex
 # characters cannot equal a shorter text; whole values are hashed, never prefixes.
 DIGEST_FROM = 64
+# Columns per aggregate, which keeps it below the width where Spark stops generating code.
+COLUMNS_PER_PASS = 14
 
 
 _REGISTRY = T.StructType([
@@ -102,17 +104,26 @@ def _line(i: int, field: T.StructField, present: dict[str, Column]) -> Column:
     )
 
 
-def profile_columns(df: DataFrame, as_of: AsOf, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per column: counts, distinct values, range, moments, lengths, future dates."""
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+def _plain_measures(df: DataFrame, fields: Sequence[tuple[int, T.StructField]],
+                    as_of: AsOf) -> DataFrame:
+    """Everything but distinct counts of some columns, from one scan of them."""
     measures: dict[str, Column] = {}
-    for i, field in enumerate(fields, start=1):
+    for i, field in fields:
         measures |= _measures(i, field, as_of)
-    lines = [_line(i, field, measures) for i, field in enumerate(fields, start=1)]
-    plain = (
+    lines = [_line(i, field, measures) for i, field in fields]
+    return (
         df.agg(F.count(F.lit(1)).alias("n"), *[m.alias(name) for name, m in measures.items()])
         .select(F.inline(F.array(*lines)))
     )
+
+
+def profile_columns(df: DataFrame, as_of: AsOf, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per column: counts, distinct values, range, moments, lengths, future dates."""
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    numbered = list(enumerate(fields, start=1))
+    plain = reduce(DataFrame.unionByName, [
+        _plain_measures(df, numbered[i:i + COLUMNS_PER_PASS], as_of)
+        for i in range(0, len(numbered), COLUMNS_PER_PASS)])
     distinct = reduce(DataFrame.unionByName, [distinct_count(df, f) for f in fields])
     # Both sides have one row per column; grouping the union joins them.
     merged = plain.unionByName(distinct, allowMissingColumns=True)

@@ -165,8 +165,8 @@ def top_failure_types(results: DataFrame, period: Column, top: int = TOP_FAILURE
         F.sum("critical").alias("total_critical_issues"))
 
 
-def monthly_rollup(daily: DataFrame, results: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """Calendar months per dataset: range, volatility, SLA compliance, main failures."""
+def monthly_scores(daily: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Calendar months per dataset: scores, range, volatility, SLA compliance."""
     month = F.trunc("summary_date", "MM")
     months = daily.withColumn("month_start_date", month).groupBy(
         "month_start_date", "dataset_id", "table_name", "business_domain",
@@ -176,17 +176,23 @@ def monthly_rollup(daily: DataFrame, results: DataFrame, tolerance: float = 0.0)
         F.round(F.stddev_samp(F.col("dq_score").cast("double")), 2).alias("score_volatility"),
         scoring.share(F.count_if("is_sla_met"), F.count(F.lit(1))).alias("sla_compliance_pct"),
     )
-    failed = top_failure_types(results, F.trunc(F.to_date("check_timestamp"), "MM"))
     graded = _graded(months, "month_start_date", "prev_month_score", "score_change_pct", tolerance)
-    return graded.join(failed.withColumnRenamed("period", "month_start_date"),
-                       ["month_start_date", "dataset_id"], "left").withColumns({
+    return graded.withColumns({
         "month_id": F.date_format("month_start_date", "yyyy-MM"),
-        "month_end_date": F.last_day("month_start_date"),
-        "total_critical_issues": F.coalesce("total_critical_issues", F.lit(0))})
+        "month_end_date": F.last_day("month_start_date")})
+
+
+def monthly_rollup(daily: DataFrame, results: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Monthly scores with the main failure types and the number of critical failures."""
+    failed = top_failure_types(results, F.trunc(F.to_date("check_timestamp"), "MM"))
+    return monthly_scores(daily, tolerance).join(
+        failed.withColumnRenamed("period", "month_start_date"),
+        ["month_start_date", "dataset_id"], "left").withColumn(
+        "total_critical_issues", F.coalesce("total_critical_issues", F.lit(0)))
 
 
 def quarterly_rollup(daily: DataFrame, monthly: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """Quarters per dataset with their best and worst month."""
+    """Quarters per dataset with their best and worst month of the monthly scores."""
     def quarter(c: str) -> Column:
         return F.to_date(F.date_trunc("quarter", F.col(c)))
 

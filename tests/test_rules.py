@@ -160,3 +160,16 @@ def test_status_is_monotone_in_the_threshold(spark):
 def test_pass_rate_rounds_half_up(spark, total, invalid, rate):
     assert str(spark.range(1).select(
         pass_rate(F.lit(total), F.lit(invalid)).alias("r")).first()["r"]) == rate
+
+
+def test_more_checks_than_fit_one_pass(spark, monkeypatch):
+    from assayer.operators import evaluate as module
+    monkeypatch.setattr(module, "CHECKS_PER_PASS", 3)
+    names = ["COMPLETENESS_CHECK", "VALIDITY_EMAIL_FORMAT", "VALIDITY_DATE_FORMAT",
+             "VALIDITY_NUMERIC_FORMAT", "VALIDITY_COUNTRY_CODE", "VALIDITY_CURRENCY_CODE",
+             "VALIDITY_PHONE_FORMAT"]
+    specs = [rule(n, "x") for n in names] + [rule("COMPLETENESS_CHECK", "absent")]
+    rows = evaluate(_frame(spark, ["a", None]), specs, NOW).collect()
+    assert [r["check_key"] for r in rows].count(None) == 1
+    assert {r["check_key"]: r["invalid_records"] for r in rows if r["check_key"]} == {
+        s.check_key: int(s.column == "x") for s in specs}

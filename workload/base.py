@@ -69,9 +69,12 @@ def percent(part: str, whole: str) -> str:
 
 
 def change(current: str, previous: str) -> str:
-    """Relative change in percent of two scores in hundredths, half away from zero."""
-    diff = f"({current} - {previous})"
-    return (f"(sign({diff}) * ((2 * abs({diff}) * 10000 + {previous}) // (2 * {previous})) "
+    """Relative change in percent of two scores in hundredths, half away from zero.
+
+    NULL when the previous score is zero.
+    """
+    diff, base = f"({current} - {previous})", f"nullif({previous}, 0)"
+    return (f"(sign({diff}) * ((2 * abs({diff}) * 10000 + {base}) // (2 * {base})) "
             f"/ CAST(100 AS DOUBLE))")
 
 

@@ -219,8 +219,7 @@ FROM (SELECT {_scored('prev_quarter_score', 'score_improvement_pct')}, sla_compl
     _period(_QUARTER).replace("p AS (", "q AS (", 1)))
 def quarterly_rollup(spark, sf_dir):
     daily = _daily(spark, sf_dir)
-    monthly = summary.monthly_rollup(daily, derived(spark, sf_dir, "history"))
-    return summary.quarterly_rollup(daily, monthly)
+    return summary.quarterly_rollup(daily, summary.monthly_scores(daily))
 
 
 @query("report_extract", ctes(HISTORY, """
