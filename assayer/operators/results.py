@@ -23,6 +23,11 @@ _SPEC_FIELDS = T.StructType([
 ])
 
 
+# Check results with the key of the check and the rows its dataset had in scope.
+LINES = T.StructType([*schemas.CHECK_RESULTS.fields, T.StructField("check_key", T.StringType()),
+                      T.StructField("rows_in_scope", T.LongType())])
+
+
 def spec_frame(spark: SparkSession, specs: Iterable[RuleSpec]) -> DataFrame:
     """Configured checks as a small frame to join measures with."""
     rows = [(s.check_key, s.dataset_id, s.column, s.rule_id, s.rule_name, s.rule_type,
@@ -45,19 +50,20 @@ def check_id(run_id: Column, check_key: Column) -> Column:
     return F.sha2(F.concat_ws("|", run_id, check_key), 256)
 
 
-def shape_results(measures: DataFrame, specs: DataFrame, run_id: str, as_of: AsOf,
-                  empty_volume_passes: bool = False) -> DataFrame:
+def shape_lines(measures: DataFrame, specs: DataFrame, run_id: str, as_of: AsOf,
+                empty_volume_passes: bool = False) -> DataFrame:
     """Measures of one run with rate, status, reason and the parts of the dataset name.
 
     ``measures`` carries the scan columns of its dataset.  A check that could not
     run is an ERROR row; one with nothing to check in an incremental scan is
     SKIPPED.  Incremental datasets without rows in scope yield no rows at all.
+    Beside the checks there is a line per dataset with its rows in scope; it has
+    no check key.
     """
     total, invalid = F.col("total_records"), F.col("invalid_records")
     incremental = F.col("scan_scope") == "INCREMENTAL"
-    in_scope = measures.where(F.col("check_key").isNotNull()
-                              & (~incremental | (F.col("rows_in_scope") > 0)))
-    joined = in_scope.join(specs, "check_key")
+    in_scope = measures.where(~incremental | (F.col("rows_in_scope") > 0))
+    joined = in_scope.join(specs, "check_key", "left")
     is_error = F.col("error_message").isNotNull()
     empty_volume = (F.col("rule_type") == "VOLUME") & F.lit(not empty_volume_passes)
     rate = (
@@ -89,7 +95,12 @@ def shape_results(measures: DataFrame, specs: DataFrame, run_id: str, as_of: AsO
             scoring.failure_reason(F.col("check_status"), F.col("pass_rate"),
                                    F.col("threshold"), invalid, total, prefix)),
     })
-    return _aligned(shaped, schemas.CHECK_RESULTS)
+    return _aligned(shaped, LINES)
+
+
+def outcomes_of(lines: DataFrame) -> DataFrame:
+    """The checks of a run without its row-count lines."""
+    return lines.where("check_key IS NOT NULL").select(*schemas.CHECK_RESULTS.names)
 
 
 def config_error(spark: SparkSession, run_id: str, as_of: AsOf, dataset: dict, name: str,
@@ -107,8 +118,8 @@ def config_error(spark: SparkSession, run_id: str, as_of: AsOf, dataset: dict, n
         *[F.lit(0).alias(c) for c in ("total_records", "valid_records", "invalid_records",
                                       "pass_rate", "threshold")],
         F.lit(status).alias("check_status"), F.lit(reason).alias("failure_reason"),
-        F.lit(scope).alias("scan_scope"))
-    return _aligned(row, schemas.CHECK_RESULTS)
+        F.lit(scope).alias("scan_scope"), F.lit(name).alias("check_key"))
+    return _aligned(row, LINES)
 
 
 def recorded(outcomes: DataFrame) -> DataFrame:
@@ -127,37 +138,39 @@ def with_timing(results: DataFrame, elapsed_ms: float, checks: int) -> DataFrame
         "execution_credits": scoring.credits(each).cast("decimal(10,6)")})
 
 
-def run_control(outcomes: DataFrame, run_id: str, run_type: str, triggered_by: str, as_of: AsOf,
-                datasets: int, skipped_datasets: Column, rows_in_scope: DataFrame | None = None,
-                seconds: float | None = None) -> DataFrame:
-    """The run's record: status counters, rows and overall pass rate, as one row."""
+def run_control(lines: DataFrame, run_id: str, run_type: str, triggered_by: str, as_of: AsOf,
+                datasets: int, seconds: float | None = None) -> DataFrame:
+    """The run's record as one row: status counters, rows in scope, overall pass rate.
+
+    Checks and row-count lines are aggregated together, so the run is evaluated once.
+    """
     status = F.col("check_status")
-    checks = outcomes.where(F.coalesce(F.col("rule_type") != "CONFIGURATION", F.lit(True)))
-    counted = checks.agg(
-        F.count(F.lit(1)).alias("total_checks"),
-        F.count_if(status == "PASSED").alias("passed_checks"),
-        F.count_if(status == "FAILED").alias("failed_checks"),
-        F.count_if(status == "WARNING").alias("warning_checks"),
-        F.count_if(status.isin("ERROR", "SKIPPED")).alias("skipped_checks"),
-        F.coalesce(F.sum("total_records"), F.lit(0)).alias("records_processed"),
-        F.coalesce(F.sum("invalid_records"), F.lit(0)).alias("invalid_records"),
+    is_check = F.col("check_key").isNotNull() & (F.col("rule_type") != "CONFIGURATION")
+    is_scope = F.col("check_key").isNull()
+
+    def checks(condition: Column) -> Column:
+        return F.count_if(is_check & condition)
+
+    def total(name: str, condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col(name))), F.lit(0))
+
+    counted = lines.agg(
+        F.count_if(is_check).alias("total_checks"),
+        checks(status == "PASSED").alias("passed_checks"),
+        checks(status == "FAILED").alias("failed_checks"),
+        checks(status == "WARNING").alias("warning_checks"),
+        checks(status.isin("ERROR", "SKIPPED")).alias("skipped_checks"),
+        total("total_records", is_check).alias("records_processed"),
+        total("invalid_records", is_check).alias("invalid_records"),
+        total("rows_in_scope", is_scope).alias("total_rows_in_scope"),
+        F.count_if(is_scope).alias("total_datasets"),
     )
-    if rows_in_scope is not None:
-        scope = rows_in_scope.agg(
-            F.coalesce(F.sum("rows_in_scope"), F.lit(0)).alias("total_rows_in_scope"),
-            F.count(F.lit(1)).alias("datasets_with_rows"))
-        both = counted.unionByName(scope, allowMissingColumns=True)
-        counted = both.agg(*[F.max(c).alias(c) for c in both.columns])
-    else:
-        counted = counted.withColumns({"total_rows_in_scope": F.lit(None).cast("bigint"),
-                                       "datasets_with_rows": F.lit(datasets)})
     return _aligned(counted.withColumns({
         "run_id": F.lit(run_id), "run_type": F.lit(run_type),
         "triggered_by": F.lit(triggered_by), "start_ts": instant(as_of),
         "duration_seconds": F.lit(seconds),
         "run_status": run_status(F.col("failed_checks")),
-        "total_datasets": F.col("datasets_with_rows"),
-        "datasets_skipped": skipped_datasets,
+        "datasets_skipped": F.lit(datasets) - F.col("total_datasets"),
         "row_level_records_processed": F.col("total_rows_in_scope"),
         "pass_rate": F.coalesce(scoring.share(F.col("passed_checks"), F.col("total_checks")),
                                 F.lit(0)),

@@ -11,13 +11,12 @@ import re
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
-from functools import cached_property, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer import schemas
 from assayer.functions.clock import AsOf
 from assayer.operators import results as shape
 from assayer.operators.evaluate import ParentLookup, evaluate, rows_since_midnight
@@ -35,6 +34,15 @@ WATERMARK_NAME = r"[A-Za-z0-9_]+"
 _WATERMARK_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+_NO_MEASURES = T.StructType([
+    T.StructField("check_key", T.StringType()), T.StructField("rows_in_scope", T.LongType()),
+    T.StructField("total_records", T.LongType()), T.StructField("invalid_records", T.LongType()),
+    T.StructField("error_message", T.StringType()),
+    *[T.StructField(c, T.StringType()) for c in
+      ("database_name", "schema_name", "table_name", "scan_scope", "scan_reason")],
+    T.StructField("labelled", T.BooleanType())])
+
+
 @dataclass
 class Configuration:
     """The configuration tables of a deployment."""
@@ -57,29 +65,31 @@ class Configuration:
 
 @dataclass
 class CheckRun:
-    """One run's frames.  ``outcomes`` has every check, ``results`` the logged ones."""
+    """One run.  ``lines`` is its only evaluated frame; the others are cut from it."""
 
     run_id: str
     run_type: str
     triggered_by: str
     as_of: AsOf
-    outcomes: DataFrame
-    measures: DataFrame
+    lines: DataFrame
     datasets: int
     sources: dict[str, tuple[DataFrame, list[RuleSpec]]]
     parents: ParentLookup | None
 
-    @cached_property
+    @property
+    def outcomes(self) -> DataFrame:
+        """Every check, also those without anything to check."""
+        return shape.outcomes_of(self.lines)
+
+    @property
     def results(self) -> DataFrame:
+        """The checks that are logged."""
         return shape.recorded(self.outcomes)
 
     def control(self, seconds: float | None = None) -> DataFrame:
-        """The run record, with rows in scope per dataset."""
-        scope = self.measures.where("check_key IS NULL").select("scan_scope", "rows_in_scope")
-        counted = scope.where("scan_scope <> 'INCREMENTAL' OR rows_in_scope > 0")
-        skipped = F.lit(self.datasets) - F.col("datasets_with_rows")
-        return shape.run_control(self.outcomes, self.run_id, self.run_type, self.triggered_by,
-                                 self.as_of, self.datasets, skipped, counted, seconds)
+        """The run record."""
+        return shape.run_control(self.lines, self.run_id, self.run_type, self.triggered_by,
+                                 self.as_of, self.datasets, seconds)
 
     def failures(self) -> DataFrame:
         return shape.failures(self.results)
@@ -189,18 +199,11 @@ def run_checks(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str
     if measures:
         measured = reduce(DataFrame.unionByName, measures)
     else:
-        measured = literal_rows(spark, [], T.StructType([
-            T.StructField("check_key", T.StringType()), T.StructField("rows_in_scope", T.LongType()),
-            T.StructField("total_records", T.LongType()),
-            T.StructField("invalid_records", T.LongType()),
-            T.StructField("error_message", T.StringType()),
-            *[T.StructField(c, T.StringType()) for c in
-              ("database_name", "schema_name", "table_name", "scan_scope", "scan_reason")],
-            T.StructField("labelled", T.BooleanType())]))
-    outcomes = shape.shape_results(measured, shape.spec_frame(spark, specs), run_id, as_of)
-    outcomes = reduce(DataFrame.unionByName, problems, outcomes)
+        measured = literal_rows(spark, [], _NO_MEASURES)
+    lines = shape.shape_lines(measured, shape.spec_frame(spark, specs), run_id, as_of)
+    lines = reduce(DataFrame.unionByName, problems, lines)
     return CheckRun(run_id, "INCREMENTAL" if incremental else "FULL", triggered_by, as_of,
-                    outcomes, measured, len(datasets), sources, parents)
+                    lines, len(datasets), sources, parents)
 
 
 def profile_dataset(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
@@ -252,9 +255,8 @@ def _run_specs(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str
     df = registry.frame(dataset["dataset_id"])
     parents = _parent_lookup(registry, conf.foreign_keys)
     measured = _measure(df, specs, as_of, parents, dataset, "FULL", False, run_type)
-    outcomes = shape.shape_results(measured, shape.spec_frame(registry.spark, specs), run_id,
-                                   as_of)
-    return CheckRun(run_id, run_type, triggered_by, as_of, outcomes, measured, 1,
+    lines = shape.shape_lines(measured, shape.spec_frame(registry.spark, specs), run_id, as_of)
+    return CheckRun(run_id, run_type, triggered_by, as_of, lines, 1,
                     {dataset["dataset_id"]: (df, specs)}, parents)
 
 
@@ -278,8 +280,8 @@ def run_batch(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
     if not specs:
         reason = ("The specific rules selected for this schedule are no longer active." if chosen
                   else "No active custom rules found. Please configure rules.")
-        run.outcomes = shape.config_error(registry.spark, run_id, as_of, dataset,
-                                          "SCHEDULER_CONFIG_CHECK", "WARNING", reason, None)
+        run.lines = shape.config_error(registry.spark, run_id, as_of, dataset,
+                                       "SCHEDULER_CONFIG_CHECK", "WARNING", reason, None)
     return run
 
 
@@ -309,6 +311,18 @@ def run_scan(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
     return done
 
 
+def execute_or_record(spark: SparkSession, build: Callable[[], CheckRun], root: str,
+                      datasets: DataFrame, run_id: str, run_type: str, as_of: AsOf,
+                      triggered_by: str = "spark", fallback_dir: str | None = None) -> DataFrame:
+    """Build and execute a run; one that cannot be carried out leaves a FAILED record."""
+    try:
+        return execute(build(), root, datasets, fallback_dir)
+    except Exception as error:  # noqa: BLE001 - whatever the cause, the run must be recorded
+        record = shape.failed_run(spark, run_id, run_type, triggered_by, as_of, str(error))
+        append(record, f"{root}/run_control")
+        return record
+
+
 def execute(run: CheckRun, root: str, datasets: DataFrame,
             fallback_dir: str | None = None, scheme: str = "full") -> DataFrame:
     """Compute a run once, append its tables below ``root`` and return its record.
@@ -317,11 +331,9 @@ def execute(run: CheckRun, root: str, datasets: DataFrame,
     results, failures, run record and summary all read that copy.
     """
     started = time.monotonic()
-    spark = run.outcomes.sparkSession
-    run.measures = cut_lineage(run.measures, fallback_dir)
-    run.outcomes = cut_lineage(run.outcomes, fallback_dir)
+    spark = run.lines.sparkSession
+    run.lines = cut_lineage(run.lines, fallback_dir)
     seconds = time.monotonic() - started
-    run.__dict__.pop("results", None)
     checks = run.outcomes.count()
     timed = shape.with_timing(run.results, seconds * 1000, checks).withColumn(
         "check_date", F.to_date("check_timestamp"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.plans.runs import (
-    Configuration, execute, run_batch, run_checks, run_rule, run_scan, watermark_problem,
+    Configuration, execute, execute_or_record, run_batch, run_checks, run_rule, run_scan, watermark_problem,
 )
 from assayer.sources.tables import Registry
 from tests import planted
@@ -231,3 +231,17 @@ def test_execute_is_idempotent_per_day(spark, tmp_path):
     again = spark.read.parquet(f"{root}/daily_summary")
     assert again.count() == 3
     assert again.where(F.col("dataset_id") == "DS_BRONZE_TESTING").first()["total_checks"] == 6
+
+
+def test_failed_run_is_recorded(spark, tmp_path):
+    conf, registry = planted.configuration(spark), planted.registry(spark)
+    root = str(tmp_path / "results")
+    record = execute_or_record(
+        spark, lambda: run_checks(registry, conf, NOW, "R9", "DS_NONE"), root, conf.datasets, "R9",
+        "FULL", NOW).first()
+    assert (record["run_status"], record["error_message"]) == ("FAILED", "No active datasets found")
+    done = execute_or_record(
+        spark, lambda: run_checks(registry, conf, NOW, "R10", "DS_BRONZE_TESTING"), root,
+        conf.datasets, "R10", "FULL", NOW).first()
+    assert done["run_status"] == "COMPLETED_WITH_FAILURES"
+    assert spark.read.parquet(f"{root}/run_control").count() == 2

@@ -123,7 +123,8 @@ def _checked(spark, sf_dir, tables: dict) -> object:
             **{c: F.lit(c.upper()) for c in ("database_name", "schema_name", "table_name")},
             "scan_scope": F.lit("FULL"), "scan_reason": F.lit("BASELINE"),
             "labelled": F.lit(False)})
-        part = shape.shape_results(measured, shape.spec_frame(spark, specs), "RUN", AS_OF)
+        part = shape.outcomes_of(
+            shape.shape_lines(measured, shape.spec_frame(spark, specs), "RUN", AS_OF))
         out = part if out is None else out.unionByName(part)
     return out.select(*RESULT)
 
