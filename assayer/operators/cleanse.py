@@ -143,7 +143,10 @@ def cleanse(bronze: DataFrame, entity: str, as_of: AsOf) -> DataFrame:
     for condition in spec.invalid[1:]:
         valid = valid.when(condition, False)
     points = sum((F.when(ok, weight).otherwise(0) for weight, ok in spec.score), F.lit(0))
-    errors = F.array_compact(F.array(*[F.when(broken, text) for broken, text in spec.messages]))
+    # Joined one-element arrays stay in generated code; compacting an array would not.
+    none = F.array().cast("array<string>")
+    errors = F.concat(*[F.when(broken, F.array(F.lit(text))).otherwise(none)
+                        for broken, text in spec.messages])
     key_present = spec.columns[spec.keys[0]].isNotNull()
     for key in spec.keys[1:]:
         key_present = key_present & spec.columns[key].isNotNull()

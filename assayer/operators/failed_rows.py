@@ -37,7 +37,7 @@ def _text(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
 
 
-def _top(df: DataFrame, group: str, order: Sequence[Column], limit: int) -> DataFrame:
+def _top(df: DataFrame, group: str, order: Sequence[Column | str], limit: int) -> DataFrame:
     window = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= limit).drop("_n")
 
@@ -70,10 +70,8 @@ def failed_rows(df: DataFrame, specs: Iterable[RuleSpec], as_of: AsOf, key: Sequ
     return reduce(DataFrame.unionByName, parts)
 
 
-def _by_key(columns: Sequence[str]) -> list[Column]:
-    """Key first, then the whole row, so that the choice is repeatable."""
-    return [F.col("_pk").asc_nulls_first(),
-            *[F.col(f"_row.{c}").asc_nulls_first() for c in columns]]
+# Key first, then the whole row, so that the choice is repeatable.
+_BY_KEY = ("_pk", "_row")
 
 
 def _finish(df: DataFrame) -> DataFrame:
@@ -93,9 +91,12 @@ def _row_failures(df: DataFrame, specs: Sequence[RuleSpec], as_of: AsOf, key: Se
             broken = broken & (F.rand(SEED + number) < SURPLUS * limit / failing)
         return F.when(broken, F.struct(F.lit(number).alias("_check"), value.alias("_value")))
 
-    tags = F.array_compact(F.array(*[tag(i, s) for i, s in enumerate(specs)]))
-    tagged = df.select(_text(key).alias("_pk"), F.struct("*").alias("_row"), F.inline(tags))
-    order = _by_key(df.columns) if counts is None else [F.rand(SEED)]
+    # Dropping the empty tags after the generator keeps all of this in generated code,
+    # which compacting the array first would not.
+    tags = F.array(*[tag(i, s) for i, s in enumerate(specs)])
+    tagged = df.select(_text(key).alias("_pk"), F.struct("*").alias("_row"), F.inline(tags)
+                       ).where("_check IS NOT NULL")
+    order = _BY_KEY if counts is None else [F.rand(SEED)]
     names = literal_rows(df.sparkSession, [(i, s.check_key) for i, s in enumerate(specs)], _CHECKS)
     return _finish(_top(tagged, "_check", order, limit).join(names, "_check"))
 
@@ -117,7 +118,7 @@ def _orphans(df: DataFrame, spec: RuleSpec, key: Sequence[str], parent: DataFram
     tagged = rows.select(
         F.lit(spec.check_key).alias("check_key"), child.cast("string").alias("_value"),
         _text(key).alias("_pk"), F.struct(*df.columns).alias("_row"))
-    return _finish(_top(tagged, "check_key", _by_key(df.columns), limit))
+    return _finish(_top(tagged, "check_key", _BY_KEY, limit))
 
 
 def _repeated_keys(df: DataFrame, spec: RuleSpec, limit: int) -> DataFrame:
