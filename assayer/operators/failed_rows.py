@@ -32,6 +32,10 @@ _OUT = ("check_key", "failed_record_pk", "failed_column_value", "row_context")
 _CHECKS = T.StructType([T.StructField("_check", T.IntegerType()),
                         T.StructField("check_key", T.StringType())])
 
+_EXPECTED = T.StructType([T.StructField("check_key", T.StringType()),
+                          T.StructField("expected_pattern", T.StringType()),
+                          T.StructField("actual_value_type", T.StringType())])
+
 
 def _text(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
@@ -111,10 +115,10 @@ def _orphans(df: DataFrame, spec: RuleSpec, key: Sequence[str], parent: DataFram
     known = parent.select(F.col(parent_key).alias("fk")).distinct()
     orphaned = (
         child_counts(df, spec.column).where("fk IS NOT NULL").join(known, "fk", "left_anti")
-        .select("fk").orderBy("fk").limit(limit)
+        .select(F.col("fk").alias("_fk")).orderBy("_fk").limit(limit)
     )
     child = F.col(spec.column)
-    rows = df.join(F.broadcast(orphaned), child == F.col("fk"), "left_semi")
+    rows = df.join(F.broadcast(orphaned), child == F.col("_fk"), "left_semi")
     tagged = rows.select(
         F.lit(spec.check_key).alias("check_key"), child.cast("string").alias("_value"),
         _text(key).alias("_pk"), F.struct(*df.columns).alias("_row"))
@@ -131,8 +135,16 @@ def _repeated_keys(df: DataFrame, spec: RuleSpec, limit: int) -> DataFrame:
         _text(columns).alias("_value"), F.struct("*").alias("_row")))
 
 
-def describe_failures(sample: DataFrame, failures: DataFrame) -> DataFrame:
-    """Failing records with the classification of their check."""
+def expectations(df: DataFrame, specs: Iterable[RuleSpec]) -> DataFrame:
+    """Expected value and actual column type of each check of a frame."""
+    types = {f.name.lower(): f.dataType.simpleString() for f in df.schema.fields}
+    rows = [(s.check_key, r.expected(s), types.get((s.column or "").lower())) for s in specs]
+    return literal_rows(df.sparkSession, rows, _EXPECTED)
+
+
+def describe_failures(sample: DataFrame, failures: DataFrame, expected: DataFrame) -> DataFrame:
+    """Failing records with the classification and the expectation of their check."""
     named = failures.withColumn("check_key", F.concat_ws(
         "|", "dataset_id", "rule_name", F.coalesce("column_name", F.lit("*"))))
-    return named.join(sample, "check_key").drop("check_key", "invalid_records")
+    return (named.join(expected, "check_key", "left").join(sample, "check_key")
+            .drop("check_key", "invalid_records"))

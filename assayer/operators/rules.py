@@ -120,6 +120,33 @@ CATALOGUE: dict[str, RuleKind] = {
 }
 
 
+def expected(spec: RuleSpec) -> str | None:
+    """What a valid value looks like, for the records of failing rows."""
+    def one_of(values) -> str:
+        return "one of " + ", ".join(values)
+
+    texts: dict[str, Callable[[], str]] = {
+        "COMPLETENESS_CHECK": lambda: "NOT NULL",
+        "COMPLETENESS_CRITICAL_COLUMNS": lambda: "NOT NULL",
+        "UNIQUENESS_PRIMARY_KEY": lambda: "UNIQUE",
+        "UNIQUENESS_COMPOSITE_KEY": lambda: "UNIQUE",
+        "VALIDITY_EMAIL_FORMAT": lambda: p.EMAIL_PATTERN,
+        "VALIDITY_PHONE_FORMAT": lambda: p.PHONE_PATTERN,
+        "VALIDITY_DATE_FORMAT": lambda: "a date",
+        "VALIDITY_NUMERIC_FORMAT": lambda: "a number",
+        "VALIDITY_POSITIVE_NUMBER": lambda: "a number > 0",
+        "VALIDITY_NON_NEGATIVE_NUMBER": lambda: "a number >= 0",
+        "VALIDITY_ALLOWED_VALUES": lambda: one_of(spec.params.get("allowed", ())),
+        "VALIDITY_DATE_RANGE": lambda: f"a date from {p.EARLIEST_DATE} to today",
+        "VALIDITY_COUNTRY_CODE": lambda: one_of(p.COUNTRIES),
+        "VALIDITY_CURRENCY_CODE": lambda: one_of(spec.params.get("allowed", p.CURRENCIES)),
+        "FRESHNESS_DATA_RECENCY": lambda: f"at most {_max_age(spec)} days old",
+        "CONSISTENCY_FOREIGN_KEY": lambda: "an existing parent key",
+        "CONSISTENCY_LOGICAL_RELATIONSHIP": lambda: spec.params["holds"],
+    }
+    return texts[spec.rule_name]() if spec.rule_name in texts else None
+
+
 def rule(name: str, column: str | None = None, threshold: float = 90.0,
          dataset_id: str = "", **params: Any) -> RuleSpec:
     """A catalogue rule bound by hand, for ad-hoc checks and tests."""

@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 from assayer.functions.clock import AsOf
 from assayer.operators import results as shape
 from assayer.operators.evaluate import ParentLookup, evaluate, rows_since_midnight
-from assayer.operators.failed_rows import describe_failures, failed_rows
+from assayer.operators.failed_rows import (
+    describe_failures, expectations, failed_rows,
+)
 from assayer.operators.profile import profile_checks, profile_columns
 from assayer.operators.rules import RuleSpec, rule
 from assayer.operators.summary import daily_summary, upsert_summary
@@ -108,9 +110,12 @@ class CheckRun:
         With :meth:`invalid_counts` as ``counts`` the sample is random and cheap,
         without it takes the smallest keys.
         """
-        samples = [failed_rows(df, specs, self.as_of, keys[dataset], self.parents, limit, counts)
-                   for dataset, (df, specs) in self.sources.items() if dataset in keys]
-        return describe_failures(reduce(DataFrame.unionByName, samples), self.failures())
+        sampled = {d: source for d, source in self.sources.items() if d in keys}
+        samples = [failed_rows(df, specs, self.as_of, keys[d], self.parents, limit, counts)
+                   for d, (df, specs) in sampled.items()]
+        expected = [expectations(df, specs) for df, specs in sampled.values()]
+        return describe_failures(reduce(DataFrame.unionByName, samples), self.failures(),
+                                 reduce(DataFrame.unionByName, expected))
 
 
 def _parent_lookup(registry: Registry, foreign_keys: dict[str, tuple[str, str]]) -> ParentLookup:

@@ -185,6 +185,8 @@ def test_failed_records(spark):
         assert [(r["failed_record_pk"], r["failed_column_value"]) for r in emails] == [
             ("C012", "a$test.com")]
         assert json.loads(emails[0]["row_context"])["created_at"] == "2025-01-01"
+        assert (emails[0]["actual_value_type"], emails[0]["expected_pattern"][:3]) == (
+            "string", "^[A")
         assert emails[0]["failure_type"] == "INVALID_FORMAT" and not emails[0]["is_critical"]
         assert sorted(r["failed_record_pk"] for r in
                       found["DS_BRONZE_TESTING", "COMPLETENESS_CHECK"]) == ["C003", "C005"]

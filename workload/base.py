@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayer.sources.tables import shared_dir
 from workload.staging import duck_cte
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,12 @@ def _plain(field: T.StructField) -> Column:
     return c
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for queries that write files and read them back."""
+    root = shared_dir(spark, "/tmp/assayer-checkpoints")
+    return f"{root}/workload-{name}-{uuid.uuid4().hex}"
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Result columns as text, whole numbers, doubles and booleans."""
     return df.select(*[_plain(f) for f in df.schema.fields])

@@ -8,9 +8,11 @@ from assayer.operators import results as shape
 from assayer.operators.evaluate import daily_volume, evaluate
 from assayer.operators.rules import rule
 from assayer.plans import seeds
-from assayer.plans.runs import Configuration, run_batch, run_checks, run_rule
+from assayer.plans.runs import (
+    Configuration, execute, profile_dataset, run_batch, run_checks, run_rule, run_scan,
+)
 from assayer.sources.tables import Registry
-from workload.base import ctes, percent, query
+from workload.base import ctes, fresh_dir, half_up, percent, query
 from workload.silver import (
     CURRENCIES, EMAIL, ENTITIES, KINDS, KYC, MOVES, PHONE, STATES, silver, silver_sql,
 )
@@ -345,6 +347,45 @@ def rule_batch(spark, sf_dir):
     return run.results.select(*RESULT)
 
 
+@query("rule_profile_dataset", ctes(STAGES, _rated(_seeded(("DS_BRONZE_DAILY_BALANCE",)))))
+def rule_profile_dataset(spark, sf_dir):
+    """All configured checks of one dataset."""
+    run = profile_dataset(_registry(spark, sf_dir), Configuration.shipped(spark), AS_OF, "RUN",
+                          "DS_BRONZE_DAILY_BALANCE")
+    return run.results.select(*RESULT)
+
+
+@query("scan_dispatch_checks", ctes(STAGES, _rated(_seeded(("DS_BRONZE_FX_RATE",)))))
+def scan_dispatch_checks(spark, sf_dir):
+    """A scan of type "checks" runs the dataset's rules and no profile."""
+    done = run_scan(_registry(spark, sf_dir), Configuration.shipped(spark), AS_OF, "RUN",
+                    "DS_BRONZE_FX_RATE", "checks")
+    assert set(done) == {"checks"}
+    return done["checks"].results.select(*RESULT)
+
+
+@query("executed_run", ctes(STAGES, f"""
+SELECT '2024-01-30' AS summary_date, dataset_id, CAST(count(*) AS BIGINT) AS total_checks,
+       CAST(count(*) FILTER (WHERE check_status = 'PASSED') AS BIGINT) AS passed_checks,
+       CAST(count(*) FILTER (WHERE check_status = 'FAILED') AS BIGINT) AS failed_checks,
+       {half_up('sum(round(pass_rate * 100))', 'count(*)')} AS dq_score,
+       CAST(sum(total_records) AS BIGINT) AS total_records,
+       CAST(sum(invalid_records) AS BIGINT) AS failed_records_count, 'RUN_2' AS last_run_id
+FROM (SELECT * FROM ({_rated(_seeded(("DS_BRONZE_CUSTOMER", "DS_BRONZE_ACCOUNT")))}) a
+      UNION ALL
+      SELECT * FROM ({_rated(_seeded(("DS_BRONZE_CUSTOMER", "DS_BRONZE_ACCOUNT")))}) b) checks
+GROUP BY dataset_id"""))
+def executed_run(spark, sf_dir):
+    """Two runs of one day written to result tables, and the day's summary read back."""
+    conf, root = Configuration.shipped(spark), fresh_dir(spark, "runs")
+    for run_id in ("RUN_1", "RUN_2"):
+        run = run_checks(_registry(spark, sf_dir), conf, AS_OF, run_id, mode="CRITICAL_ONLY")
+        execute(run, root, conf.datasets)
+    return spark.read.parquet(f"{root}/daily_summary").select(
+        "summary_date", "dataset_id", "total_checks", "passed_checks", "failed_checks",
+        "dq_score", "total_records", "failed_records_count", "last_run_id")
+
+
 _SILVER_ALLOWED = {
     "kyc_status": "('VERIFIED','PENDING','REJECTED','EXPIRED','NOT_STARTED')",
     "account_type": "('SAVINGS','CHECKING','CREDIT','INVESTMENT','LOAN')",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +13,7 @@ from assayer.operators.upsert import (
     replace_by_key, upsert, upsert_counts, with_surrogate_keys,
 )
 from assayer.sources import bronze, tables
-from workload.base import ctes, query
+from workload.base import ctes, fresh_dir, query
 from workload.silver import ENTITIES, silver, silver_sql
 from workload.staging import AS_OF, derived, source
 
@@ -27,16 +25,11 @@ KEYS = {"customer": ["customer_id"], "account": ["account_id"],
 TOKENS = "('NULL','null','','N/A','NA','n/a','-')"
 
 
-def _fresh_dir(spark: SparkSession, sf_dir: str, name: str) -> str:
-    root = tables.shared_dir(spark, "/tmp/assayer-checkpoints")
-    return f"{root}/workload-{name}-{uuid.uuid4().hex}"
-
-
 def _written_csv(spark: SparkSession, sf_dir: str, entity: str, defects: dict) -> str:
     """The entity's rows as delimited files, some values replaced by null tokens."""
     names = schemas.BRONZE_FILES[entity].names
     df = derived(spark, sf_dir, f"stg_{entity}")
-    path = _fresh_dir(spark, sf_dir, entity)
+    path = fresh_dir(spark, entity)
     (df.select(*[defects.get(c, F.col(c)).alias(c) for c in names])
      .write.option("header", True).option("emptyValue", "").csv(path))
     return path
@@ -78,7 +71,7 @@ def _ragged(spark: SparkSession, sf_dir: str) -> str:
             .when(F.col("transaction_type") == "Payment", F.concat_ws(",", *fields[:-1]))
             .otherwise(F.concat_ws(",", *fields)))
     header = ",".join(schemas.BRONZE_FILES["transaction"].names)
-    path = _fresh_dir(spark, sf_dir, "ragged")
+    path = fresh_dir(spark, "ragged")
     df.select(line.alias(header)).write.option("header", True).option("quote", "").csv(
         path, sep="\u0001")
     return path
@@ -124,7 +117,7 @@ SELECT event_type, CAST(count(*) AS BIGINT) AS row_count,
 GROUP BY event_type""")
 def json_scan(spark, sf_dir):
     """JSON documents whose outer array is stripped."""
-    path = _fresh_dir(spark, sf_dir, "json")
+    path = fresh_dir(spark, "json")
     events = source(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     events.select(F.to_json(F.array(F.struct("event_id", "event_type", "value"))).alias("value")
                   ).write.text(path)
@@ -142,7 +135,7 @@ SELECT batch AS load_batch_id, CAST(count(*) AS BIGINT) AS row_count,
 FROM stg_account, (VALUES ('BATCH_A'), ('BATCH_B')) batches(batch) GROUP BY batch"""))
 def load_append_batches(spark, sf_dir):
     """Loading the same rows twice appends a second batch."""
-    path = _fresh_dir(spark, sf_dir, "batches")
+    path = fresh_dir(spark, "batches")
     df = derived(spark, sf_dir, "stg_account").drop("load_batch_id")
     for batch in ("BATCH_A", "BATCH_B"):
         tables.append(df.withColumn("load_batch_id", F.lit(batch)), path, "load_batch_id",
@@ -157,7 +150,7 @@ SELECT load_batch_id, CAST(count(*) AS BIGINT) AS row_count,
 FROM stg_account GROUP BY load_batch_id"""))
 def replace_partitions(spark, sf_dir):
     """Truncate-and-reload of single partitions leaves the others alone."""
-    path = _fresh_dir(spark, sf_dir, "partitions")
+    path = fresh_dir(spark, "partitions")
     df = derived(spark, sf_dir, "stg_account").withColumn("version", F.lit(1))
     tables.overwrite(df, path, "load_batch_id")
     again = df.where("load_batch_id = 'BATCH_F'").withColumn("version", F.lit(2))
@@ -171,7 +164,7 @@ SELECT CAST(count(DISTINCT c_mktsegment) AS BIGINT) AS segments, TRUE AS all_siz
 FROM customer""")
 def file_listing(spark, sf_dir):
     """Listing of a landing folder with one sub-folder per market segment."""
-    path = _fresh_dir(spark, sf_dir, "listing")
+    path = fresh_dir(spark, "listing")
     source(spark, sf_dir, "customer").repartition("c_mktsegment").write.partitionBy(
         "c_mktsegment").csv(path)
     listed = bronze.list_files(spark, path)

@@ -267,7 +267,7 @@ def _cfg_weights(q) -> str:
     start = q.plus_days("DATE '2024-01-20'", "min(p_size)")
     return f"""
     SELECT rule_type, business_domain, CAST(max(p_size) * 0.05 AS DECIMAL(5,2)) AS weight,
-           1 + count(*) % 4 AS priority, {start} AS effective_date,
+           1 + CAST(floor(max(p_size) / 13) AS BIGINT) AS priority, {start} AS effective_date,
            CASE WHEN rule_type = 'UNIQUENESS' THEN DATE '2024-01-29'
                 WHEN rule_type = 'VALIDITY' THEN DATE '2024-12-31' END AS expiry_date,
            TRUE AS is_active
