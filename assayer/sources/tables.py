@@ -62,7 +62,8 @@ def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
     A cluster names it in ``spark.checkpoint.dir``; ``fallback`` serves sessions
     that leave it unset, such as tests.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = (spark.conf.get("spark.checkpoint.dir", None)
+                  or spark.sparkContext.getCheckpointDir())
     if configured:
         return configured
     if fallback is None:

@@ -173,3 +173,17 @@ def test_more_checks_than_fit_one_pass(spark, monkeypatch):
     assert [r["check_key"] for r in rows].count(None) == 1
     assert {r["check_key"]: r["invalid_records"] for r in rows if r["check_key"]} == {
         s.check_key: int(s.column == "x") for s in specs}
+
+
+def test_hot_keys_collapse_before_the_shuffle(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).selectExpr("CAST(id % 3 AS STRING) AS x").write.parquet(path)
+    df = spark.read.parquet(path)
+    for spec in (rule("UNIQUENESS_PRIMARY_KEY", "x"), rule("CONSISTENCY_FOREIGN_KEY", "x")):
+        out = evaluate(df, [spec], NOW, lambda s: (df, "x"))
+        lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        keyed = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+        assert keyed
+        # The operator that feeds each keyed shuffle has already collapsed equal keys.
+        assert all("HashAggregate(keys=[" in lines[i + 1] for i in keyed)
+        assert any("partial_count" in lines[i + 1] for i in keyed)
