@@ -109,9 +109,9 @@ def latest_rule_ids(rules: DataFrame) -> DataFrame:
     return rules.where("is_active").groupBy("rule_name").agg(F.max("rule_id").alias("rule_id"))
 
 
-def map_by_name(spark_rows: DataFrame, rules: DataFrame) -> DataFrame:
+def map_by_name(named: DataFrame, rules: DataFrame) -> DataFrame:
     """Turn (dataset, rule name, column, threshold) rows into mappings with rule ids."""
-    return spark_rows.join(latest_rule_ids(rules), "rule_name")
+    return named.join(latest_rule_ids(rules), "rule_name")
 
 
 def selected_rule_ids(custom_config: str | None) -> list[int]:

@@ -165,12 +165,14 @@ def _qualified(dataset: dict) -> str:
 
 def run_checks(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
                dataset_id: str | None = None, rule_type: str | None = None, mode: str = "FULL",
-               incremental: bool = False, triggered_by: str = "spark") -> CheckRun:
+               incremental: bool = False, triggered_by: str = "spark",
+               empty_volume_passes: bool = False) -> CheckRun:
     """Run the configured checks of all, one or only the critical datasets.
 
     With ``incremental`` a dataset with a watermark column is limited to the rows
     of ``as_of``'s day and left out when there are none; a bad watermark becomes
-    an ERROR row.  Datasets without one are scanned in full.
+    an ERROR row.  Datasets without one are scanned in full.  An empty table fails
+    its volume check unless ``empty_volume_passes``.
     """
     spark = registry.spark
     chosen = config.resolve_datasets(conf.datasets, dataset_id, mode)
@@ -205,7 +207,8 @@ def run_checks(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str
         measured = reduce(DataFrame.unionByName, measures)
     else:
         measured = literal_rows(spark, [], _NO_MEASURES)
-    lines = shape.shape_lines(measured, shape.spec_frame(spark, specs), run_id, as_of)
+    lines = shape.shape_lines(measured, shape.spec_frame(spark, specs), run_id, as_of,
+                              empty_volume_passes)
     lines = reduce(DataFrame.unionByName, problems, lines)
     return CheckRun(run_id, "INCREMENTAL" if incremental else "FULL", triggered_by, as_of,
                     lines, len(datasets), sources, parents)

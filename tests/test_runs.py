@@ -118,6 +118,10 @@ def test_empty_table_fails_the_volume_check(spark):
     found = _by_check(run.results)
     assert found["DS_STG_CUSTOMER_TEST", "VOLUME_ROW_COUNT_THRESHOLD", None] == (
         0, 1, "0.00", "FAILED")
+    lenient = run_checks(registry, planted.configuration(spark), NOW, "R1",
+                         "DS_STG_CUSTOMER_TEST", empty_volume_passes=True)
+    assert _by_check(lenient.results)["DS_STG_CUSTOMER_TEST", "VOLUME_ROW_COUNT_THRESHOLD",
+                                      None] == (0, 1, "100.00", "PASSED")
 
 
 def test_no_active_dataset(spark):

@@ -9,7 +9,7 @@ from assayer.operators.profile import profile_columns
 from workload.base import ctes, query
 from workload.q_profile import _profile
 from workload.q_summary import HISTORY, daily_sql
-from workload.staging import AS_OF, HISTORY_AS_OF, derived, source
+from workload.staging import AS_OF, HISTORY_AS_OF, derived
 
 WEEK_AGO = f"TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY"
 RECENT = f"TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY"
