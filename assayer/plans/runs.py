@@ -321,10 +321,10 @@ def run_scan(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
 
 def execute_or_record(spark: SparkSession, build: Callable[[], CheckRun], root: str,
                       datasets: DataFrame, run_id: str, run_type: str, as_of: AsOf,
-                      triggered_by: str = "spark", fallback_dir: str | None = None) -> DataFrame:
+                      triggered_by: str = "spark") -> DataFrame:
     """Build and execute a run; one that cannot be carried out leaves a FAILED record."""
     try:
-        return execute(build(), root, datasets, fallback_dir)
+        return execute(build(), root, datasets)
     except Exception as error:  # noqa: BLE001 - whatever the cause, the run must be recorded
         record = shape.failed_run(spark, run_id, run_type, triggered_by, as_of, str(error))
         append(record, f"{root}/run_control")
@@ -332,7 +332,7 @@ def execute_or_record(spark: SparkSession, build: Callable[[], CheckRun], root:
 
 
 def execute(run: CheckRun, root: str, datasets: DataFrame,
-            fallback_dir: str | None = None, scheme: str = "full") -> DataFrame:
+            scheme: str = "full") -> DataFrame:
     """Compute a run once, append its tables below ``root`` and return its record.
 
     The evaluated checks (one row each) are written to the shared folder first, so
@@ -340,7 +340,7 @@ def execute(run: CheckRun, root: str, datasets: DataFrame,
     """
     started = time.monotonic()
     spark = run.lines.sparkSession
-    run.lines = cut_lineage(run.lines, fallback_dir)
+    run.lines = cut_lineage(run.lines)
     seconds = time.monotonic() - started
     checks = run.outcomes.count()
     timed = shape.with_timing(run.results, seconds * 1000, checks).withColumn(
@@ -348,7 +348,7 @@ def execute(run: CheckRun, root: str, datasets: DataFrame,
     append(timed, f"{root}/check_results", "check_date", ("table_name",))
     append(run.failures().withColumn("detected_date", F.to_date("detected_ts")),
            f"{root}/failed_checks", "detected_date", ("table_name",))
-    control = cut_lineage(run.control(seconds), fallback_dir)
+    control = cut_lineage(run.control(seconds))
     append(control, f"{root}/run_control")
 
     today = F.to_date(F.lit(str(run.as_of)).cast("timestamp_ntz"))
@@ -357,6 +357,6 @@ def execute(run: CheckRun, root: str, datasets: DataFrame,
     existing = read_if_exists(spark, f"{root}/daily_summary")
     merged = fresh if existing is None else upsert_summary(
         existing.where(F.col("summary_date") == today), fresh)
-    replace_partitions(cut_lineage(merged, fallback_dir), f"{root}/daily_summary", "summary_date",
+    replace_partitions(cut_lineage(merged), f"{root}/daily_summary", "summary_date",
                        ("table_name",))
     return control

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -56,25 +58,25 @@ def asset_id(*parts: Column) -> Column:
     return F.concat(*pieces)
 
 
-def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; ``fallback`` serves sessions
-    that leave it unset, such as tests.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a session that runs in one
+    process, such as a test, may leave it unset and gets a temporary folder.
     """
     configured = (spark.conf.get("spark.checkpoint.dir", None)
                   or spark.sparkContext.getCheckpointDir())
     if configured:
         return configured
-    if fallback is None:
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir is not set")
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="assayer-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written copy."""
-    shared_dir(df.sparkSession, fallback)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -43,8 +43,7 @@ def _plain(field: T.StructField) -> Column:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, for queries that write files and read them back."""
-    root = shared_dir(spark, "/tmp/assayer-checkpoints")
-    return f"{root}/workload-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/workload-{name}-{uuid.uuid4().hex}"
 
 
 def plain(df: DataFrame) -> DataFrame:
