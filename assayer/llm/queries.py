@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, chat, langid
+from assayer.llm import bpe, chat, langid, mixing, urls
 from assayer.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,42 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(langid.learning_rows(docs)))
+
+
+# Size classes are bit lengths; a slice of a large class and the offset of a source are digests.
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+classed AS (SELECT *, length(bin(size)) AS class, count(*) OVER (PARTITION BY source, length(bin(size))) AS n FROM sized),
+sliced AS (
+  SELECT *, CASE WHEN n <= 50000 THEN 0 ELSE CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
+    % CAST(ceil(n / 50000) AS BIGINT) END AS slice FROM classed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, slice, size, doc_id) AS k FROM sliced),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+listed AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS position FROM totals),
+weighed AS (SELECT *, [5, 2, 1][position % 3 + 1] AS weight, 3 * source_size AS most FROM listed),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, position
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY most / weight, position ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+goals AS (SELECT source, source_size, least(CAST(most AS DOUBLE), weight * max(level) OVER ()) AS target FROM levels),
+rated AS (
+  SELECT p.doc_id, p.source, p.size, g.source_size, g.target, p.k,
+    CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
+    (CAST('0x' || substr(md5('mix|' || coalesce(p.source, '')), 1, 8) AS BIGINT) % 1023 + CAST(0.5 AS DOUBLE)) / 1024 AS shift
+  FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source),
+counted AS (SELECT *, CAST(floor(shift + rate * k) - floor(shift + rate * (k - 1)) AS BIGINT) AS copies FROM rated)
+SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM counted
+"""
+
+
+@query("op7_mix_systematic", MIX_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op8_url_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
