@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, chat, langid, mixing, urls
+from assayer.llm import bpe, chat, exact_dedup, langid, mixing, topk, urls
 from assayer.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,36 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_url_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+DEDUP_SQL = """
+WITH lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM lowered WINDOW same AS (PARTITION BY t)
+"""
+
+
+@query("op1_exact_block_naming", DEDUP_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(exact_dedup.with_rows(table(spark, sf_dir, "documents"))).drop("row")
+
+
+TOPK_SQL = """
+WITH usable AS (
+  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op2_topk_pivot_table", TOPK_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "pmod(vec_id, 20) = 0")
