@@ -67,13 +67,18 @@ def to_pivots(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
+def exact_type(queries: np.ndarray, vectors: np.ndarray, dim: int) -> type:
+    """The smallest type in which every sum of products of these integers is exact."""
+    top = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(dim, 1)
+    return np.float32 if top < 2 ** 23 else np.float64 if top < 2 ** 52 else object
+
+
 def products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact integer products; in floating point where every sum stays exact there."""
-    top = float(np.abs(query).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(len(query), 1)
-    if top < 2 ** 52:
-        return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    sums = vectors.astype(object) @ query.astype(object)
-    return np.array([min(max(int(x), -2 ** 63), 2 ** 63 - 1) for x in sums], np.int64)
+    """Products in the exact type both are given in; longs stop at their limits."""
+    sums = vectors @ query
+    if sums.dtype == object:
+        sums = np.array([min(max(int(x), -2 ** 63), 2 ** 63 - 1) for x in sums], object)
+    return sums
 
 
 def best(query_id: int, query: np.ndarray, bounds: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
@@ -85,24 +90,25 @@ def best(query_id: int, query: np.ndarray, bounds: np.ndarray, ids: np.ndarray,
     open_ = np.flatnonzero(ids != query_id)
     if len(open_) > FIRST:
         open_ = open_[np.argpartition(bounds[open_], FIRST)]
-        now, later = open_[:FIRST], open_[FIRST:]
-    else:
-        now, later = open_, open_[:0]
-    top_ids, top = ids[:0], np.zeros(0, np.int64)
-    evaluated = 0
+    now, later = open_[:FIRST], open_[FIRST:]
+    top_ids, top, evaluated = ids[:0], np.zeros(0, vectors.dtype), 0
     while len(now):
+        scores, first = products(query, vectors[now]), not evaluated
         evaluated += len(now)
-        found, scores = np.concatenate([top_ids, ids[now]]), np.concatenate([top, products(query, vectors[now])])
-        order = np.lexsort((found, -scores.astype(object) if scores.min() == -2 ** 63 else -scores))[:k]
+        if len(top) == k:  # only what can enter is sorted
+            entering = scores >= top[-1]
+            now, scores = now[entering], scores[entering]
+        found, scores = np.concatenate([top_ids, ids[now]]), np.concatenate([top, scores])
+        order = np.lexsort((found, -scores))[:k]
         top_ids, top = found[order], scores[order]
         if len(top) == k:
             reach = np.sqrt(max(base - 2.0 * float(top[-1]), 0.0)) + slack
             later = later[bounds[later] <= reach]
-        if evaluated == len(now) and len(later):  # the survivors of the first look, in the order of their bounds
-            later = later[np.argsort(bounds[later], kind="stable")]
-        step = max(FIRST, evaluated)
+        if first:  # the survivors of the first look, in the order of their bounds
+            later = later[np.argsort(bounds[later])]
+        step = max(FIRST, 3 * evaluated)
         now, later = later[:step], later[step:]
-    return top_ids, top, evaluated
+    return top_ids, top.astype(np.int64), evaluated
 
 
 def _pack(pivots: dict[int, np.ndarray], longest: dict[int, float], as_queries: bool):
@@ -128,8 +134,8 @@ def _search(longest: dict[int, float], k: int):
                 near = np.frombuffer(row.distances, np.float32).reshape(len(q_ids), -1)
                 table = np.ascontiguousarray(np.frombuffer(row.c_distances, np.float32).reshape(len(c_ids), -1).T)
                 squares = (queries.astype(np.float64) ** 2).sum(axis=1)
-                if float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * dim < 2 ** 52:
-                    queries, vectors = queries.astype(np.float64), vectors.astype(np.float64)
+                exact = exact_type(queries, vectors, dim)
+                queries, vectors = queries.astype(exact), vectors.astype(exact)
                 out = []
                 for i, query_id in enumerate(q_ids):
                     bounds = np.zeros(len(c_ids), np.float32)
