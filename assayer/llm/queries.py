@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, chat, exact_dedup, langid, mixing, topk, urls
+from assayer.llm import bpe, chat, exact_dedup, jaccard, langid, mixing, topk, urls
 from assayer.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 @query("op2_topk_pivot_table", TOPK_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), "pmod(vec_id, 20) = 0")
+
+
+@query("op4_jaccard_orders")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(exact_dedup.with_rows(table(spark, sf_dir, "documents"))).drop("row")

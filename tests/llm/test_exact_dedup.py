@@ -6,6 +6,7 @@ import pytest
 
 from assayer.llm.exact_dedup import dedup, naming, normalise, shared_ranks, with_rows
 from assayer.llm.queries import QUERIES, SQL
+from assayer.llm.shared import stored
 from tools.compare import compare, connect
 
 SCHEMA = "doc_id long, text string, name string, group_size int, keep int"
@@ -30,7 +31,7 @@ ODD = [(1, "Ab"), (2, "aB"), (2, "aB"), (3, None), (4, ""), (None, "x"), (None,
 @pytest.mark.parametrize("block, width, limit", [(1024, 8, 10_000), (3, 1, 10_000), (3, 1, 2), (1, 8, 10_000)])
 def test_odd_rows(spark, block, width, limit):
     rows = [r if r[1] is None or len(r[1]) < 1000 or block > 10 else (r[0], r[1][:1000 + len(r[1]) % 7]) for r in ODD]
-    df = with_rows(spark.createDataFrame([(*r, "clash", 1, 1) for r in rows], SCHEMA).repartition(4))
+    df = with_rows(stored(spark.createDataFrame([(*r, "clash", 1, 1) for r in rows], SCHEMA).repartition(4), "docs"))
     got = dedup(df, block, width, limit).collect()
     expected, groups = brute(rows)
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == expected
