@@ -123,6 +123,24 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return rows.mapInArrow(_score(*model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _accepted(names: list[str], log_p: np.ndarray):
+    score = _score(names, log_p)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                judged = pa.RecordBatch.from_arrays(
+                    [pa.nulls(part.num_rows), pa.nulls(part.num_rows), part.column("text")], ["doc_id", "held_out", "text"])
+                known = [p != UNKNOWN for out in score(iter([judged])) for p in out.column("lang_pred").to_pylist()]
+                yield part.filter(pa.array(known, pa.bool_()))
+    return work
+
+
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """The rows, with all their columns, whose language can be told."""
+    return docs.mapInArrow(_accepted(*model), docs.schema)
+
+
 def learning_rows(docs: DataFrame) -> DataFrame:
     """Rows that are not held out and say their language."""
     return docs.where(fold(F.col("doc_id")) != 0).select("lang", "text")

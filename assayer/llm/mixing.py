@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.llm.shared import WORD, stored
+from assayer.llm.shared import WORD, packed, stored
 
 #: Weights repeat along the sources; rows of a slice that one task sorts.
 WEIGHTS, MAX_REPEAT, SLICE_ROWS, SEED = (5, 2, 1), 3, 50_000, "mix"
@@ -67,13 +67,13 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: in
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT,
-        slice_rows: int = SLICE_ROWS, seed: str = SEED) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` of every row."""
+        slice_rows: int = SLICE_ROWS, seed: str = SEED, keys: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` of every row, and its ``keys``."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # Equal rows of a task become one with a count, so that no id can crowd a slice.
     rows = stored(
-        docs.select("doc_id", "source", size.alias("size"), F.spark_partition_id().alias("part"))
-        .groupBy("doc_id", "source", "size", "part").agg(F.count("*").alias("n"))
+        docs.select("doc_id", "source", size.alias("size"), F.spark_partition_id().alias("part"), *keys)
+        .groupBy("doc_id", "source", "size", "part", *keys).agg(F.count("*").alias("n"))
         .withColumn("class", F.length(F.bin("size"))), "sizes")
     totals = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     wanted = targets(totals, weights, max_repeat)
@@ -91,25 +91,26 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX
     starts = stored(
         starts.alias("s").join(wanted.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")))
         .select("s.source", "class", "slice", "start", "source_size", "target"), "starts")
-    running = W.partitionBy("source", "class", "slice").orderBy("size", "doc_id", "part").rowsBetween(
+    running = W.partitionBy("source", "class", "slice").orderBy("size", "doc_id", "part", *keys).rowsBetween(
         W.unboundedPreceding, W.currentRow)
     placed = cut.withColumn("upto", F.sum("n").over(running))
     joined = placed.alias("p").join(
         starts.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))
         & (F.col("p.class") == F.col("s.class")) & (F.col("p.slice") == F.col("s.slice")))
     each = joined.select(
-        "p.doc_id", F.col("p.source").alias("source"), "p.size", "s.source_size", "s.target",
+        *[F.col(f"p.{k}").alias(k) for k in ("doc_id", "source", "size", *keys)], "s.source_size", "s.target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
         F.explode(F.sequence(F.col("start") + F.col("upto") - F.col("n") + 1, F.col("start") + F.col("upto"))).alias("k"))
     return each.withColumn("offset", offset).withColumn(
         "copies", F.floor(F.col("offset") + F.col("rate") * F.col("k"))
         - F.floor(F.col("offset") + F.col("rate") * (F.col("k") - 1))).select(
         "doc_id", "source", "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"))
+        (F.col("copies") * F.col("size")).alias("taken"), *keys)
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; an id stands for one row."""
-    chosen = mix(docs, **options).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"])).select(*[docs[c] for c in docs.columns])
+    """The rows of a stored table, each as often as the mix takes it."""
+    rows = packed(docs)
+    needed = rows.select("row", "doc.doc_id", "doc.source", "doc.text")
+    chosen = stored(mix(needed, keys=("row",), **options).where("copies > 0").select("row", "copies"), "chosen")
+    return rows.join(chosen, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, chat, exact_dedup, jaccard, langid, mixing, suffix_lm, topk, urls
+from assayer.llm import bpe, chat, exact_dedup, html_blocks, jaccard, langid, mixing, suffix_lm, topk, urls
 from assayer.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,9 +116,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_jaccard_orders")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(exact_dedup.with_rows(table(spark, sf_dir, "documents"))).drop("row")
+    return jaccard.components(exact_dedup.with_rows(table(spark, sf_dir, "documents"))).drop("row", "group")
 
 
 @query("op9_lm_suffix_tree")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score(exact_dedup.with_rows(table(spark, sf_dir, "documents")))
+
+
+@query("op3_html_blocks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))

@@ -32,6 +32,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``row, doc``: the rows of a stored table, numbered, whatever their columns are called.
+
+    Reading the table again gives the same numbers.
+    """
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
+
+
 def fold(doc_id: Column) -> Column:
     """``crc32(doc_id as text) mod 5``; NULL for a NULL id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))

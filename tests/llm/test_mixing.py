@@ -6,6 +6,7 @@ import pytest
 
 from assayer.llm.mixing import mix, sampled
 from assayer.llm.queries import QUERIES, SQL
+from assayer.llm.shared import stored
 from tools.compare import compare, connect
 
 SF = "/root/testdata/sf0.01"
@@ -52,7 +53,9 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, 9, 9, 9, "clash") for r in rows], schema)
     check(df, rows)
     assert mix(df.limit(0)).count() == 0
-    assert sampled(df).columns == df.columns
+    kept = stored(df, "docs")
+    assert sampled(kept).columns == df.columns
+    assert sampled(kept).count() == sum(r.copies for r in mix(df).collect())
 
 
 def test_slices_and_hot_source(spark):
