@@ -9,8 +9,8 @@ its longest retained suffix, so every state is a distribution.  A token is score
 the longest retained state that ends its history.
 
 Word counts are unlimited and stay in Spark: every task counts its words, Spark sums
-them, and words beyond the ``TOP`` most frequent are looked up by a join.  What is
-shipped is bounded by the parameters: ``TOP`` words, ``1 / MIN_WORD`` context words,
+them, and words rarer than ``MIN_TOP`` are looked up by a join.  What is
+shipped is bounded by the parameters: ``1 / MIN_TOP`` words, ``1 / MIN_WORD`` context words,
 and ``1 / MIN_JOINT`` next-symbol entries for each length, as relative frequencies
 sum to one.
 
@@ -36,9 +36,8 @@ from assayer.llm.bpe import slices
 from assayer.llm.shared import by_value, fold, stored
 
 END = b""
-#: Words shipped with their counts; least share of tokens for a context word and for context plus
-#: next symbol; weight of the suffix in a state; log-likelihood (nats) that an entry must bring.
-TOP, MIN_WORD, MIN_JOINT, SUFFIX_WEIGHT, ENTRY_COST = 1 << 17, 5e-5, 2e-6, 4.0, 2.0
+#: Least share of tokens for a word that is shipped, for a context word, and for context plus next symbol; weight of the suffix in a state; log-likelihood (nats) that an entry must bring.
+MIN_TOP, MIN_WORD, MIN_JOINT, SUFFIX_WEIGHT, ENTRY_COST = 1e-6, 5e-5, 2e-6, 4.0, 2.0
 #: Distinct items a task counts before it hands its counts on.
 HELD = 1_000_000
 
@@ -201,7 +200,7 @@ def _grams(training: DataFrame, number: dict[bytes, int], contexts: np.ndarray |
     return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def score(docs: DataFrame, top: int = TOP, min_word: float = MIN_WORD, min_joint: float = MIN_JOINT) -> DataFrame:
+def score(docs: DataFrame, min_top: float = MIN_TOP, min_word: float = MIN_WORD, min_joint: float = MIN_JOINT) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``row, doc_id, text``."""
     fifth = fold(F.col("doc_id"))
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"),
@@ -209,7 +208,7 @@ def score(docs: DataFrame, top: int = TOP, min_word: float = MIN_WORD, min_joint
     training = rows.where("learn").select("text")
     words = stored(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    listed = words.orderBy(F.desc("n"), "word").limit(top).collect()
+    listed = sorted(words.where(F.col("n") >= min(min_top, min_word) * total).collect(), key=lambda r: (-r["n"], r["word"]))
     number = {bytes(r["word"]): i for i, r in enumerate(listed)}
     counts = np.array([r["n"] for r in listed], np.int64)
     below = total + 0.5 * (vocabulary + 1)

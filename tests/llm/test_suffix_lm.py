@@ -66,9 +66,9 @@ def plain(rows, min_word, min_joint):
     return sorted(out.values(), key=repr), states
 
 
-def check(spark, rows, min_word=0.01, min_joint=0.0, top=5):
+def check(spark, rows, min_word=0.01, min_joint=0.0, min_top=0.05):
     df = with_rows(stored(spark.createDataFrame([(*r, 1, 1) for r in rows], "doc_id long, text string, n int, word int").repartition(3), "docs"))
-    got = sorted((tuple(r) for r in score(df, top, min_word, min_joint).collect()), key=repr)
+    got = sorted((tuple(r) for r in score(df, min_top, min_word, min_joint).collect()), key=repr)
     expected, states = plain(rows, min_word, min_joint)
     assert [g[:5] for g in got] == [e[:5] for e in expected]
     assert [x for g in got for x in g[5:]] == pytest.approx([x for e in expected for x in e[5:]])
@@ -83,13 +83,13 @@ def test_against_plain_tree(spark):
         while rng.random() < 0.95:
             line.append(rng.choice("bbbbbc") if line[-1] == "a" else rng.choice("aac") if line[-2:] == ["c", "b"] else rng.choice("abcDÉ"))
         rows.append((i, " ".join(line) + f" rare{i % 50}"))
-    states = check(spark, rows, top=1000)
+    states = check(spark, rows, min_top=0.0)
     assert {len(s) for s in states} == {1, 2}
-    check(spark, rows, min_word=0.02, top=30)
+    check(spark, rows, min_word=0.02, min_top=0.01)
 
 
 def test_odd_rows(spark):
-    check(spark, [(1, None), (2, ""), (None, "a b"), (3, "A\ta\x0bb c " * 20_000), (3, "x"), (3, "x"), (4, "\n"), (5, "a b a b")], top=1000)
+    check(spark, [(1, None), (2, ""), (None, "a b"), (3, "A\ta\x0bb c " * 20_000), (3, "x"), (3, "x"), (4, "\n"), (5, "a b a b")], min_top=0.0)
     check(spark, [(None, "a b"), (None, None)])
     assert score(with_rows(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
