@@ -101,7 +101,7 @@ def _fused(df: DataFrame, specs: list[tuple[RuleSpec, str | None]], as_of: AsOf,
         elif kind == r.VOLUME:
             error = (rows < spec.params.get("min_rows", 1)).cast("bigint")
         elif kind == r.LOAD_AGE:
-            newest = F.max(F.col(spec.column or "load_timestamp").cast("timestamp_ntz"))
+            newest = F.max(F.col(spec.column or "load_timestamp").try_cast("timestamp_ntz"))
             fresh = newest >= days_before(as_of, spec.params.get("max_age_days", 1))
             error = F.when(fresh, 0).otherwise(1).cast("bigint")
         else:
@@ -162,10 +162,11 @@ def daily_volume(df: DataFrame, day_column: str, window_days: int = 7,
     """Rows per day against the mean of the preceding days.
 
     A day is anomalous when it differs from that mean by more than ``tolerance``
-    (a fraction).  The window runs over one row per day.
+    (a fraction).  The window runs over one row per day.  Rows without a readable
+    stamp belong to no day.
     """
     per_day = (
-        df.groupBy(F.to_date(F.col(day_column)).alias("day"))
+        df.groupBy(F.col(day_column).try_cast("timestamp_ntz").cast("date").alias("day"))
         .agg(F.count(F.lit(1)).alias("row_count")).where(F.col("day").isNotNull())
     )
     before = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(-window_days, -1)

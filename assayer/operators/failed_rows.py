@@ -24,10 +24,6 @@ from assayer.sources.tables import literal_rows
 
 # Fixed value: documented sample size per check.
 SAMPLE_SIZE = 100
-# Rows expected to survive thinning, in sample sizes.  With 16 the chance of ending
-# up short of one sample of 100 is below 1e-500.
-SURPLUS = 16
-SEED = 20240130
 _OUT = ("check_key", "failed_record_pk", "failed_column_value", "row_context")
 _CHECKS = T.StructType([T.StructField("_check", T.IntegerType()),
                         T.StructField("check_key", T.StringType())])
@@ -52,10 +48,9 @@ def failed_rows(df: DataFrame, specs: Iterable[RuleSpec], as_of: AsOf, key: Sequ
     """Up to ``limit`` failing records per check.
 
     Row and foreign-key rules give failing rows with their whole content as JSON;
-    uniqueness rules give repeated key values with their number of copies.  Without
-    ``counts`` the records with the smallest keys are taken; with ``counts``
-    (failures per check key) row rules give random ones, which costs far less when
-    many rows fail.
+    uniqueness rules give repeated key values with their number of copies.  The
+    records with the smallest keys are taken, however many fail.  ``counts``
+    (failures per check key) spares the checks that passed.
     """
     specs = [s for s in specs if unresolved(df, s) is None]
     if counts is not None:
@@ -63,7 +58,7 @@ def failed_rows(df: DataFrame, specs: Iterable[RuleSpec], as_of: AsOf, key: Sequ
     parts = []
     row_specs = [s for s in specs if r.kind_of(s) == r.ROW]
     if row_specs:
-        parts.append(_row_failures(df, row_specs, as_of, key, limit, counts))
+        parts.append(_row_failures(df, row_specs, as_of, key, limit))
     for spec in specs:
         if r.kind_of(spec) == r.DISTINCT:
             parts.append(_repeated_keys(df, spec, limit))
@@ -85,24 +80,19 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def _row_failures(df: DataFrame, specs: Sequence[RuleSpec], as_of: AsOf, key: Sequence[str],
-                  limit: int, counts: Mapping[str, int] | None) -> DataFrame:
+                  limit: int) -> DataFrame:
     def tag(number: int, spec: RuleSpec) -> Column:
         columns = spec.columns()
         value = F.col(columns[0]).cast("string") if len(columns) == 1 else _text(columns)
-        broken = r.row_error(spec, as_of)
-        failing = counts.get(spec.check_key, 0) if counts else 0
-        if failing > SURPLUS * limit:
-            broken = broken & (F.rand(SEED + number) < SURPLUS * limit / failing)
-        return F.when(broken, F.struct(F.lit(number).alias("_check"), value.alias("_value")))
+        return F.when(r.row_error(spec, as_of), F.struct(F.lit(number).alias("_check"), value.alias("_value")))
 
     # Dropping the empty tags after the generator keeps all of this in generated code,
     # which compacting the array first would not.
     tags = F.array(*[tag(i, s) for i, s in enumerate(specs)])
     tagged = df.select(_text(key).alias("_pk"), F.struct("*").alias("_row"), F.inline(tags)
                        ).where("_check IS NOT NULL")
-    order = _BY_KEY if counts is None else [F.rand(SEED)]
     names = literal_rows(df.sparkSession, [(i, s.check_key) for i, s in enumerate(specs)], _CHECKS)
-    return _finish(_top(tagged, "_check", order, limit).join(names, "_check"))
+    return _finish(_top(tagged, "_check", _BY_KEY, limit).join(names, "_check"))
 
 
 def _orphans(df: DataFrame, spec: RuleSpec, key: Sequence[str], parent: DataFrame,

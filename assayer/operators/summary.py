@@ -18,7 +18,6 @@ from assayer.operators.upsert import replace_by_key
 DEFAULT_SLA = 90
 IDENTITY = ("dataset_id", "database_name", "schema_name", "table_name", "business_domain")
 SCORES = tuple(f"{t.lower()}_score" for t in scoring.RULE_TYPES)
-TOP_FAILURES = 3
 
 
 def _status_counts() -> list[Column]:
@@ -93,8 +92,10 @@ def upsert_summary(existing: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def with_score_trend(daily: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """Previous summary's score and the direction of change."""
-    previous = F.lag("dq_score").over(Window.partitionBy("dataset_id").orderBy("summary_date"))
+    """The score of the day before, NULL without a summary of it, and the direction of change."""
+    history = Window.partitionBy("dataset_id").orderBy("summary_date")
+    previous = F.when(F.lag("summary_date").over(history) == F.date_sub("summary_date", 1),
+                      F.lag("dq_score").over(history))
     return daily.withColumn("prev_day_score", previous).withColumn(
         "score_trend", scoring.trend(F.col("dq_score") - F.col("prev_day_score"), tolerance))
 
@@ -150,8 +151,8 @@ def weekly_rollup(daily: DataFrame, sla: float = DEFAULT_SLA, tolerance: float =
         "weeks_below_sla": F.sum(below.cast("int")).over(inside)}).drop("_streak")
 
 
-def top_failure_types(results: DataFrame, period: Column, top: int = TOP_FAILURES) -> DataFrame:
-    """Most frequent rule types among failed checks per period and dataset, as text."""
+def top_failure_types(results: DataFrame, period: Column, top: int | None = None) -> DataFrame:
+    """Rule types of failed checks per period and dataset, most frequent first, as text."""
     counted = (
         results.where("check_status = 'FAILED'")
         .groupBy(period.alias("period"), "dataset_id", "rule_type")
@@ -161,7 +162,8 @@ def top_failure_types(results: DataFrame, period: Column, top: int = TOP_FAILURE
     # A (period, dataset) group holds at most one row per rule type.
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("failed")).alias("rank"), "rule_type")))
     return counted.groupBy("period", "dataset_id").agg(
-        F.array_join(F.slice(ranked["rule_type"], 1, top), ", ").alias("top_failure_types"),
+        F.array_join(ranked["rule_type"] if top is None else F.slice(ranked["rule_type"], 1, top), ", ")
+        .alias("top_failure_types"),
         F.sum("critical").alias("total_critical_issues"))
 
 

@@ -145,8 +145,11 @@ def find_datasets(requests: DataFrame, datasets: DataFrame, table_column: str) -
 
 
 def parse_allowed(c: Column) -> Column:
-    """A quoted comma list (``'A','B'``) as an array of its values."""
-    return F.transform(F.split(c, ","), lambda part: F.trim(F.trim(part), F.lit("'")))
+    """A comma list of quoted or bare values as an array; a comma inside quotes belongs to its value."""
+    parts = F.regexp_extract_all(c, F.lit(r"\s*('[^']*'|[^,]*)\s*(?:,|$)"), F.lit(1))
+    # The pattern also matches the empty end of the text, unless the text ends in a comma.
+    return F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))),
+                       lambda part: F.trim(F.trim(part), F.lit("'")))
 
 
 def coverage(datasets: DataFrame, mappings: DataFrame, rules: DataFrame) -> DataFrame:

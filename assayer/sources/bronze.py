@@ -132,6 +132,6 @@ def load_summary(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFram
     return reduce(DataFrame.unionByName, lines).orderBy("table_name")
 
 
-def labelled_sample(df: DataFrame, label: str, rows: int = 5) -> DataFrame:
-    """A few rows of a table under a label."""
-    return df.limit(rows).select(F.lit(label).alias("dataset"), "*")
+def labelled_sample(df: DataFrame, label: str, key: Sequence[str], rows: int = 5) -> DataFrame:
+    """The first rows of a table by its key, under a label."""
+    return df.orderBy(*key).limit(rows).select(F.lit(label).alias("dataset"), "*")

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.utils import AnalysisException
 
 Loader = Callable[[], DataFrame]
 
@@ -105,10 +104,11 @@ def _writer(df: DataFrame, partition: str | None, cluster: tuple[str, ...]):
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
-    except AnalysisException:
+    """A result table, or None where no folder stands; a damaged table raises."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
+    return spark.read.option("mergeSchema", "true").parquet(path)
 
 
 def counts_since(tables: dict[str, DataFrame], column: str, since: Column) -> DataFrame:

@@ -75,7 +75,7 @@ def test_listing_stats_and_samples(spark, tmp_path):
     assert (stats["rows_loaded"], stats["batch_count"]) == (3, 1)
     summary = bronze.load_summary({"T": (df, ["account_id", "balance_date"])}).first()
     assert (summary["total_rows"], summary["unique_keys"], summary["batch_count"]) == (3, 1, 1)
-    sample = bronze.labelled_sample(df, "LABEL", 2)
+    sample = bronze.labelled_sample(df, "LABEL", df.columns[:1], 2)
     assert sample.count() == 2 and sample.columns[0] == "dataset"
 
 

@@ -108,7 +108,7 @@ def test_monthly_and_quarterly(spark):
     monthly = summary.monthly_rollup(daily, results)
     rows = {r["month_id"]: r for r in monthly.collect()}
     january = rows["2026-01"]
-    assert january["top_failure_types"] == "VALIDITY, FRESHNESS, UNIQUENESS"
+    assert january["top_failure_types"] == "VALIDITY, FRESHNESS, UNIQUENESS, VOLUME"
     assert january["total_critical_issues"] == 3 and rows["2026-02"]["total_critical_issues"] == 0
     assert (str(january["min_dq_score"]), str(january["month_end_date"]),
             str(january["sla_compliance_pct"])) == ("50.00", "2026-01-31", "0.00")
@@ -121,7 +121,10 @@ def test_monthly_and_quarterly(spark):
 
 def test_score_trend_and_upsert(spark):
     daily = _weeks(spark, [90, 95, 95])
-    rows = summary.with_score_trend(daily).orderBy("summary_date").collect()
+    assert {r["prev_day_score"] for r in summary.with_score_trend(daily).collect()} == {None}
+    days = daily.withColumn("summary_date", F.expr(
+        "date_add(DATE '2026-01-01', CAST(row_number() OVER (ORDER BY summary_date) - 1 AS INT))"))
+    rows = summary.with_score_trend(days).orderBy("summary_date").collect()
     assert [r["score_trend"] for r in rows] == ["STABLE", "IMPROVING", "STABLE"]
     merged = summary.upsert_summary(daily, daily.where("dq_score = 90"))
     assert sorted(merged.collect(), key=str) == sorted(daily.collect(), key=str)

@@ -555,7 +555,7 @@ FROM ({judged}) j WHERE check_status IN ('FAILED', 'WARNING') AND invalid_record
 
 @query("failed_samples_random", ctes(["stg_account", "stg_transaction"], _failing_sql()))
 def failed_samples_random(spark, sf_dir):
-    """Random samples: their size, and how many of the sampled rows break their rule."""
+    """Samples of the failed checks only: their size, and how many sampled rows break their rule."""
     run = run_checks(_registry(spark, sf_dir), Configuration.shipped(spark), AS_OF, "RUN",
                      "DS_BRONZE_TRANSACTION")
     records = run.failed_records({"DS_BRONZE_TRANSACTION": ["transaction_id"]},

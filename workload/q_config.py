@@ -187,11 +187,11 @@ def config_row_counts(spark, sf_dir):
 
 
 @query("allowed_value_lists", """
-SELECT c_custkey, c_mktsegment AS first_value, c_name AS second_value,
+SELECT c_custkey, c_mktsegment || ', ' || c_custkey AS first_value, c_name AS second_value,
        CAST(2 AS BIGINT) AS list_size FROM customer""")
 def allowed_value_lists(spark, sf_dir):
-    """Quoted comma lists, parsed to their values."""
-    text = F.concat(F.lit("'"), F.col("c_mktsegment"), F.lit("', '"), F.col("c_name"), F.lit("'"))
+    """Quoted comma lists, one value with a comma of its own, parsed to their values."""
+    text = F.concat(F.lit("'"), F.col("c_mktsegment"), F.lit(", "), F.col("c_custkey"), F.lit("', '"), F.col("c_name"), F.lit("'"))
     parsed = config.parse_allowed(text)
     return source(spark, sf_dir, "customer").select(
         "c_custkey", parsed[0].alias("first_value"), parsed[1].alias("second_value"),

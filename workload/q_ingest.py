@@ -165,7 +165,7 @@ FROM customer""")
 def file_listing(spark, sf_dir):
     """Listing of a landing folder with one sub-folder per market segment."""
     path = fresh_dir(spark, "listing")
-    source(spark, sf_dir, "customer").repartition("c_mktsegment").write.partitionBy(
+    source(spark, sf_dir, "customer").write.partitionBy(
         "c_mktsegment").csv(path)
     listed = bronze.list_files(spark, path)
     folder = F.regexp_extract("path", "c_mktsegment=([^/]+)/", 1)
@@ -203,10 +203,16 @@ def load_summary_union(spark, sf_dir):
                                 for e, name in STAGED.items()})
 
 
-@query("labelled_sample")
+@query("labelled_sample", ctes(["stg_account"], """
+SELECT 'ACCOUNT SAMPLE' AS dataset, account_id, customer_id, account_type, account_status,
+       opening_balance, opened_date
+FROM stg_account ORDER BY account_id NULLS FIRST, opening_balance NULLS FIRST LIMIT 5"""))
 def labelled_sample(spark, sf_dir):
-    """Five rows of a landed table under a label (any five)."""
-    return bronze.labelled_sample(derived(spark, sf_dir, "stg_account"), "ACCOUNT SAMPLE")
+    """The first five rows of a landed table by its key, under a label."""
+    return bronze.labelled_sample(
+        derived(spark, sf_dir, "stg_account"), "ACCOUNT SAMPLE", ["account_id", "opening_balance"]).select(
+        "dataset", "account_id", "customer_id", "account_type", "account_status", "opening_balance",
+        "opened_date")
 
 
 @query("counts_since_midnight", ctes(["stg_customer", "stg_account", "stg_transaction"],

@@ -106,8 +106,9 @@ def daily_upsert(spark, sf_dir):
 SELECT dataset_id, summary_date, dq_score, prev_day_score,
        CASE WHEN dq_score > prev_day_score THEN 'IMPROVING'
             WHEN dq_score < prev_day_score THEN 'DEGRADING' ELSE 'STABLE' END AS score_trend
-FROM (SELECT *, lag(dq_score) OVER (PARTITION BY dataset_id ORDER BY summary_date)
-        AS prev_day_score FROM daily) t""", daily_sql()))
+FROM (SELECT d.*, p.dq_score AS prev_day_score
+      FROM daily d LEFT JOIN daily p ON p.dataset_id = d.dataset_id
+       AND CAST(p.summary_date AS DATE) = CAST(d.summary_date AS DATE) - 1) t""", daily_sql()))
 def score_trend(spark, sf_dir):
     return summary.with_score_trend(_daily(spark, sf_dir)).select(
         "dataset_id", "summary_date", "dq_score", "prev_day_score", "score_trend")
@@ -175,7 +176,7 @@ def weekly_rollup(spark, sf_dir):
 
 _TOP = """top AS (
   SELECT start, dataset_id, string_agg(rule_type, ', ' ORDER BY failed DESC, rule_type)
-           FILTER (WHERE place <= 3) AS top_failure_types,
+           AS top_failure_types,
          CAST(sum(critical) AS BIGINT) AS total_critical_issues
   FROM (SELECT *, row_number() OVER (PARTITION BY start, dataset_id
                                      ORDER BY failed DESC, rule_type) AS place
