@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,14 @@ def unresolved(df: DataFrame, spec: RuleSpec) -> str | None:
         return f"Column not found: {', '.join(absent)}"
     if r.CATALOGUE[spec.rule_name].level == "COLUMN" and not spec.column:
         return f"Rule {spec.rule_name} needs a column"
+    setting = r.REQUIRED.get(spec.rule_name)
+    if setting and not spec.params.get(setting):
+        return f"Rule {spec.rule_name} needs the setting '{setting}'"
+    if setting == "holds":
+        try:
+            df.select(F.expr(spec.params["holds"]).cast("boolean"))
+        except AnalysisException as error:
+            return f"Condition cannot be evaluated: {error.getCondition()}"
     return None
 
 

@@ -143,6 +143,7 @@ def run_control(lines: DataFrame, run_id: str, run_type: str, triggered_by: str,
     """The run's record as one row: status counters, rows in scope, overall pass rate.
 
     Checks and row-count lines are aggregated together, so the run is evaluated once.
+    ``seconds`` is the time a finished run took; without it there is no end.
     """
     status = F.col("check_status")
     is_check = F.col("check_key").isNotNull() & (F.col("rule_type") != "CONFIGURATION")
@@ -169,6 +170,8 @@ def run_control(lines: DataFrame, run_id: str, run_type: str, triggered_by: str,
         "run_id": F.lit(run_id), "run_type": F.lit(run_type),
         "triggered_by": F.lit(triggered_by), "start_ts": instant(as_of),
         "duration_seconds": F.lit(seconds),
+        "end_ts": (F.lit(None) if seconds is None
+                   else instant(as_of) + F.make_dt_interval(secs=F.lit(float(seconds)))),
         "run_status": run_status(F.col("failed_checks")),
         "datasets_skipped": F.lit(datasets) - F.col("total_datasets"),
         "row_level_records_processed": F.col("total_rows_in_scope"),

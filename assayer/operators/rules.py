@@ -120,6 +120,14 @@ CATALOGUE: dict[str, RuleKind] = {
 }
 
 
+#: Settings without which a rule has nothing to check.
+REQUIRED = {
+    "COMPLETENESS_CRITICAL_COLUMNS": "columns",
+    "UNIQUENESS_COMPOSITE_KEY": "columns",
+    "CONSISTENCY_LOGICAL_RELATIONSHIP": "holds",
+}
+
+
 def expected(spec: RuleSpec) -> str | None:
     """What a valid value looks like, for the records of failing rows."""
     def one_of(values) -> str:
@@ -142,7 +150,7 @@ def expected(spec: RuleSpec) -> str | None:
         "VALIDITY_CURRENCY_CODE": lambda: one_of(spec.params.get("allowed", p.CURRENCIES)),
         "FRESHNESS_DATA_RECENCY": lambda: f"at most {_max_age(spec)} days old",
         "CONSISTENCY_FOREIGN_KEY": lambda: "an existing parent key",
-        "CONSISTENCY_LOGICAL_RELATIONSHIP": lambda: spec.params["holds"],
+        "CONSISTENCY_LOGICAL_RELATIONSHIP": lambda: spec.params.get("holds"),
     }
     return texts[spec.rule_name]() if spec.rule_name in texts else None
 

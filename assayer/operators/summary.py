@@ -116,12 +116,16 @@ def _period_scores() -> list[Column]:
     ]
 
 
-def _graded(periods: DataFrame, period: str, previous: str, change: str,
+def _graded(periods: DataFrame, period: str, before: Column, previous: str, change: str,
             tolerance: float) -> DataFrame:
-    """Rounded score, grade, trust level and change against the period before."""
+    """Rounded score, grade, trust level and change against the calendar period before.
+
+    ``before`` is where that period starts; without rows of it there is no change.
+    """
     history = Window.partitionBy("dataset_id").orderBy(period)
     scored = periods.withColumn("avg_dq_score", F.round("score", 2).cast("decimal(10,2)"))
-    compared = scored.withColumn(previous, F.lag("avg_dq_score").over(history))
+    compared = scored.withColumn(previous, F.when(
+        F.lag(period).over(history) == before, F.lag("avg_dq_score").over(history)))
     difference = F.col("avg_dq_score") - F.col(previous)
     return compared.withColumns({
         change: F.round(F.try_divide(difference * 100, F.col(previous)), 2).cast("decimal(10,2)"),
@@ -131,16 +135,19 @@ def _graded(periods: DataFrame, period: str, previous: str, change: str,
 
 
 def weekly_rollup(daily: DataFrame, sla: float = DEFAULT_SLA, tolerance: float = 0.0) -> DataFrame:
-    """ISO weeks per dataset, with the length of the current run of weeks below the SLA."""
+    """ISO weeks per dataset, with the length of the current run of adjacent weeks below the SLA."""
     start = F.to_date(F.date_trunc("week", F.col("summary_date")))
     weeks = daily.withColumn("week_start_date", start).groupBy(
         "week_start_date", "dataset_id", "table_name", "business_domain",
     ).agg(F.countDistinct("last_run_id").alias("total_runs"), *_period_scores())
-    graded = _graded(weeks, "week_start_date", "prev_week_score", "score_change_pct", tolerance)
+    before = F.date_sub("week_start_date", 7)
+    graded = _graded(weeks, "week_start_date", before, "prev_week_score", "score_change_pct",
+                     tolerance)
     below = F.col("avg_dq_score") < sla
     history = Window.partitionBy("dataset_id").orderBy("week_start_date")
-    streaks = graded.withColumn("_streak", F.sum((~below).cast("int")).over(
-        history.rowsBetween(Window.unboundedPreceding, 0)))
+    follows = F.coalesce(F.lag("week_start_date").over(history) == before, F.lit(False))
+    streaks = graded.withColumn("_broken", (~below | ~follows).cast("int")).withColumn(
+        "_streak", F.sum("_broken").over(history.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy("dataset_id", "_streak").orderBy("week_start_date").rowsBetween(
         Window.unboundedPreceding, 0)
     year = F.year(F.date_add("week_start_date", 3))
@@ -148,7 +155,7 @@ def weekly_rollup(daily: DataFrame, sla: float = DEFAULT_SLA, tolerance: float =
         "week_id": F.concat(year.cast("string"), F.lit("-W"),
                             F.lpad(F.weekofyear("week_start_date").cast("string"), 2, "0")),
         "week_end_date": F.date_add("week_start_date", 6),
-        "weeks_below_sla": F.sum(below.cast("int")).over(inside)}).drop("_streak")
+        "weeks_below_sla": F.sum(below.cast("int")).over(inside)}).drop("_streak", "_broken")
 
 
 def top_failure_types(results: DataFrame, period: Column, top: int | None = None) -> DataFrame:
@@ -178,7 +185,8 @@ def monthly_scores(daily: DataFrame, tolerance: float = 0.0) -> DataFrame:
         F.round(F.stddev_samp(F.col("dq_score").cast("double")), 2).alias("score_volatility"),
         scoring.share(F.count_if("is_sla_met"), F.count(F.lit(1))).alias("sla_compliance_pct"),
     )
-    graded = _graded(months, "month_start_date", "prev_month_score", "score_change_pct", tolerance)
+    graded = _graded(months, "month_start_date", F.add_months("month_start_date", -1),
+                     "prev_month_score", "score_change_pct", tolerance)
     return graded.withColumns({
         "month_id": F.date_format("month_start_date", "yyyy-MM"),
         "month_end_date": F.last_day("month_start_date")})
@@ -210,8 +218,8 @@ def quarterly_rollup(daily: DataFrame, monthly: DataFrame, tolerance: float = 0.
     worst = F.max_by("month_id", F.struct(-F.col("avg_dq_score"), age))
     months = monthly.groupBy(quarter("month_start_date").alias("quarter_start_date"), "dataset_id",
                              ).agg(best.alias("best_month"), worst.alias("worst_month"))
-    graded = _graded(quarters, "quarter_start_date", "prev_quarter_score",
-                     "score_improvement_pct", tolerance)
+    graded = _graded(quarters, "quarter_start_date", F.add_months("quarter_start_date", -3),
+                     "prev_quarter_score", "score_improvement_pct", tolerance)
     start = F.col("quarter_start_date")
     return graded.join(months, ["quarter_start_date", "dataset_id"]).withColumns({
         "quarter_id": F.concat(F.year(start).cast("string"), F.lit("-Q"),

@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +25,11 @@ from assayer.operators.failed_rows import (
     describe_failures, expectations, failed_rows,
 )
 from assayer.operators.profile import profile_checks, profile_columns
-from assayer.operators.rules import RuleSpec, rule
+from assayer.operators.rules import RuleSpec
 from assayer.operators.summary import daily_summary, upsert_summary
 from assayer.plans import config, seeds
 from assayer.sources.tables import (
-    Registry, append, cut_lineage, literal_rows, read_if_exists, replace_partitions,
+    Registry, cut_lineage, literal_rows, read_if_exists, replace_partitions, replace_run,
 )
 
 # Fixed value: column names accepted as an incremental watermark.
@@ -159,6 +160,16 @@ def watermark_problem(df: DataFrame, column: str, table: str) -> str | None:
     return None
 
 
+def _source(registry: Registry, name: str) -> tuple[DataFrame | None, str | None]:
+    """A dataset's frame, or why there is none."""
+    if name not in registry:
+        return None, f"Dataset {name} has no registered source"
+    try:
+        return registry.frame(name), None
+    except AnalysisException as error:
+        return None, f"Source of dataset {name} cannot be read: {error.getCondition()}"
+
+
 def _qualified(dataset: dict) -> str:
     return ".".join(dataset[k] for k in ("source_database", "source_schema", "source_table"))
 
@@ -171,7 +182,8 @@ def run_checks(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str
 
     With ``incremental`` a dataset with a watermark column is limited to the rows
     of ``as_of``'s day and left out when there are none; a bad watermark becomes
-    an ERROR row.  Datasets without one are scanned in full.  An empty table fails
+    an ERROR row, as does a dataset without a readable source.  Datasets without a
+    watermark are scanned in full.  An empty table fails
     its volume check unless ``empty_volume_passes``.
     """
     spark = registry.spark
@@ -189,17 +201,18 @@ def run_checks(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str
     measures, problems, sources = [], [], {}
     for dataset in datasets:
         name = dataset["dataset_id"]
-        df, checks = registry.frame(name), by_dataset.get(name, [])
+        checks = by_dataset.get(name, [])
         watermark = dataset["incremental_column"] if incremental else None
-        if watermark is not None:
+        scope = "INCREMENTAL" if watermark is not None else "FULL"
+        df, problem = _source(registry, name)
+        if problem is None and watermark is not None:
             problem = watermark_problem(df, watermark, _qualified(dataset))
-            if problem:
-                problems.append(shape.config_error(spark, run_id, as_of, dataset,
-                                                   "CONFIG_VALIDATION", "ERROR", problem,
-                                                   "INCREMENTAL"))
-                continue
+        if problem:
+            problems.append(shape.config_error(spark, run_id, as_of, dataset,
+                                               "CONFIG_VALIDATION", "ERROR", problem, scope))
+            continue
+        if watermark is not None:
             df = rows_since_midnight(df, watermark, as_of)
-        scope = "INCREMENTAL" if watermark is not None else "FULL"
         reason = "WATERMARK" if watermark is not None else "BASELINE"
         sources[name] = (df, checks)
         measures.append(_measure(df, checks, as_of, parents, dataset, scope, incremental, reason))
@@ -234,16 +247,15 @@ def run_rule(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
         raise ValueError(f"No active dataset found for dataset_id = {dataset_id}")
     dataset = dataset.asDict()
     if threshold is not None and mode == "ADHOC":
-        found = config.resolve_rule_direct(conf.rules, conf.weights, rule_name,
-                                           dataset["business_domain"], as_of).first()
-        if found is None:
+        unmapped = config.resolve_rule_direct(
+            conf.rules, conf.weights, rule_name, dataset["business_domain"], as_of).withColumns({
+                "dataset_id": F.lit(dataset_id), "column_name": F.lit(column).cast("string"),
+                "threshold_value": F.lit(float(threshold)), "config_id": F.lit(0),
+                "type_rank": F.lit(0)})
+        bound = config.bind_rules(unmapped, conf.allowed, conf.params)
+        if not bound:
             raise ValueError(f"Rule '{rule_name}' not found")
-        spec = rule(rule_name, column, float(threshold), dataset_id)
-        allowed = conf.allowed.where(
-            F.col("is_active") & (F.col("dataset_id") == dataset_id)
-            & (F.col("column_name") == column)).select(
-            config.parse_allowed(F.col("allowed_values")).alias("v")).first()
-        spec = spec.bind(allowed=list(allowed["v"])) if allowed else spec
+        spec = bound[0]
     else:
         resolved = config.resolve_rules(conf.mappings, conf.rules, conf.datasets, conf.weights,
                                         as_of)
@@ -272,7 +284,8 @@ def run_batch(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
               custom_config: str | None = None) -> CheckRun:
     """The checks of one dataset that a JSON selection names, or all of them.
 
-    When nothing is left to run the result is a single warning row.
+    When nothing is left to run the result is a single warning row, and an unreadable
+    selection gives a single error row.
     """
     dataset = config.resolve_datasets(conf.datasets, dataset_id).first()
     if dataset is None:
@@ -280,12 +293,19 @@ def run_batch(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
     dataset = dataset.asDict()
     resolved = config.resolve_rules(conf.mappings, conf.rules, conf.datasets, conf.weights,
                                     as_of).where(F.col("dataset_id") == dataset_id)
-    chosen = config.selected_rule_ids(custom_config)
+    try:
+        chosen, unreadable = config.selected_rule_ids(custom_config), None
+    except (ValueError, TypeError, AttributeError) as error:
+        chosen, unreadable = [], f"Error parsing config: {error}"
+        resolved = resolved.limit(0)
     if chosen:
         resolved = resolved.where(F.col("rule_id").isin(chosen))
     specs = config.bind_rules(resolved, conf.allowed, conf.params)
     run = _run_specs(registry, conf, as_of, run_id, dataset, specs, "CUSTOM_BATCH", "SCHEDULED")
-    if not specs:
+    if unreadable:
+        run.lines = shape.config_error(registry.spark, run_id, as_of, dataset,
+                                       "SCHEDULER_CONFIG_CHECK", "ERROR", unreadable, None)
+    elif not specs:
         reason = ("The specific rules selected for this schedule are no longer active." if chosen
                   else "No active custom rules found. Please configure rules.")
         run.lines = shape.config_error(registry.spark, run_id, as_of, dataset,
@@ -327,15 +347,21 @@ def execute_or_record(spark: SparkSession, build: Callable[[], CheckRun], root:
         return execute(build(), root, datasets)
     except Exception as error:  # noqa: BLE001 - whatever the cause, the run must be recorded
         record = shape.failed_run(spark, run_id, run_type, triggered_by, as_of, str(error))
-        append(record, f"{root}/run_control")
+        _write_control(record, root, run_id, as_of)
         return record
 
 
+def _write_control(record: DataFrame, root: str, run_id: str, as_of: AsOf) -> None:
+    replace_run(record.withColumn("run_date", F.to_date("start_ts")), f"{root}/run_control",
+                run_id, "run_date", str(as_of)[:10])
+
+
 def execute(run: CheckRun, root: str, datasets: DataFrame,
             scheme: str = "full") -> DataFrame:
-    """Compute a run once, append its tables below ``root`` and return its record.
+    """Compute a run once, write its tables below ``root`` and return its record.
 
-    The evaluated checks (one row each) are written to the shared folder first, so
+    A run id that is executed again on its day, whether complete or broken off, replaces
+    what it had written.  The evaluated checks (one row each) are written to the shared folder first, so
     results, failures, run record and summary all read that copy.
     """
     started = time.monotonic()
@@ -345,13 +371,14 @@ def execute(run: CheckRun, root: str, datasets: DataFrame,
     checks = run.outcomes.count()
     timed = shape.with_timing(run.results, seconds * 1000, checks).withColumn(
         "check_date", F.to_date("check_timestamp"))
-    append(timed, f"{root}/check_results", "check_date", ("table_name",))
-    append(run.failures().withColumn("detected_date", F.to_date("detected_ts")),
-           f"{root}/failed_checks", "detected_date", ("table_name",))
+    day = str(run.as_of)[:10]
+    replace_run(timed, f"{root}/check_results", run.run_id, "check_date", day, ("table_name",))
+    replace_run(run.failures().withColumn("detected_date", F.to_date("detected_ts")),
+                f"{root}/failed_checks", run.run_id, "detected_date", day, ("table_name",))
     control = cut_lineage(run.control(seconds))
-    append(control, f"{root}/run_control")
+    _write_control(control, root, run.run_id, run.as_of)
 
-    today = F.to_date(F.lit(str(run.as_of)).cast("timestamp_ntz"))
+    today = F.lit(day).cast("date")
     logged = spark.read.parquet(f"{root}/check_results").where(F.col("check_date") == today)
     fresh = daily_summary(logged, datasets, scheme=scheme)
     existing = read_if_exists(spark, f"{root}/daily_summary")

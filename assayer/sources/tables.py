@@ -97,6 +97,26 @@ def replace_partitions(df: DataFrame, path: str, partition: str,
      .option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
+def replace_run(df: DataFrame, path: str, run_id: str, partition: str, day: str,
+                cluster: tuple[str, ...] = ()) -> None:
+    """Write the rows that a run left on a day in place of those of an earlier attempt.
+
+    Only that day's partition is rewritten; the other runs in it are kept.
+    """
+    spark = df.sparkSession
+    existing = read_if_exists(spark, path)
+    if existing is not None:
+        others = existing.where((F.col(partition) == F.lit(day).cast("date"))
+                                & (F.col("run_id") != run_id))
+        df = others.unionByName(df, allowMissingColumns=True)
+    merged = cut_lineage(df)
+    if existing is not None and merged.isEmpty():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    else:
+        replace_partitions(merged, path, partition, cluster)
+
+
 def _writer(df: DataFrame, partition: str | None, cluster: tuple[str, ...]):
     if cluster:
         df = df.sortWithinPartitions(*([partition] if partition else []), *cluster)

@@ -376,9 +376,9 @@ FROM (SELECT * FROM ({_rated(_seeded(("DS_BRONZE_CUSTOMER", "DS_BRONZE_ACCOUNT")
       SELECT * FROM ({_rated(_seeded(("DS_BRONZE_CUSTOMER", "DS_BRONZE_ACCOUNT")))}) b) checks
 GROUP BY dataset_id"""))
 def executed_run(spark, sf_dir):
-    """Two runs of one day written to result tables, and the day's summary read back."""
+    """Two runs of one day, the second executed twice, and the day's summary read back."""
     conf, root = Configuration.shipped(spark), fresh_dir(spark, "runs")
-    for run_id in ("RUN_1", "RUN_2"):
+    for run_id in ("RUN_1", "RUN_2", "RUN_2"):
         run = run_checks(_registry(spark, sf_dir), conf, AS_OF, run_id, mode="CRITICAL_ONLY")
         execute(run, root, conf.datasets)
     return spark.read.parquet(f"{root}/daily_summary").select(

@@ -155,7 +155,12 @@ def _scored(previous: str, changed: str) -> str:
        {_ladder('s', 'n', TRUST, 'LOW')} AS trust_level"""
 
 
-_WITH_PREVIOUS = "(SELECT *, lag(c) OVER (PARTITION BY dataset_id ORDER BY start) AS pc FROM p) q"
+def _with_previous(periods: str, step: str) -> str:
+    """Periods with the score of the one that ends where they start."""
+    return (f"(SELECT a.*, b.c AS pc FROM {periods} a LEFT JOIN {periods} b ON b.dataset_id = a.dataset_id "
+            f"AND b.table_name IS NOT DISTINCT FROM a.table_name AND b.start + INTERVAL {step} = a.start)")
+
+
 _WEEK = "CAST(date_trunc('week', CAST(summary_date AS DATE)) AS DATE)"
 _MONTH = "CAST(date_trunc('month', CAST(summary_date AS DATE)) AS DATE)"
 _QUARTER = "CAST(date_trunc('quarter', CAST(summary_date AS DATE)) AS DATE)"
@@ -167,9 +172,9 @@ SELECT * EXCLUDE (start, island), CAST(start AS VARCHAR) AS week_start_date,
        CAST(sum(CASE WHEN avg_dq_score < 90 THEN 1 ELSE 0 END) OVER (
          PARTITION BY dataset_id, island ORDER BY start) AS BIGINT) AS weeks_below_sla
 FROM (SELECT {_scored('prev_week_score', 'score_change_pct')},
-             sum(CASE WHEN c >= 9000 THEN 1 ELSE 0 END) OVER (
+             sum(CASE WHEN c >= 9000 OR pc IS NULL THEN 1 ELSE 0 END) OVER (
                PARTITION BY dataset_id ORDER BY start) AS island
-      FROM {_WITH_PREVIOUS}) w""", daily_sql(), _period(_WEEK)))
+      FROM {_with_previous("p", "7 DAY")} q) w""", daily_sql(), _period(_WEEK)))
 def weekly_rollup(spark, sf_dir):
     return summary.weekly_rollup(_daily(spark, sf_dir))
 
@@ -189,7 +194,7 @@ _MONTHLY = f"""monthly AS (
   SELECT m.*, top_failure_types, coalesce(total_critical_issues, 0) AS total_critical_issues,
          strftime(m.start, '%Y-%m') AS month_id
   FROM (SELECT {_scored('prev_month_score', 'score_change_pct')}, min_dq_score, max_dq_score,
-               score_volatility, sla_compliance_pct FROM {_WITH_PREVIOUS}) m
+               score_volatility, sla_compliance_pct FROM {_with_previous("p", "1 MONTH")} q) m
   LEFT JOIN top ON top.start = m.start AND top.dataset_id = m.dataset_id)"""
 
 
@@ -211,7 +216,7 @@ SELECT * EXCLUDE (start), CAST(start AS VARCHAR) AS quarter_start_date,
        CAST(last_day(start + INTERVAL 2 MONTH) AS VARCHAR) AS quarter_end_date
 FROM (SELECT {_scored('prev_quarter_score', 'score_improvement_pct')}, sla_compliance_pct,
              best_month, worst_month
-      FROM (SELECT *, lag(c) OVER (PARTITION BY dataset_id ORDER BY start) AS pc FROM q) z
+      FROM {_with_previous("q", "3 MONTH")} z
       JOIN (SELECT CAST(date_trunc('quarter', start) AS DATE) AS qs, dataset_id AS ds,
                    first(month_id ORDER BY c DESC, start) AS best_month,
                    first(month_id ORDER BY c, start) AS worst_month
