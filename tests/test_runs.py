@@ -7,10 +7,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.operators.evaluate import evaluate, unresolved
+from assayer.operators.rules import rule
 from assayer.plans.runs import (
     Configuration, execute, execute_or_record, run_batch, run_checks, run_rule, run_scan, watermark_problem,
 )
-from assayer.sources.tables import Registry
+from assayer.sources.tables import Registry, replace_run
 from tests import planted
 from tests.planted import NOW
 
@@ -239,6 +241,59 @@ def test_execute_is_idempotent_per_day(spark, tmp_path):
     assert again.where(F.col("dataset_id") == "DS_BRONZE_TESTING").first()["total_checks"] == 6
 
 
+def test_repeated_run_replaces_itself(spark, tmp_path):
+    conf, registry = planted.configuration(spark), planted.registry(spark)
+    root = str(tmp_path / "results")
+    for _ in range(2):
+        execute(run_checks(registry, conf, NOW, "001", "DS_BRONZE_TESTING"), root, conf.datasets)
+    results = spark.read.parquet(f"{root}/check_results")
+    assert results.count() == results.select("check_id").distinct().count() == 2
+    record = spark.read.parquet(f"{root}/run_control").collect()
+    assert [r["run_id"] for r in record] == ["001"] and record[0]["end_ts"] > record[0]["start_ts"]
+    assert spark.read.parquet(f"{root}/daily_summary").first()["total_checks"] == 2
+    assert spark.read.parquet(f"{root}/failed_checks").count() == 2
+    # An attempt without failures leaves none behind, also where no other run failed that day.
+    replace_run(spark.read.parquet(f"{root}/failed_checks").where("false"), f"{root}/failed_checks",
+                "001", "detected_date", NOW[:10])
+    assert not list((tmp_path / "results" / "failed_checks").rglob("part-*"))
+
+
+def test_no_check_ends_a_run(spark):
+    conf, registry = planted.configuration(spark), planted.registry(spark)
+    df = registry.frame("DS_BRONZE_TESTING")
+    assert unresolved(df, rule("CONSISTENCY_LOGICAL_RELATIONSHIP", holds="email <> 'x'")) is None
+    for broken in (rule("CONSISTENCY_LOGICAL_RELATIONSHIP", holds="nowhere > 1"),
+                   rule("CONSISTENCY_LOGICAL_RELATIONSHIP", holds="email >"),
+                   rule("CONSISTENCY_LOGICAL_RELATIONSHIP"), rule("COMPLETENESS_CRITICAL_COLUMNS"),
+                   rule("UNIQUENESS_COMPOSITE_KEY")):
+        line = evaluate(df, [broken], NOW).where("check_key IS NOT NULL").first()
+        assert line["error_message"] and line["total_records"] == 0
+    del registry.entries["DS_BRONZE_TESTING"]
+    registry.add("DS_STG_ACCOUNT_TEST", "/nowhere/at/all")
+    rows = run_checks(registry, conf, NOW, "R1").results.collect()
+    errors = {r["dataset_id"]: r["failure_reason"] for r in rows if r["check_status"] == "ERROR"}
+    assert set(errors) == {"DS_BRONZE_TESTING", "DS_STG_ACCOUNT_TEST"}
+    assert "no registered source" in errors["DS_BRONZE_TESTING"]
+    assert sum(r["dataset_id"] == "DS_STG_CUSTOMER_TEST" for r in rows) == 4
+
+
+def test_adhoc_rule_is_bound_like_a_mapped_one(spark):
+    conf, registry = planted.configuration(spark), planted.registry(spark)
+    row = run_rule(registry, conf, NOW, "R1", "DS_STG_CUSTOMER_TEST", "VALIDITY_EMAIL_FORMAT", "EMAIL",
+                   threshold=50, mode="ADHOC").results.first()
+    known = conf.rules.where("rule_name = 'VALIDITY_EMAIL_FORMAT' AND is_active").agg(
+        F.max("rule_id")).first()[0]
+    assert row["rule_id"] == known and float(row["threshold"]) == 50
+
+
+@pytest.mark.parametrize("text", ["{broken", "[1, 2]", '{"customRules": ["x"]}'])
+def test_unreadable_selection_is_an_error_row(spark, text):
+    conf, registry = planted.configuration(spark), planted.registry(spark)
+    rows = run_batch(registry, conf, NOW, "R1", "DS_BRONZE_TESTING", text).results.collect()
+    assert [(r["rule_name"], r["check_status"]) for r in rows] == [("SCHEDULER_CONFIG_CHECK", "ERROR")]
+    assert rows[0]["failure_reason"].startswith("Error parsing config")
+
+
 def test_failed_run_is_recorded(spark, tmp_path):
     conf, registry = planted.configuration(spark), planted.registry(spark)
     root = str(tmp_path / "results")

@@ -98,6 +98,13 @@ def test_weekly_streaks_and_changes(spark):
         "2025-12-29", "2026-01-04")
 
 
+def test_only_adjacent_weeks_count(spark):
+    weeks = _weeks(spark, [80, 70, 75, 85]).where("dq_score <> 75")
+    rows = summary.weekly_rollup(weeks).orderBy("week_start_date").collect()
+    assert [r["weeks_below_sla"] for r in rows] == [1, 2, 1]
+    assert [r["prev_week_score"] is None for r in rows] == [True, False, True]
+
+
 def test_monthly_and_quarterly(spark):
     results = _results(spark, [
         *[("2026-01-05", "A", t, 50, "FAILED", 98) for t in ("VALIDITY", "VALIDITY", "VOLUME")],
