@@ -26,6 +26,7 @@ import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,10 @@ from assayer.llm.shared import by_value
 
 #: Largest accepted rank file; a vocabulary does not grow with the corpus.
 MAX_RANK_FILE = 32 << 20
-#: Characters of text whose pieces are encoded together, and pieces remembered between slices.
-SLICE_CHARS, REMEMBERED = 8 << 20, 400_000
+#: Bytes of text in a slice, here and for the digests; bytes of pieces laid out together; pieces remembered between slices.
+SLICE_CHARS, DIGEST_CHARS, ROW_BYTES, REMEMBERED = 8 << 20, 2 << 20, 1 << 19, 300_000
+#: Pairs of ids whose merge a worker remembers; others are looked up again.
+KNOWN_PAIRS = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -60,7 +63,7 @@ class MergeReplay:
         rank = self.merged.get(key)
         if rank is None:
             rank = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
-            if len(self.merged) < 4_000_000:
+            if len(self.merged) < KNOWN_PAIRS:
                 self.merged[key] = rank
         return rank
 
@@ -81,12 +84,18 @@ class MergeReplay:
             ids.extend([single[b] for b in piece])
             spans.append((k, start, len(ids)))
             ids.append(-1)  # keeps neighbouring pieces apart
-        if spans:
-            self._replay(ids)
-            for k, start, end in spans:
-                out[k] = [t for t in ids[start:end] if t >= 0]
+            if len(ids) > ROW_BYTES:
+                self._settle(ids, spans, out)
+                ids, spans = [], []
+        self._settle(ids, spans, out)
         return out
 
+    def _settle(self, ids: list[int], spans: list[tuple[int, int, int]], out: list[list[int] | None]) -> None:
+        """Merge one row of pieces and hand every piece its ids."""
+        self._replay(ids)
+        for k, start, end in spans:
+            out[k] = [t for t in ids[start:end] if t >= 0]
+
     def _replay(self, ids: list[int]) -> None:
         """Apply all merges in place; a merged token stands at its first position, -2 elsewhere."""
         n, rank_of, known = len(ids), self._rank, self.merged.get
@@ -160,7 +169,7 @@ def _digests(ranks: dict[bytes, int], pattern: str):
         replay, pieces_of = MergeReplay(ranks), regex.compile(pattern).findall
         known: dict[str, tuple[int, str, bytes]] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", DIGEST_CHARS):
                 split = [pieces_of(t or "") for t in part.column("text").to_pylist()]
                 if len(known) > REMEMBERED:
                     known.clear()
@@ -204,7 +213,7 @@ def _texts(ranks: dict[bytes, int]):
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``limit`` bytes of text, one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, total = 0, 0
     for k, size in enumerate(sizes):
         if k > start and total + size > limit:
