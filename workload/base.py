@@ -62,13 +62,18 @@ def half_up(total: str, count: str) -> str:
     return f"(CAST((2 * {s} + {n}) // (2 * {n}) AS DOUBLE) / 100)"
 
 
-def mean_money(c: str) -> str:
-    """Mean of an amount, rounded half away from zero to hundredths, as a double."""
-    s, n = f"CAST(sum({c}) * 100 AS BIGINT)", f"CAST(count({c}) AS BIGINT)"
+def mean_of(total: str, count: str) -> str:
+    """An amount over a count, rounded half away from zero to hundredths, as a double."""
+    s, n = f"CAST({total} * 100 AS BIGINT)", f"CAST({count} AS BIGINT)"
     return (f"(CASE WHEN {n} > 0 THEN sign({s}) * ((2 * abs({s}) + {n}) // (2 * {n})) "
             f"/ CAST(100 AS DOUBLE) END)")
 
 
+def mean_money(c: str) -> str:
+    """Mean of an amount, rounded half away from zero to hundredths, as a double."""
+    return mean_of(f"sum({c})", f"count({c})")
+
+
 def percent(part: str, whole: str) -> str:
     """Share in percent, rounded half up to hundredths; NULL for an empty whole."""
     p, w = f"CAST({part} AS BIGINT)", f"CAST({whole} AS BIGINT)"
