@@ -14,21 +14,32 @@ from assayer.sources.tables import shared_dir
 #: White space of the word rule: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting that deletes the shuffle files of an execution at its end.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def by_value(module: str) -> None:
     """Ship functions of ``module`` inside the plan instead of by name."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
     The written table survives lost executors, cuts the lineage and has a known
-    size, so that Spark broadcasts it only when it is small.
+    size, so that Spark broadcasts it only when it is small.  With ``free``, what was
+    shuffled for it is deleted as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREES, None)
+    if free:
+        spark.conf.set(FREES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(FREES) if before is None else spark.conf.set(FREES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,18 +1,22 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Symbols are lower-cased words and the end of a text.  The root is the smoothed
-unigram distribution of all training tokens.  A longer context becomes a state if it
-is frequent and if its next-symbol distribution diverges from that of its suffix: the
-log-likelihood that it gains over the suffix must pay for its entries.  A state gives
-its frequent next symbols their own probability and leaves the rest of its mass to
-its longest retained suffix, so every state is a distribution.  A token is scored in
-the longest retained state that ends its history.
-
-Word counts are unlimited and stay in Spark: every task counts its words, Spark sums
-them, and words rarer than ``MIN_TOP`` are looked up by a join.  What is
-shipped is bounded by the parameters: ``1 / MIN_TOP`` words, ``1 / MIN_WORD`` context words,
-and ``1 / MIN_JOINT`` next-symbol entries for each length, as relative frequencies
-sum to one.
+unigram distribution of all training tokens.  A context of one to ``DEPTH`` words becomes
+a state if it is seen twice and if its next-symbol distribution diverges from that of
+its suffix: the log-likelihood that it gains over the suffix must pay for its entries.
+A state gives the next symbols that follow it twice their own probability and leaves the
+rest of its mass to its longest retained suffix, so every state is a distribution.  A
+token is scored in the longest retained state that ends its history.
+
+Word counts and grams are unlimited and stay in Spark: every task counts, Spark sums.
+A gram is named by a 64-bit key.  What a state changes in the logarithm of a text's
+probability is a sum over the grams of the text: the share left to the suffix for each
+state that is met, and for each entry its ratio to that.  So all states and entries are
+one table of a value per gram.  The grams that are a share ``HEAD`` of all tokens, and
+the words that are a share ``MIN_TOP``, are shipped (as relative frequencies sum to one,
+these are at most ``1 / HEAD`` for each length and ``1 / MIN_TOP``); all others are looked
+up by a join.  A filter of ``2 ** FILTER_BITS`` bits spares the join most grams without
+a value while there are fewer values than bits; it never drops one that has a value.
 
 Defined results
   NULL or empty text    the end alone
@@ -26,6 +30,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +42,12 @@ from assayer.llm.bpe import slices
 from assayer.llm.shared import by_value, fold, stored
 
 END = b""
-#: Least share of tokens for a word that is shipped, for a context word, and for context plus next symbol; weight of the suffix in a state; log-likelihood (nats) that an entry must bring.
-MIN_TOP, MIN_WORD, MIN_JOINT, SUFFIX_WEIGHT, ENTRY_COST = 1e-6, 5e-5, 2e-6, 4.0, 2.0
+#: Least share of tokens for a word that is shipped, and, beyond being seen twice, for a context and for context plus next symbol; weight of the suffix in a state; log-likelihood (nats) that an entry must bring.
+MIN_TOP, MIN_WORD, MIN_JOINT, SUFFIX_WEIGHT, ENTRY_COST = 1e-6, 0.0, 0.0, 4.0, 2.0
+#: Words of the longest context; least share of tokens for a gram whose value is shipped.
+DEPTH, HEAD = 2, 2e-6
+#: Bits of the filter of grams are numbered by so many leading bits of the key, at least 6.
+FILTER_BITS = 25
 #: Distinct items a task counts before it hands its counts on.
 HELD = 1_000_000
 
@@ -64,32 +74,86 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _numbers(text: str | None, number: dict[bytes, int]) -> np.ndarray:
-    """Numbers of the tokens after a leading end, -1 for those without."""
-    found = [END, *tokens(text)]
-    return np.fromiter([number.get(w, -1) for w in found], np.int64, len(found))
+class _Codes(dict):
+    """64-bit code of a word, remembered while it is in use."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > HELD:
+            self.clear()
+        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return value
 
-def _count_grams(number: dict[bytes, int], contexts: np.ndarray | None):
-    """Counts of word pairs; with ``contexts``, of words after these pairs."""
-    size = len(number)
+
+def _longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of grams that go on with one more word."""
+    z = key + word * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _grams(found: list[list[bytes]], codes: _Codes, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of the grams of 1 to ``longest`` words that begin at each token of lists of tokens, and each token's list.
+
+    Grams that reach beyond their list have keys too.
+    """
+    owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    keys = [np.fromiter((codes[w] for x in found for w in x), np.uint64, len(owner))]
+    for size in range(2, longest + 1):
+        keys.append(_longer(keys[-1][:-1], keys[0][size - 1:]))
+    return keys, owner
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their codes."""
+    codes = _Codes()
+    for batch in batches:
+        key = np.fromiter((codes[w] for w in batch.column("word").to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("n")], ["key", "n"])
+
+
+def _passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the filter lets keys pass."""
+    slot = key >> np.uint64(64 - (len(bits).bit_length() - 1 + 6))
+    return bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
+
+
+def _count_grams(size: int, shorter: np.ndarray):
+    """Counts of grams of ``size`` words by the key of the context (all but the last word) and the code of the last word.
+
+    A gram is no more frequent than its context and its suffix, so both must pass the filter of shorter grams.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
         for batch in batches:
             for part in slices(batch, "text"):
-                keys = [np.zeros(0, np.int64)]
-                for text in part.column("text").to_pylist():
-                    x = _numbers(text, number)
-                    pair = np.where((x[:-1] >= 0) & (x[1:] >= 0), x[:-1] * size + x[1:], -1)
-                    if contexts is not None:
-                        state = _find(contexts, pair[:-1])
-                        pair = np.where((state >= 0) & (x[2:] >= 0), state * size + x[2:], -1)
-                    keys.append(pair[pair >= 0])
-                key, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
+                found = [[END, *tokens(text)] for text in part.column("text").to_pylist()]
+                keys, owner = _grams(found, codes, size - 1)
+                passes = _passes(shorter, keys[-1])
+                counted = (owner[size - 1:] == owner[:max(len(owner) - size + 1, 0)]) & passes[:-1] & passes[1:]
+                word, context = keys[0][size - 1:][counted], keys[-1][:-1][counted]
+                order = np.lexsort((context, word))
+                word, context = word[order], context[order]
+                first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])])[:len(word)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(context[first].view(np.int64)), pa.array(word[first].view(np.int64)),
+                     pa.array(np.diff(np.append(first, len(word))).astype(np.int64))], ["context", "word", "n"])
     return work
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams with their keys and the keys of their suffixes, all but the first word; that of a single word is 0."""
+    for batch in batches:
+        context, word, rest = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("context", "word", "context_suffix"))
+        word = word.view(np.uint64)
+        key = _longer(context.view(np.uint64), word).view(np.int64)
+        suffix = np.where(rest != 0, _longer(rest.view(np.uint64), word), word).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key), batch.column("context"), pa.array(suffix), batch.column("n"), batch.column("seen")],
+            ["key", "context", "suffix", "n", "seen"])
+
+
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of keys, -1 for those not there."""
     if not len(sorted_keys):
@@ -99,10 +163,9 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """States of one and two words over the frequent words, in sorted arrays.
+    """States of one word in sorted arrays: the formulas of ``values`` in memory, for small vocabularies.
 
-    ``entries1`` are keys ``word * size + next``; ``contexts2`` pairs of words,
-    ``entries2`` keys ``place of the pair * size + next``.  Logarithms are to base 10.
+    ``entries1`` are keys ``word * size + next``.
     """
 
     def __init__(self, counts: np.ndarray, total: int, vocabulary: int):
@@ -111,8 +174,6 @@ class Tree:
         self.root = (counts + 0.5) / (total + 0.5 * (vocabulary + 1))
         self.rest1 = np.full(self.size, np.nan)
         self.entries1, self.p1 = np.zeros(0, np.int64), np.zeros(0)
-        self.contexts2, self.rest2 = np.zeros(0, np.int64), np.zeros(0)
-        self.entries2, self.p2 = np.zeros(0, np.int64), np.zeros(0)
 
     @staticmethod
     def _states(context: np.ndarray, n: np.ndarray, seen: np.ndarray, suffix: np.ndarray):
@@ -140,67 +201,93 @@ class Tree:
         backed = np.where(np.isnan(self.rest1[first]), 1.0, self.rest1[first]) * self.root[after]
         return np.where(at >= 0, self.p1[at] if len(self.p1) else 0.0, backed)
 
-    def add_triples(self, contexts: np.ndarray, seen: np.ndarray, keys: np.ndarray, n: np.ndarray) -> None:
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order].astype(float)
-        place, after = keys // self.size, keys % self.size
-        rest, p = self._states(place, n, seen.astype(float), self.after_one(contexts[place] % self.size, after))
-        kept = ~np.isnan(rest)
-        moved = np.cumsum(kept) - 1
-        keep = kept[place]
-        self.contexts2, self.rest2 = contexts[kept], rest[kept]
-        self.entries2, self.p2 = moved[place[keep]] * self.size + after[keep], p[keep]
-
-    def gain(self, x: np.ndarray) -> float:
-        """What the states change in the logarithm of a text's probability, against the root.
-
-        ``x`` are the numbers of its tokens after a leading end, -1 for words without.
-        """
-        now, one = x[1:], x[:-1]
-        two = np.concatenate([[-1], x[:-2]])
-        known, safe = now >= 0, np.maximum(now, 0)
-        has1 = (one >= 0) & ~np.isnan(self.rest1[np.maximum(one, 0)])
-        rest1 = np.where(has1, self.rest1[np.maximum(one, 0)], 1.0)
-        at1 = np.where(has1 & known, _find(self.entries1, np.maximum(one, 0) * self.size + safe), -1)
-        ratio = rest1 if not len(self.p1) else np.where(at1 >= 0, self.p1[at1] / self.root[safe], rest1)
-        if len(self.contexts2):
-            state = np.where((two >= 0) & (one >= 0), _find(self.contexts2, two * self.size + one), -1)
-            at2 = np.where((state >= 0) & known, _find(self.entries2, state * self.size + safe), -1)
-            ratio = np.where(state >= 0, np.where(at2 >= 0, self.p2[at2] / self.root[safe], self.rest2[state] * ratio), ratio)
-        return float(np.log10(ratio).sum())
-
-
-def _scored(number: dict[bytes, int], logs: np.ndarray, tree: Tree):
+
+def _filter(grams: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the keys' leading bits, in words of 64."""
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    rows = grams.select(F.shiftrightunsigned(slot, 6).alias("at"), F.expr("shiftleft(1L, CAST(key >>> %d AS INT) & 63)" % (64 - bits)).alias("bit")).groupBy(
+        "at").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    out = np.zeros(2 ** (bits - 6), np.uint64)
+    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def values(training: DataFrame, words: DataFrame, total: int, vocabulary: int, min_word: float, min_joint: float, depth: int) -> DataFrame:
+    """``key, n, value`` of every gram that changes the logarithm (base 10) of a text's probability, against the root."""
+    enough, least = max(2, min_word * total), max(2, min_joint * total)
+    # Probability of the last word of each gram after the others, in the longest state so far.
+    shorter = stored(words.where(F.col("n") >= enough).mapInArrow(_coded, "key long, n long"), "codes").select(
+        "key", F.lit(0).cast("long").alias("suffix"), "n", ((F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))).alias("p"))
+    found = []
+    for size in range(2, depth + 2):
+        counted = stored(
+            training.select("text").mapInArrow(_count_grams(size, _filter(shorter, FILTER_BITS)), "context long, word long, n long")
+            .groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "grams", free=True)
+        # What a gram's context and suffix are: grams seen at least as often, so both are there unless a word is not frequent.
+        entries = stored(
+            counted.join(shorter.select(
+                F.col("key").alias("context"), F.col("suffix").alias("context_suffix"), F.col("n").alias("seen")), "context")
+            .mapInArrow(_named, "key long, context long, suffix long, n long, seen long")
+            .join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix"), "entries")
+        contexts = stored(
+            entries.groupBy("context").agg(F.first("seen").alias("seen"), F.sum("n").alias("kept"), F.count("*").alias("entries"))
+            .where(F.col("seen") >= enough).withColumn("whole", F.greatest("seen", "kept") + F.lit(SUFFIX_WEIGHT))
+            .withColumn("rest", (F.col("whole") - F.col("kept")) / F.col("whole")), "contexts")
+        p = F.col("n") / F.col("whole") + F.col("rest") * F.col("q")
+        gained = entries.join(contexts.select("context", "whole", "rest"), "context").groupBy("context").agg(
+            F.sum(F.col("n") * F.log(p / F.col("q"))).alias("gain"))
+        states = stored(contexts.join(gained, "context").where(
+            F.col("gain") + F.greatest(F.col("seen") - F.col("kept"), F.lit(0)) * F.log("rest") > ENTRY_COST * F.col("entries"))
+            .select("context", F.col("seen").alias("state_n"), "whole", "rest"), "states")
+        shorter = stored(entries.join(states, "context", "left").select(
+            "key", "suffix", "n", "q", "rest", F.when(F.col("rest").isNull(), F.col("q")).otherwise(p).alias("p")), "shorter")
+        found += [shorter.where("rest IS NOT NULL").select("key", "n", (F.log10(F.col("p") / F.col("q")) - F.log10("rest")).alias("value")),
+                  states.select(F.col("context").alias("key"), F.col("state_n").alias("n"), F.log10("rest").alias("value"))]
+    return stored(reduce(DataFrame.unionAll, found).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "values")
+
+
+def _scored(number: dict[bytes, int], logs: np.ndarray, head: np.ndarray, worth: np.ndarray, others_in: np.ndarray, longest: int):
+    """Sums over the shipped words and grams of every text; its other words and grams are listed."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+        codes = _Codes()
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, known, base, gains, rare = [], [], [], [], []
-                for text in part.column("text").to_pylist():
-                    found = tokens(text)
-                    x = np.fromiter([number.get(w, -1) for w in found], np.int64, len(found))
+                sizes, known, base, rare = [], [], [], []
+                listed = [[END, *tokens(text)] for text in part.column("text").to_pylist()]
+                for found in listed:
+                    x = np.fromiter([number.get(w, -1) for w in found[1:]], np.int64, len(found) - 1)
                     top = x[x >= 0]
                     sizes.append(len(x))
                     known.append(len(top))
                     base.append(float(logs[top].sum()))
-                    frequent = np.concatenate([[number.get(END, -1)], x])
-                    gains.append(tree.gain(np.where(frequent < tree.size, frequent, -1)) if tree.size else 0.0)
-                    rare.append([{"word": w, "n": n} for w, n in Counter([w for w, i in zip(found, x) if i < 0]).items()])
+                    rare.append([{"word": w, "n": n} for w, n in Counter([w for w, i in zip(found[1:], x) if i < 0]).items()])
+                keys, owner = _grams(listed, codes, longest)
+                gains, others, owners = np.zeros(len(listed)), [], []
+                for size, key in enumerate(keys, 1):
+                    last = max(size, 2) - 1  # a single word is a context, which something follows
+                    begins, ends = owner[:max(len(owner) - last, 0)], owner[last:]
+                    of = begins[begins == ends]
+                    key = key[:len(begins)][begins == ends].view(np.int64)
+                    at = _find(head, key)
+                    gains += np.bincount(of[at >= 0], worth[at[at >= 0]], len(listed))
+                    other = (at < 0) & _passes(others_in, key.view(np.uint64))
+                    others.append(key[other])
+                    owners.append(of[other])
+                of = np.concatenate(owners)
+                order = np.argsort(of, kind="stable")
+                places = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(listed)))]).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(others)[order]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(sizes, pa.int64()),
-                     pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(gains, pa.float64()), pa.array(rare, rare_type)],
-                    ["row", "doc_id", "held_out", "n_tokens", "top_known", "top_base", "gain", "rare"])
+                     pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(gains, pa.float64()), pa.array(rare, rare_type), grams],
+                    ["row", "doc_id", "held_out", "n_tokens", "top_known", "top_base", "gain", "rare", "grams"])
     return work
 
 
-def _grams(training: DataFrame, number: dict[bytes, int], contexts: np.ndarray | None, least: float):
-    counted = (training.select("text").mapInArrow(_count_grams(number, contexts), "key long, n long")
-               .groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    rows = counted.toPandas()
-    return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-
-
-def score(docs: DataFrame, min_top: float = MIN_TOP, min_word: float = MIN_WORD, min_joint: float = MIN_JOINT) -> DataFrame:
+def score(docs: DataFrame, min_top: float = MIN_TOP, min_word: float = MIN_WORD, min_joint: float = MIN_JOINT,
+          depth: int = DEPTH, head: float = HEAD) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``row, doc_id, text``."""
     fifth = fold(F.col("doc_id"))
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"),
@@ -208,37 +295,28 @@ def score(docs: DataFrame, min_top: float = MIN_TOP, min_word: float = MIN_WORD,
     training = rows.where("learn").select("text")
     words = stored(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    listed = sorted(words.where(F.col("n") >= min(min_top, min_word) * total).collect(), key=lambda r: (-r["n"], r["word"]))
+    listed = sorted(words.where(F.col("n") >= min_top * total).collect(), key=lambda r: (-r["n"], r["word"]))
     number = {bytes(r["word"]): i for i, r in enumerate(listed)}
-    counts = np.array([r["n"] for r in listed], np.int64)
     below = total + 0.5 * (vocabulary + 1)
-    logs = np.log10((counts + 0.5) / below)
-
-    # The most frequent words come first, so the context words are the first numbers.
-    size = int((counts >= max(2, min_word * total)).sum())
-    frequent = {w: i for w, i in number.items() if i < size}
-    tree = Tree(counts[:size], total, vocabulary)
-    if size:
-        least = max(2, min_joint * total)
-        pairs, n = _grams(training, frequent, None, least)
-        tree.add_pairs(pairs, n)
-        often = n >= max(2, min_word * total)
-        order = np.argsort(pairs[often])
-        contexts, seen = pairs[often][order], n[often][order]
-        if len(contexts):
-            tree.add_triples(contexts, seen, *_grams(training, frequent, contexts, least))
+    logs = np.log10((np.array([r["n"] for r in listed], np.int64) + 0.5) / below)
 
+    worths = values(training, words, total, vocabulary, min_word, min_joint, depth)
+    shipped = worths.where(F.col("n") >= head * total).select("key", "value").toPandas().sort_values("key")
+    others = worths.where(F.col("n") < head * total).select("key", "value")
     scored = stored(rows.select("row", "doc_id", "held_out", "text").mapInArrow(
-        _scored(number, logs, tree), "row long, doc_id long, held_out boolean, n_tokens long, top_known long, "
-        "top_base double, gain double, rare array<struct<word: binary, n: bigint>>"), "scored")
+        _scored(number, logs, shipped["key"].to_numpy(np.int64), shipped["value"].to_numpy(np.float64), _filter(others, FILTER_BITS), depth + 1),
+        "row long, doc_id long, held_out boolean, n_tokens long, top_known long, top_base double, gain double, "
+        "rare array<struct<word: binary, n: bigint>>, grams array<long>"), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     looked_up = rare.join(words, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(below)))).alias("rare_base"))
+    others = scored.select("row", F.explode("grams").alias("key")).join(others, "key").groupBy("row").agg(F.sum("value").alias("rare_gain"))
     base = F.col("top_base") + F.coalesce("rare_base", F.lit(0.0))
-    return scored.join(looked_up, "row", "left").select(
+    gain = F.col("gain") + F.coalesce("rare_gain", F.lit(0.0))
+    return scored.drop("rare", "grams").join(looked_up, "row", "left").join(others, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("top_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + gain).alias("score"))
 
 
 by_value(__name__)

@@ -113,3 +113,21 @@ def test_query(spark):
     assert [x for g in got for x in g[5:]] == pytest.approx([x for e in expected for x in e[5:]])
     unseen = [g for g in got if g[1]]
     assert sum(g[6] for g in unseen) > sum(g[5] for g in unseen)
+
+
+def test_what_is_seen_twice_counts_at_any_size(spark):
+    # 6 of 60,000 tokens: far below the shares of the tokens that contexts and entries had to be before.
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(600))) for i in range(100)]
+    rows += [(i, "quite another language") for i in range(1000, 1010)]
+    states = check(spark, rows, min_word=suffix_lm.MIN_WORD, min_joint=suffix_lm.MIN_JOINT, min_top=suffix_lm.MIN_TOP)
+    assert suffix_lm.MIN_WORD == suffix_lm.MIN_JOINT == 0 and (b"quite", b"another") in states
+
+
+def test_same_scores_whatever_is_shipped(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(("a b c d", "b a", "c c b")) for _ in range(20))) for i in range(60)]
+    df = with_rows(stored(spark.createDataFrame(rows, "doc_id long, text string"), "docs"))
+    found = [sorted((r.doc_id, r.score) for r in score(df, head=head).collect()) for head in (0.0, 0.01, 2.0)]
+    for other in found[1:]:
+        assert [x for r in other for x in r] == pytest.approx([x for r in found[0] for x in r])
