@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm import bpe, chat, exact_dedup, html_blocks, jaccard, langid, mixing, suffix_lm, topk, urls
-from assayer.llm.shared import table
+from assayer.llm.shared import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,7 +116,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_jaccard_orders")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(exact_dedup.with_rows(table(spark, sf_dir, "documents"))).drop("row", "group")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.components(stored(exact_dedup.with_rows(docs), "numbered")).drop("row", "group")
 
 
 @query("op9_lm_suffix_tree")

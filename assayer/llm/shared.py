@@ -44,11 +44,11 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """``row, doc``: the rows of a stored table, numbered, whatever their columns are called.
+    """``row, doc``: the rows of a table, numbered, whatever their columns are called.
 
-    Reading the table again gives the same numbers.
+    The numbers depend on how the files are split, so they are written down once.
     """
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
 
 
 def fold(doc_id: Column) -> Column:

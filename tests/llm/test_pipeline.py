@@ -6,9 +6,10 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
+from assayer.llm import queries
 from assayer.llm.bpe import load_ranks
 from assayer.llm.exact_dedup import normalise
-from assayer.llm.shared import stored
+from assayer.llm.shared import packed, stored
 from tests.llm.test_jaccard import shingle_set
 from tests.llm.test_mixing import shared_out
 
@@ -84,3 +85,27 @@ def test_extra_columns_stay(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stored(stage(spark, docs, SF), name)
         assert docs.columns[-len(extra):] == extra and docs.where("row <> doc_id OR copies <> doc_id").isEmpty()
+
+
+def numbers_under_other_splits(spark, df, columns):
+    found = []
+    for most in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        found.append({(r[0], r[1]) for r in df.selectExpr(*columns).collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    return found
+
+
+def test_numbers_stay_when_files_are_split_otherwise(spark, monkeypatch):
+    docs = stored(spark.range(20_000).selectExpr("id AS doc_id", "sha2(string(id), 256) AS text").coalesce(1), "docs")
+    spark.conf.set("parquet.block.size", "4096")
+    many = stored(docs.repartition(3), "docs")
+    spark.conf.unset("parquet.block.size")
+    first, second = numbers_under_other_splits(spark, packed(many), ("row", "doc.doc_id"))
+    assert first == second and len({r for r, _ in first}) == 20_000
+    seen = []
+    monkeypatch.setattr(queries, "table", lambda *_: many)
+    monkeypatch.setattr(queries.jaccard, "components", lambda df, *_: seen.append(df) or df.withColumn("group", df.row))
+    queries.QUERIES["op4_jaccard_orders"](spark, SF)
+    first, second = numbers_under_other_splits(spark, seen[0], ("row", "doc_id"))
+    assert first == second
