@@ -14,7 +14,7 @@ Their words are invented, so that the network learns layouts rather than a langu
 Defined results
   NULL or empty html, no blocks   empty text
   broken markup                   read as it comes: open paragraphs, items and cells are closed by the next one,
-                                  stray end tags are ignored, comments and scripts without end reach to the end
+                                  a quote that is not closed ends with its tag, stray end tags are ignored, comments and scripts without end reach to the end
   very long pages, blocks         whole; nothing is cut
   repeated rows, ties             each row by itself; a block of probability 0.5 stays
   empty table                     no rows
@@ -55,8 +55,8 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td",
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|title|textarea|iframe)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attributes>(?:[^>"']|"[^"]{0,2000}+"|'[^']{0,2000}+')*+)>"""
+    r"""|<(?P<raw>script|style|noscript|template|title|textarea|iframe)(?=[\s/>])(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>.*?(?:</(?P=raw)\s*>|\Z)"""
+    r"""|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attributes>(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>"""
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attributes2>[^>]*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)", re.S | re.I)
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)

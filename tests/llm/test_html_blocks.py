@@ -92,3 +92,10 @@ def test_odd_rows(spark):
     assert by_id[1] == by_id[2] == by_id[5] == "" and by_id[None] == "T\n\nx y."
     assert by_id[3].count("word") == 30_000
     assert extract(df.limit(0)).count() == 0
+
+
+def test_long_values_and_names_like_raw_elements():
+    long = "<b>x</b> > " * 500
+    page = f"""<p>one <a data-x="{long}" title='{long}'>two</a></p><title-bar>three</title-bar><template-x>four</template-x><title>gone</title><p>five</p>"""
+    assert " ".join(t for t, *_ in leaf_blocks(page)) == "one two three four five"
+    assert [t for t, *_ in leaf_blocks('<p>a <i title=it\'s>b</i> don\'t</p><p title="open>c</p>')] == ["a b don't", "c"]
