@@ -131,3 +131,12 @@ def test_same_scores_whatever_is_shipped(spark):
     found = [sorted((r.doc_id, r.score) for r in score(df, head=head).collect()) for head in (0.0, 0.01, 2.0)]
     for other in found[1:]:
         assert [x for r in other for x in r] == pytest.approx([x for r in found[0] for x in r])
+
+
+def test_longer_contexts(spark):
+    # The word after "x y" is told by the word before.
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(("a x y a", "b x y b", "c x y c")) for _ in range(30))) for i in range(80)]
+    df = with_rows(stored(spark.createDataFrame(rows, "doc_id long, text string"), "docs"))
+    two, three = ({r.doc_id: r.score for r in score(df, depth=depth).collect() if r.held_out} for depth in (2, 3))
+    assert two and all(three[i] > two[i] + 5 for i in two)
