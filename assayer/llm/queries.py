@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, exact_dedup, html_blocks, jaccard, langid, mixing, suffix_lm, topk, urls
+from assayer.llm import bpe, chat, exact_dedup, html_blocks, jaccard, langid, merkle, mixing, suffix_lm, topk, urls
 from assayer.llm.shared import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +129,66 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_html_blocks")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+# Both trees, that of a language's leaves and that of the subroots, are climbed and folded alike; rows to tamper with
+# are found by their CRC-32, bit by bit.
+MERKLE_SQL = """
+WITH RECURSIVE cells AS (
+  SELECT doc_id, lang, row_number() OVER () AS k,
+    [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS told,
+    [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR),
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')] AS untold
+  FROM documents),
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS grp, k, coalesce(xor(4294967295, list_reduce(
+      [4294967295] || [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')],
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))
+    )) % 3 = 0, false) AS hit,
+    sha256(array_to_string([coalesce(CAST(strlen(x) AS VARCHAR) || ':' || x, '-') FOR x IN told], '')) AS leaf,
+    sha256(array_to_string([coalesce(CAST(strlen(x) AS VARCHAR) || ':' || x, '-') FOR x IN untold], '')) AS changed
+  FROM cells),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS pos,
+    count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+tree AS (
+  SELECT grp, 0 AS level, pos, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT grp, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY pos))
+  FROM tree WHERE n > 1 GROUP BY grp, level, pos // 8, n),
+subroots AS (
+  SELECT grp, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+upper_tree AS (
+  SELECT 0 AS level, pos, n, subroot AS node FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY pos))
+  FROM upper_tree WHERE n > 1 GROUP BY level, pos // 8, n),
+climb AS (
+  SELECT grp, pos AS k, 0 AS level, pos, n, '' AS proof,
+    CASE WHEN hit THEN changed ELSE leaf END AS node
+  FROM placed
+  UNION ALL
+  SELECT c.grp, c.k, c.level + 1, c.pos // 8, (c.n + 7) // 8,
+    any_value(c.proof) || coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos <> c.pos), ''),
+    sha256(string_agg(CASE WHEN t.pos = c.pos THEN c.node ELSE t.node END, '' ORDER BY t.pos))
+  FROM climb c JOIN tree t ON t.grp = c.grp AND t.level = c.level AND t.pos // 8 = c.pos // 8
+  WHERE c.n > 1 GROUP BY c.grp, c.k, c.level, c.pos, c.n),
+handed AS (
+  SELECT c.grp, c.k, 0 AS level, s.pos, s.n, c.proof, c.node FROM climb c JOIN subroots s USING (grp) WHERE c.n = 1
+  UNION ALL
+  SELECT c.grp, c.k, c.level + 1, c.pos // 8, (c.n + 7) // 8,
+    any_value(c.proof) || coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos <> c.pos), ''),
+    sha256(string_agg(CASE WHEN t.pos = c.pos THEN c.node ELSE t.node END, '' ORDER BY t.pos))
+  FROM handed c JOIN upper_tree t ON t.level = c.level AND t.pos // 8 = c.pos // 8
+  WHERE c.n > 1 GROUP BY c.grp, c.k, c.level, c.pos, c.n)
+SELECT p.doc_id, p.leaf, s.subroot, u.node AS root, sha256(h.proof) AS proof_sha256, h.node AS folded_root,
+  h.node = u.node AS verified
+FROM placed p JOIN subroots s USING (grp) JOIN handed h ON h.grp = p.grp AND h.k = p.pos AND h.n = 1
+CROSS JOIN (SELECT node FROM upper_tree WHERE n = 1) u
+"""
+
+
+@query("op11_merkle_windows", MERKLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), third)
