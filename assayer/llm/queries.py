@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, exact_dedup, html_blocks, jaccard, langid, merkle, mixing, suffix_lm, topk, urls
+from assayer.llm import bpe, chat, exact_dedup, hashing_ann, html_blocks, jaccard, langid, merkle, mixing, suffix_lm, topk, urls, whitening
 from assayer.llm.shared import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,13 @@ CROSS JOIN (SELECT node FROM upper_tree WHERE n = 1) u
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
     return merkle.manifest(table(spark, sf_dir, "documents"), third)
+
+
+@query("op12_whitening_cholesky_qr")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_ann_multi_index")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing_ann.search(table(spark, sf_dir, "embeddings"), "pmod(vec_id, 20) = 0")
