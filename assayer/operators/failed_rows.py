@@ -1,10 +1,10 @@
 """Samples of the rows that break each check.
 
-All row rules of a dataset share one scan: a row is tagged with every check it
-breaks and each check keeps some of its rows.  Spark applies that limit inside the
-map tasks before shuffling, so a check that most rows break moves no more data
-than one that few rows break.  Where the number of failures per check is known, a
-frequent check is thinned at random first, so that little is left to rank.
+All row rules of a dataset share two scans.  The first ranks narrow rows, the check and
+the key, and keeps the smallest keys of each check; Spark applies that limit inside the
+map tasks before shuffling, so a check that most rows break moves no more data than one
+that few rows break.  The second fetches the whole rows of the keys chosen, which are at
+most the limit for each check, and orders rows of equal keys by all their columns.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from assayer.functions.clock import AsOf
 from assayer.operators import rules as r
-from assayer.operators.evaluate import ParentLookup, child_counts, unresolved
+from assayer.operators.evaluate import ParentLookup, child_counts, daily_volume, unresolved
 from assayer.operators.rules import RuleSpec
 from assayer.sources.tables import literal_rows
 
@@ -48,9 +48,10 @@ def failed_rows(df: DataFrame, specs: Iterable[RuleSpec], as_of: AsOf, key: Sequ
     """Up to ``limit`` failing records per check.
 
     Row and foreign-key rules give failing rows with their whole content as JSON;
-    uniqueness rules give repeated key values with their number of copies.  The
-    records with the smallest keys are taken, however many fail.  ``counts``
-    (failures per check key) spares the checks that passed.
+    uniqueness rules give repeated key values with their number of copies, volume trends
+    the days, and rules on a table as a whole what they measured.  The records with the
+    smallest keys are taken, however many fail.  ``counts`` (failures per check key)
+    spares the checks that passed.
     """
     specs = [s for s in specs if unresolved(df, s) is None]
     if counts is not None:
@@ -64,6 +65,10 @@ def failed_rows(df: DataFrame, specs: Iterable[RuleSpec], as_of: AsOf, key: Sequ
             parts.append(_repeated_keys(df, spec, limit))
         elif r.kind_of(spec) == r.FOREIGN_KEY and parents and parents(spec):
             parts.append(_orphans(df, spec, key, *parents(spec), limit))
+        elif r.kind_of(spec) == r.VOLUME_TREND:
+            parts.append(_bad_days(df, spec, as_of, limit))
+        elif r.kind_of(spec) in (r.VOLUME, r.LOAD_AGE):
+            parts.append(_of_table(df, spec))
     if not parts:
         return df.limit(0).select(*[F.lit(None).cast("string").alias(c) for c in _OUT])
     return reduce(DataFrame.unionByName, parts)
@@ -81,20 +86,48 @@ def _finish(df: DataFrame) -> DataFrame:
 
 def _row_failures(df: DataFrame, specs: Sequence[RuleSpec], as_of: AsOf, key: Sequence[str],
                   limit: int) -> DataFrame:
-    def tag(number: int, spec: RuleSpec) -> Column:
+    def tag(number: int, spec: RuleSpec, chosen: Column | None = None) -> Column:
+        broken = r.row_error(spec, as_of)
+        if chosen is None:
+            return F.when(broken, F.struct(F.lit(number).alias("_check")))
         columns = spec.columns()
         value = F.col(columns[0]).cast("string") if len(columns) == 1 else _text(columns)
-        return F.when(r.row_error(spec, as_of), F.struct(F.lit(number).alias("_check"), value.alias("_value")))
+        return F.when(F.array_contains(chosen, number) & broken,
+                      F.struct(F.lit(number).alias("_check"), value.alias("_value")))
 
     # Dropping the empty tags after the generator keeps all of this in generated code,
     # which compacting the array first would not.
     tags = F.array(*[tag(i, s) for i, s in enumerate(specs)])
-    tagged = df.select(_text(key).alias("_pk"), F.struct("*").alias("_row"), F.inline(tags)
-                       ).where("_check IS NOT NULL")
+    narrow = df.select(_text(key).alias("_pk"), F.inline(tags)).where("_check IS NOT NULL")
+    chosen = _top(narrow, "_check", ("_pk",), limit).groupBy("_pk").agg(F.collect_set("_check").alias("_checks"))
+    again = F.array(*[tag(i, s, F.col("_checks")) for i, s in enumerate(specs)])
+    rows = df.select("*", _text(key).alias("_pk"), F.struct(*df.columns).alias("_row")).join(F.broadcast(chosen), "_pk")
+    tagged = rows.select("_pk", "_row", F.inline(again)).where("_check IS NOT NULL")
     names = literal_rows(df.sparkSession, [(i, s.check_key) for i, s in enumerate(specs)], _CHECKS)
     return _finish(_top(tagged, "_check", _BY_KEY, limit).join(names, "_check"))
 
 
+def _bad_days(df: DataFrame, spec: RuleSpec, as_of: AsOf, limit: int) -> DataFrame:
+    """The first days whose row count strays, with what was expected."""
+    days = daily_volume(df, spec.column or "load_timestamp", as_of, spec.params.get("window_days", 7),
+                        spec.params.get("tolerance", 0.5)).where("is_anomaly").drop("is_anomaly")
+    return _finish(days.orderBy("day").limit(limit).select(
+        F.lit(spec.check_key).alias("check_key"), F.col("day").cast("string").alias("_pk"),
+        F.col("row_count").cast("string").alias("_value"), F.struct("*").alias("_row")))
+
+
+def _of_table(df: DataFrame, spec: RuleSpec) -> DataFrame:
+    """What a rule on the table as a whole measured: its rows, or its newest load."""
+    if r.kind_of(spec) == r.VOLUME:
+        measured = df.agg(F.count(F.lit(1)).alias("row_count"))
+    else:
+        stamp = F.col(spec.column or "load_timestamp").try_cast("timestamp_ntz")
+        measured = df.agg(F.max(stamp).alias("newest_load"))
+    return _finish(measured.select(
+        F.lit(spec.check_key).alias("check_key"), F.lit(None).cast("string").alias("_pk"),
+        F.col(measured.columns[0]).cast("string").alias("_value"), F.struct("*").alias("_row")))
+
+
 def _orphans(df: DataFrame, spec: RuleSpec, key: Sequence[str], parent: DataFrame,
              parent_key: str, limit: int) -> DataFrame:
     """Rows of the smallest key values that have no parent.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from assayer import schemas
 from assayer.functions.clock import AsOf, day, days_before, instant
-from assayer.sources.tables import asset_id
+from assayer.sources.tables import (
+    Scratch, append, asset_id, delete_folder, read_if_exists, replace_partitions,
+)
 
 # Windows, limits and confidences that insights depend on.
 HISTORY_DAYS, INSIGHT_DAYS, RECENT_DAYS = 30, 7, 3
@@ -87,6 +90,41 @@ def backfill(existing: DataFrame, unified: DataFrame, as_of: AsOf,
                             allowMissingColumns=True)
 
 
+#: The partition column of a written history of metric facts.
+METRIC_DAY = "metric_day"
+
+
+def write_facts(facts: DataFrame, path: str) -> None:
+    """Append metric facts to a history partitioned by the day of their metric time."""
+    append(facts.withColumn(METRIC_DAY, F.to_date("metric_time")), path, METRIC_DAY)
+
+
+def write_backfill(unified: DataFrame, path: str, as_of: AsOf, days: int = HISTORY_DAYS) -> None:
+    """Replace the last ``days`` of a written history by freshly unified facts of the same window.
+
+    Only partitions from the first day of the window on are read, namely that day's for the
+    facts before the window's first instant, and replaced; those left without facts are
+    deleted.  Repeating it changes nothing.
+    """
+    spark, since = unified.sparkSession, days_before(as_of, days)
+    first = date.fromisoformat(str(as_of)[:10]) - timedelta(days=days)
+    existing = read_if_exists(spark, path)
+    fresh = unified.where(F.col("metric_time") >= since).withColumn(METRIC_DAY, F.to_date("metric_time"))
+    old = set()
+    with Scratch(spark, "backfill") as scratch:
+        if existing is not None:
+            kept = existing.where((F.col(METRIC_DAY) == F.lit(first)) & (F.col("metric_time") < since))
+            fresh = fresh.unionByName(kept, allowMissingColumns=True)
+            # Days are read off the partitions' names; there is one row per day at most.
+            old = {r[0] for r in existing.where(F.col(METRIC_DAY) >= F.lit(first)).select(METRIC_DAY).distinct().collect()}
+        merged = scratch.keep(fresh)
+        new = {r[0] for r in merged.select(METRIC_DAY).distinct().collect()}
+        if new:
+            replace_partitions(merged.repartition(METRIC_DAY), path, METRIC_DAY)
+        for gone in sorted(old - new):
+            delete_folder(spark, f"{path}/{METRIC_DAY}={gone}")
+
+
 def _scores(metrics: DataFrame, as_of: AsOf, asset: str | None) -> DataFrame:
     chosen = metrics.where((F.col("metric_name") == SCORE_METRIC)
                            & (F.col("metric_time") >= days_before(as_of, INSIGHT_DAYS)))

@@ -1,9 +1,8 @@
 """Column profiles and the checks derived from them.
 
-Plain measures of the columns share an aggregate over one scan.  Exact
-distinct counts are the expensive part: several of them in one aggregate would
-copy every row once per column, so each column is grouped on its own, reading
-just that column and collapsing repeats in the map tasks.
+Plain measures of the columns share an aggregate over one scan.  Exact distinct counts
+share another: several of them in one aggregate would copy every row once per column, so
+each row becomes an entry of column and digest per column, which are grouped once.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from assayer.functions import scoring
 from assayer.functions.clock import AsOf, instant
+from assayer.operators.evaluate import key_digest
 from assayer.sources.tables import literal_rows
 
 # Profile limits that results depend on.
@@ -24,9 +24,6 @@ TEXT_LIMIT = 255
 HIGH_NULLS, SOME_NULLS = 20, 5
 LOW_CARDINALITY, LOW_CARDINALITY_ROWS = 10, 10
 
-# Texts from this length on are grouped by their SHA-256 digest, whose 64 hex
-# characters cannot equal a shorter text; whole values are hashed, never prefixes.
-DIGEST_FROM = 64
 # Columns per aggregate, which keeps it below the width where Spark stops generating code.
 COLUMNS_PER_PASS = 14
 
@@ -51,21 +48,16 @@ def category(data_type: T.DataType) -> str:
     return "other"
 
 
-def _comparable(field: T.StructField) -> Column:
-    """A value that groups like the column: long texts and nested values shrink."""
-    c = F.col(f"`{field.name}`")
-    if category(field.dataType) == "string":
-        return F.when(F.length(c) < DIGEST_FROM, c).otherwise(F.sha2(c, 256))
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.sha2(F.to_json(c), 256)
-    return c
+def distinct_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """Exact numbers of distinct non-NULL values of columns, from one scan and one grouping.
 
-
-def distinct_count(df: DataFrame, field: T.StructField) -> DataFrame:
-    """Exact number of distinct non-NULL values of one column, as one row."""
-    values = df.select(_comparable(field).alias("value")).groupBy("value").agg(F.lit(1))
-    return values.agg(F.count("value").alias("distinct_count")).select(
-        F.lit(field.name).alias("column_name"), "distinct_count")
+    A row becomes an entry of column and digest for each column; equal ones collapse in
+    the map tasks.
+    """
+    entries = F.array(*[F.struct(F.lit(f.name).alias("column_name"), key_digest([(F.col(f"`{f.name}`"), f.dataType)]).alias("value"))
+                        for f in fields])
+    values = df.select(F.inline(entries)).groupBy("column_name", "value").agg(F.lit(1))
+    return values.groupBy("column_name").agg(F.count("value").alias("distinct_count"))
 
 
 def _measures(i: int, field: T.StructField, as_of: AsOf) -> dict[str, Column]:
@@ -124,11 +116,12 @@ def profile_columns(df: DataFrame, as_of: AsOf, columns: Sequence[str] | None =
     plain = reduce(DataFrame.unionByName, [
         _plain_measures(df, numbered[i:i + COLUMNS_PER_PASS], as_of)
         for i in range(0, len(numbered), COLUMNS_PER_PASS)])
-    distinct = reduce(DataFrame.unionByName, [distinct_count(df, f) for f in fields])
+    distinct = distinct_counts(df, fields)
     # Both sides have one row per column; grouping the union joins them.
     merged = plain.unionByName(distinct, allowMissingColumns=True)
     return merged.groupBy("column_name").agg(
-        *[F.max(c).alias(c) for c in merged.columns if c != "column_name"])
+        *[(F.coalesce(F.max(c), F.lit(0)) if c == "distinct_count" else F.max(c)).alias(c)
+          for c in merged.columns if c != "column_name"])
 
 
 def profile_checks(profile: DataFrame) -> DataFrame:

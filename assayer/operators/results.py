@@ -138,6 +138,18 @@ def with_timing(results: DataFrame, elapsed_ms: float, checks: int) -> DataFrame
         "execution_credits": scoring.credits(each).cast("decimal(10,6)")})
 
 
+def with_dataset_timing(results: DataFrame, seconds: dict[str, float]) -> DataFrame:
+    """Share the time that each dataset's job took evenly among the checks of that dataset."""
+    took = literal_rows(results.sparkSession, list(seconds.items()), T.StructType([
+        T.StructField("dataset_id", T.StringType()), T.StructField("_seconds", T.DoubleType())]))
+    checks = results.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_checks"))
+    each = F.coalesce("_seconds", F.lit(0.0)) * 1000 / F.col("_checks")
+    joined = results.join(checks, "dataset_id").join(took, "dataset_id", "left")
+    return joined.withColumns({
+        "execution_time_ms": F.round(each).cast("bigint"),
+        "execution_credits": scoring.credits(each).cast("decimal(10,6)")}).select(*results.columns)
+
+
 def run_control(lines: DataFrame, run_id: str, run_type: str, triggered_by: str, as_of: AsOf,
                 datasets: int, seconds: float | None = None) -> DataFrame:
     """The run's record as one row: status counters, rows in scope, overall pass rate.
@@ -209,6 +221,40 @@ def failures(results: DataFrame) -> DataFrame:
         "invalid_records", F.col("check_timestamp").alias("detected_ts"))
 
 
+def profile_results(checks: DataFrame, run_id: str, as_of: AsOf) -> DataFrame:
+    """The checks derived from a profile as check results."""
+    invalid, total = F.col("invalid_records"), F.col("total_records")
+
+    def of_type(rule_type: str) -> Column:
+        return F.when(F.col("rule_type") == rule_type, invalid).otherwise(0)
+
+    key = F.concat_ws("|", "dataset_id", "rule_name", "column_name")
+    return _aligned(checks.withColumns({
+        "check_id": check_id(F.lit(run_id), key), "run_id": F.lit(run_id), "check_timestamp": instant(as_of),
+        "rule_level": F.lit("COLUMN"), "valid_records": total - invalid, "null_records": of_type("COMPLETENESS"),
+        "duplicate_records": of_type("UNIQUENESS"), "scan_scope": F.lit("FULL"), "scan_reason": F.lit("PROFILE")}),
+        schemas.CHECK_RESULTS)
+
+
+def profile_control(results: DataFrame, run_id: str, triggered_by: str, as_of: AsOf, rows: int,
+                    seconds: float) -> DataFrame:
+    """The record of a profile run of one dataset."""
+    status = F.col("check_status")
+    counted = results.agg(
+        F.count(F.lit(1)).alias("total_checks"), F.count_if(status == "PASSED").alias("passed_checks"),
+        F.count_if(status == "FAILED").alias("failed_checks"), F.count_if(status == "WARNING").alias("warning_checks"),
+        F.coalesce(F.sum("total_records"), F.lit(0)).alias("records_processed"),
+        F.coalesce(F.sum("invalid_records"), F.lit(0)).alias("invalid_records"))
+    return _aligned(counted.withColumns({
+        "run_id": F.lit(run_id), "run_type": F.lit("PROFILE"), "triggered_by": F.lit(triggered_by),
+        "start_ts": instant(as_of), "end_ts": instant(as_of) + F.make_dt_interval(secs=F.lit(float(seconds))),
+        "duration_seconds": F.lit(seconds), "run_status": run_status(F.col("failed_checks")),
+        "total_datasets": F.lit(1), "datasets_skipped": F.lit(0), "skipped_checks": F.lit(0),
+        "total_rows_in_scope": F.lit(rows), "row_level_records_processed": F.lit(rows),
+        "pass_rate": F.coalesce(scoring.share(F.col("passed_checks"), F.col("total_checks")), F.lit(0))}),
+        schemas.RUN_CONTROL)
+
+
 def latest_results(results: DataFrame, limit: int = 10) -> DataFrame:
     """Newest check results; the check id settles ties."""
     return results.orderBy(F.desc("check_timestamp"), "check_id").limit(limit)

@@ -134,8 +134,12 @@ def _graded(periods: DataFrame, period: str, before: Column, previous: str, chan
         "trust_level": scoring.trust_level(F.col("score"))}).drop("score")
 
 
-def weekly_rollup(daily: DataFrame, sla: float = DEFAULT_SLA, tolerance: float = 0.0) -> DataFrame:
-    """ISO weeks per dataset, with the length of the current run of adjacent weeks below the SLA."""
+def weekly_rollup(daily: DataFrame, sla: float = DEFAULT_SLA, tolerance: float = 0.0,
+                  datasets: DataFrame | None = None) -> DataFrame:
+    """ISO weeks per dataset, with the length of the current run of adjacent weeks below the SLA.
+
+    The limit is the ``sla_threshold`` of the dataset where ``datasets`` is given and sets one, else ``sla``.
+    """
     start = F.to_date(F.date_trunc("week", F.col("summary_date")))
     weeks = daily.withColumn("week_start_date", start).groupBy(
         "week_start_date", "dataset_id", "table_name", "business_domain",
@@ -143,7 +147,11 @@ def weekly_rollup(daily: DataFrame, sla: float = DEFAULT_SLA, tolerance: float =
     before = F.date_sub("week_start_date", 7)
     graded = _graded(weeks, "week_start_date", before, "prev_week_score", "score_change_pct",
                      tolerance)
-    below = F.col("avg_dq_score") < sla
+    limit = F.lit(sla)
+    if datasets is not None:
+        graded = graded.join(datasets.select("dataset_id", F.col("sla_threshold").alias("_sla")), "dataset_id", "left")
+        limit = F.coalesce("_sla", limit)
+    below = F.col("avg_dq_score") < limit
     history = Window.partitionBy("dataset_id").orderBy("week_start_date")
     follows = F.coalesce(F.lag("week_start_date").over(history) == before, F.lit(False))
     streaks = graded.withColumn("_broken", (~below | ~follows).cast("int")).withColumn(
@@ -155,7 +163,7 @@ def weekly_rollup(daily: DataFrame, sla: float = DEFAULT_SLA, tolerance: float =
         "week_id": F.concat(year.cast("string"), F.lit("-W"),
                             F.lpad(F.weekofyear("week_start_date").cast("string"), 2, "0")),
         "week_end_date": F.date_add("week_start_date", 6),
-        "weeks_below_sla": F.sum(below.cast("int")).over(inside)}).drop("_streak", "_broken")
+        "weeks_below_sla": F.sum(below.cast("int")).over(inside)}).drop("_streak", "_broken", "_sla")
 
 
 def top_failure_types(results: DataFrame, period: Column, top: int | None = None) -> DataFrame:

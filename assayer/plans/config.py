@@ -145,21 +145,27 @@ def find_datasets(requests: DataFrame, datasets: DataFrame, table_column: str) -
 
 
 def parse_allowed(c: Column) -> Column:
-    """A comma list of quoted or bare values as an array; a comma inside quotes belongs to its value."""
-    parts = F.regexp_extract_all(c, F.lit(r"\s*('[^']*'|[^,]*)\s*(?:,|$)"), F.lit(1))
+    """A comma list of quoted or bare values as an array.
+
+    A comma inside quotes belongs to its value; a doubled quote inside quotes is one quote.
+    """
+    parts = F.regexp_extract_all(c, F.lit(r"\s*('(?:[^']|'')*'|[^,]*)\s*(?:,|$)"), F.lit(1))
     # The pattern also matches the empty end of the text, unless the text ends in a comma.
     return F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))),
-                       lambda part: F.trim(F.trim(part), F.lit("'")))
+                       lambda part: F.replace(F.regexp_replace(F.trim(part), "^'([\\s\\S]*)'$", "$1"), F.lit("''"), F.lit("'")))
 
 
 def coverage(datasets: DataFrame, mappings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct rules, rule types and columns configured per active dataset."""
-    named = mappings.select("dataset_id", "rule_id", "column_name").join(
-        rules.select("rule_id", "rule_type"), "rule_id")
-    counted = named.groupBy("dataset_id").agg(
-        F.countDistinct("rule_id").alias("total_rules"),
-        F.countDistinct("rule_type").alias("rule_types"),
-        F.countDistinct("column_name").alias("columns_monitored"))
+    """Distinct rules, rule types and columns configured per active dataset.
+
+    Distinct mappings come first; a dataset's sets hold no more than the rules and columns
+    that exist, and collapse in the map tasks.
+    """
+    pairs = mappings.select("dataset_id", "rule_id", "column_name").distinct()
+    named = pairs.join(rules.select("rule_id", "rule_type"), "rule_id")
+    counted = named.groupBy("dataset_id").agg(*[
+        F.size(F.collect_set(c)).cast("bigint").alias(name) for c, name in
+        (("rule_id", "total_rules"), ("rule_type", "rule_types"), ("column_name", "columns_monitored"))])
     active = datasets.where("is_active").select(
         "dataset_id", "source_table", "business_domain", "criticality")
     return active.join(counted, "dataset_id").orderBy("dataset_id")

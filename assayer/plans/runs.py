@@ -1,8 +1,11 @@
 """Check runs: configuration in, lazy result frames out.
 
-A run resolves its checks (configuration rows only), builds one fused plan per
-dataset and unions them, so a single action computes every check of every
-dataset.  Writing is left to :func:`execute`.
+A run resolves its checks (configuration rows only) and builds one fused plan per
+dataset.  :func:`run_checks` unions them lazily, so a single action computes every check.
+:func:`run_planned` gives each dataset a job of its own, a few at a time, and isolates
+checks that cannot be computed, so the size of a plan does not grow with the number of
+datasets and one bad dataset or check costs no other its results.  Writing is left to
+:func:`execute`.
 """
 
 from __future__ import annotations
@@ -10,7 +13,8 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.functions.clock import AsOf
+from assayer.functions.clock import AsOf, instant
 from assayer.operators import results as shape
 from assayer.operators.evaluate import ParentLookup, evaluate, rows_since_midnight
 from assayer.operators.failed_rows import (
@@ -78,6 +82,8 @@ class CheckRun:
     datasets: int
     sources: dict[str, tuple[DataFrame, list[RuleSpec]]]
     parents: ParentLookup | None
+    #: Seconds that the job of each dataset took, where each had its own.
+    seconds: dict[str, float] = field(default_factory=dict)
 
     @property
     def outcomes(self) -> DataFrame:
@@ -108,8 +114,7 @@ class CheckRun:
                        counts: dict[str, int] | None = None) -> DataFrame:
         """Sampled failing records of the checks that failed or warned.
 
-        With :meth:`invalid_counts` as ``counts`` the sample is random and cheap,
-        without it takes the smallest keys.
+        With :meth:`invalid_counts` as ``counts`` checks that passed are not looked at.
         """
         sampled = {d: source for d, source in self.sources.items() if d in keys}
         samples = [failed_rows(df, specs, self.as_of, keys[d], self.parents, limit, counts)
@@ -131,7 +136,11 @@ def _parent_lookup(registry: Registry, foreign_keys: dict[str, tuple[str, str]])
 
 def _measure(df: DataFrame, specs: list[RuleSpec], as_of: AsOf, parents: ParentLookup | None,
              dataset: dict, scope: str, labelled: bool, reason: str) -> DataFrame:
-    return evaluate(df, specs, as_of, parents).withColumns({
+    return _labelled(evaluate(df, specs, as_of, parents), dataset, scope, labelled, reason)
+
+
+def _labelled(measured: DataFrame, dataset: dict, scope: str, labelled: bool, reason: str) -> DataFrame:
+    return measured.withColumns({
         "database_name": F.lit(dataset["source_database"]),
         "schema_name": F.lit(dataset["source_schema"]),
         "table_name": F.lit(dataset["source_table"]),
@@ -174,18 +183,34 @@ def _qualified(dataset: dict) -> str:
     return ".".join(dataset[k] for k in ("source_database", "source_schema", "source_table"))
 
 
-def run_checks(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
-               dataset_id: str | None = None, rule_type: str | None = None, mode: str = "FULL",
-               incremental: bool = False, triggered_by: str = "spark",
-               empty_volume_passes: bool = False) -> CheckRun:
-    """Run the configured checks of all, one or only the critical datasets.
+@dataclass
+class _Planned:
+    """What a run has to do: the sources it can check, and rows for those that it cannot."""
 
-    With ``incremental`` a dataset with a watermark column is limited to the rows
-    of ``as_of``'s day and left out when there are none; a bad watermark becomes
-    an ERROR row, as does a dataset without a readable source.  Datasets without a
-    watermark are scanned in full.  An empty table fails
-    its volume check unless ``empty_volume_passes``.
-    """
+    spark: SparkSession
+    run_id: str
+    as_of: AsOf
+    incremental: bool
+    datasets: list[dict]
+    specs: list[RuleSpec]
+    parents: ParentLookup
+    problems: list[DataFrame] = field(default_factory=list)
+    jobs: list[tuple[dict, DataFrame, list[RuleSpec], str, str]] = field(default_factory=list)
+
+    def lines(self, measures: list[DataFrame], empty_volume_passes: bool) -> DataFrame:
+        measured = reduce(DataFrame.unionByName, measures) if measures else literal_rows(self.spark, [], _NO_MEASURES)
+        lines = shape.shape_lines(measured, shape.spec_frame(self.spark, self.specs), self.run_id, self.as_of,
+                                  empty_volume_passes)
+        return reduce(DataFrame.unionByName, self.problems, lines)
+
+    def run(self, lines: DataFrame, triggered_by: str) -> CheckRun:
+        sources = {dataset["dataset_id"]: (df, checks) for dataset, df, checks, _, _ in self.jobs}
+        return CheckRun(self.run_id, "INCREMENTAL" if self.incremental else "FULL", triggered_by, self.as_of,
+                        lines, len(self.datasets), sources, self.parents)
+
+
+def _plan(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str, dataset_id: str | None,
+          rule_type: str | None, mode: str, incremental: bool) -> _Planned:
     spark = registry.spark
     chosen = config.resolve_datasets(conf.datasets, dataset_id, mode)
     datasets = [row.asDict() for row in chosen.collect()]
@@ -196,35 +221,104 @@ def run_checks(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str
                                     as_of, rule_type).where(F.col("dataset_id").isin(wanted))
     specs = config.bind_rules(resolved, conf.allowed, conf.params)
     by_dataset = _grouped(specs)
-    parents = _parent_lookup(registry, conf.foreign_keys)
-
-    measures, problems, sources = [], [], {}
+    plan = _Planned(spark, run_id, as_of, incremental, datasets, specs, _parent_lookup(registry, conf.foreign_keys))
     for dataset in datasets:
         name = dataset["dataset_id"]
-        checks = by_dataset.get(name, [])
         watermark = dataset["incremental_column"] if incremental else None
         scope = "INCREMENTAL" if watermark is not None else "FULL"
         df, problem = _source(registry, name)
         if problem is None and watermark is not None:
             problem = watermark_problem(df, watermark, _qualified(dataset))
         if problem:
-            problems.append(shape.config_error(spark, run_id, as_of, dataset,
-                                               "CONFIG_VALIDATION", "ERROR", problem, scope))
+            plan.problems.append(shape.config_error(spark, run_id, as_of, dataset,
+                                                    "CONFIG_VALIDATION", "ERROR", problem, scope))
             continue
         if watermark is not None:
             df = rows_since_midnight(df, watermark, as_of)
         reason = "WATERMARK" if watermark is not None else "BASELINE"
-        sources[name] = (df, checks)
-        measures.append(_measure(df, checks, as_of, parents, dataset, scope, incremental, reason))
-    if measures:
-        measured = reduce(DataFrame.unionByName, measures)
-    else:
-        measured = literal_rows(spark, [], _NO_MEASURES)
-    lines = shape.shape_lines(measured, shape.spec_frame(spark, specs), run_id, as_of,
-                              empty_volume_passes)
-    lines = reduce(DataFrame.unionByName, problems, lines)
-    return CheckRun(run_id, "INCREMENTAL" if incremental else "FULL", triggered_by, as_of,
-                    lines, len(datasets), sources, parents)
+        plan.jobs.append((dataset, df, by_dataset.get(name, []), scope, reason))
+    return plan
+
+
+def run_checks(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
+               dataset_id: str | None = None, rule_type: str | None = None, mode: str = "FULL",
+               incremental: bool = False, triggered_by: str = "spark",
+               empty_volume_passes: bool = False) -> CheckRun:
+    """Run the configured checks of all, one or only the critical datasets.
+
+    With ``incremental`` a dataset with a watermark column is limited to the rows
+    of ``as_of``'s day and left out when there are none; a bad watermark becomes
+    an ERROR row, as does a dataset without a readable source.  Datasets without a
+    watermark are scanned in full.  An empty table fails
+    its volume check unless ``empty_volume_passes``.
+    """
+    plan = _plan(registry, conf, as_of, run_id, dataset_id, rule_type, mode, incremental)
+    measures = [_measure(df, checks, as_of, plan.parents, dataset, scope, incremental, reason)
+                for dataset, df, checks, scope, reason in plan.jobs]
+    return plan.run(plan.lines(measures, empty_volume_passes), triggered_by)
+
+
+def _reason(error: Exception) -> str:
+    condition = getattr(error, "getCondition", lambda: None)()
+    return condition or str(error).strip().splitlines()[0]
+
+
+def measured_safely(df: DataFrame, specs: Sequence[RuleSpec], as_of: AsOf,
+                    parents: ParentLookup | None) -> list[tuple]:
+    """The measures of a dataset, with an error message for the checks that could not be computed.
+
+    All checks are computed in one job.  When that fails, the rows alone are counted; if
+    even this fails, the source cannot be read.  Otherwise the checks are halved until
+    those that fail are alone, so ``k`` bad ones of ``n`` cost about ``2 k log n`` jobs.
+    """
+    def measures(part: Sequence[RuleSpec]) -> list[tuple]:
+        return [tuple(row) for row in evaluate(df, part, as_of, parents).collect()]
+
+    def of_checks(part: Sequence[RuleSpec], rows: int, error: Exception | None) -> list[tuple]:
+        if error is None:
+            try:
+                return [m for m in measures(part) if m[0] is not None]
+            except Exception as caught:  # noqa: BLE001 - whatever a check raises, it is recorded
+                error = caught
+        if len(part) == 1:
+            return [(part[0].check_key, rows, 0, 0, f"Check cannot be computed: {_reason(error)}")]
+        half = len(part) // 2
+        return of_checks(part[:half], rows, None) + of_checks(part[half:], rows, None)
+
+    try:
+        return measures(specs)
+    except Exception as error:  # noqa: BLE001
+        try:
+            scope = measures([])
+        except Exception as unreadable:  # noqa: BLE001
+            return [(s.check_key, 0, 0, 0, f"Source cannot be read: {_reason(unreadable)}") for s in specs]
+        return scope + (of_checks(specs, scope[0][1], error) if specs else [])
+
+
+def run_planned(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
+                dataset_id: str | None = None, rule_type: str | None = None, mode: str = "FULL",
+                incremental: bool = False, triggered_by: str = "spark",
+                empty_volume_passes: bool = False, at_once: int = 4) -> CheckRun:
+    """The same run as a job per dataset, ``at_once`` of them at a time.
+
+    A check that fails while it is computed becomes an ERROR row, as do all checks of a
+    dataset that cannot be read; the others keep their results.  A row per check reaches
+    the driver, and the seconds of each dataset are kept with the run.
+    """
+    plan = _plan(registry, conf, as_of, run_id, dataset_id, rule_type, mode, incremental)
+
+    def job(item: tuple) -> tuple[DataFrame, float]:
+        dataset, df, checks, scope, reason = item
+        started = time.monotonic()
+        found = measured_safely(df, checks, as_of, plan.parents)
+        frame = literal_rows(plan.spark, found, T.StructType(_NO_MEASURES.fields[:5]))
+        return _labelled(frame, dataset, scope, incremental, reason), time.monotonic() - started
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        done = list(pool.map(job, plan.jobs))
+    run = plan.run(plan.lines([frame for frame, _ in done], empty_volume_passes), triggered_by)
+    run.seconds = {item[0]["dataset_id"]: seconds for item, (_, seconds) in zip(plan.jobs, done)}
+    return run
 
 
 def profile_dataset(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str,
@@ -328,6 +422,36 @@ def run_profile(registry: Registry, conf: Configuration, as_of: AsOf, run_id: st
     return named, profile_checks(named)
 
 
+def execute_profile(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str, dataset_id: str,
+                    root: str, triggered_by: str = "spark") -> DataFrame:
+    """Profile a dataset once and write its column profiles, checks, run record and daily summary.
+
+    Repeating a run id on its day replaces what it had written.  A dataset without columns
+    leaves a FAILED record alone.
+    """
+    spark, day = registry.spark, str(as_of)[:10]
+    if not registry.frame(dataset_id).columns:
+        record = shape.failed_run(spark, run_id, "PROFILE", triggered_by, as_of, "No columns found")
+        _write_control(record, root, run_id, as_of)
+        return record
+    started = time.monotonic()
+    profile, _ = run_profile(registry, conf, as_of, run_id, dataset_id)
+    profile = cut_lineage(profile.withColumn("profile_ts", instant(as_of)))
+    seconds = time.monotonic() - started
+    results = cut_lineage(shape.profile_results(profile_checks(profile), run_id, as_of))
+    timed = shape.with_timing(results, seconds * 1000, results.count())
+    replace_run(profile.withColumn("profile_date", F.to_date("profile_ts")), f"{root}/column_profile", run_id,
+                "profile_date", day, ("table_name", "column_name"))
+    replace_run(timed.withColumn("check_date", F.to_date("check_timestamp")), f"{root}/check_results", run_id,
+                "check_date", day, ("table_name",))
+    rows = profile.agg(F.coalesce(F.max("total_records"), F.lit(0))).first()[0]
+    control = cut_lineage(shape.profile_control(results, run_id, triggered_by, as_of, rows, seconds))
+    _write_control(control, root, run_id, as_of)
+    if not results.isEmpty():
+        write_summary(spark, root, day, conf.datasets)
+    return control
+
+
 def run_scan(registry: Registry, conf: Configuration, as_of: AsOf, run_id: str, dataset_id: str,
              scan_type: str, custom_config: str | None = None) -> dict[str, object]:
     """Dispatch a scan: profiling, full and anomalies profile; checks, custom and full check."""
@@ -356,28 +480,40 @@ def _write_control(record: DataFrame, root: str, run_id: str, as_of: AsOf) -> No
                 run_id, "run_date", str(as_of)[:10])
 
 
-def execute(run: CheckRun, root: str, datasets: DataFrame,
-            scheme: str = "full") -> DataFrame:
+def execute(run: CheckRun, root: str, datasets: DataFrame, scheme: str = "full",
+            keys: dict[str, Sequence[str]] | None = None, limit: int = 100) -> DataFrame:
     """Compute a run once, write its tables below ``root`` and return its record.
 
     A run id that is executed again on its day, whether complete or broken off, replaces
     what it had written.  The evaluated checks (one row each) are written to the shared folder first, so
-    results, failures, run record and summary all read that copy.
+    results, failures, run record and summary all read that copy.  With the business
+    ``keys`` of the datasets, up to ``limit`` failing records of each failed check are
+    written as well, to ``failed_records``.
     """
     started = time.monotonic()
-    spark = run.lines.sparkSession
     run.lines = cut_lineage(run.lines)
-    seconds = time.monotonic() - started
-    checks = run.outcomes.count()
-    timed = shape.with_timing(run.results, seconds * 1000, checks).withColumn(
-        "check_date", F.to_date("check_timestamp"))
+    seconds = sum(run.seconds.values()) or time.monotonic() - started
+    if run.seconds:
+        timed = shape.with_dataset_timing(run.results, run.seconds)
+    else:
+        timed = shape.with_timing(run.results, seconds * 1000, run.outcomes.count())
+    timed = timed.withColumn("check_date", F.to_date("check_timestamp"))
     day = str(run.as_of)[:10]
     replace_run(timed, f"{root}/check_results", run.run_id, "check_date", day, ("table_name",))
     replace_run(run.failures().withColumn("detected_date", F.to_date("detected_ts")),
                 f"{root}/failed_checks", run.run_id, "detected_date", day, ("table_name",))
+    if keys is not None:
+        records = run.failed_records(keys, limit, run.invalid_counts())
+        replace_run(records.withColumn("detected_date", F.to_date("detected_ts")),
+                    f"{root}/failed_records", run.run_id, "detected_date", day, ("table_name",))
     control = cut_lineage(run.control(seconds))
     _write_control(control, root, run.run_id, run.as_of)
+    write_summary(run.lines.sparkSession, root, day, datasets, scheme)
+    return control
+
 
+def write_summary(spark: SparkSession, root: str, day: str, datasets: DataFrame, scheme: str = "full") -> None:
+    """Bring the summary of a day up to its logged results."""
     today = F.lit(day).cast("date")
     logged = spark.read.parquet(f"{root}/check_results").where(F.col("check_date") == today)
     fresh = daily_summary(logged, datasets, scheme=scheme)
@@ -386,4 +522,3 @@ def execute(run: CheckRun, root: str, datasets: DataFrame,
         existing.where(F.col("summary_date") == today), fresh)
     replace_partitions(cut_lineage(merged), f"{root}/daily_summary", "summary_date",
                        ("table_name",))
-    return control

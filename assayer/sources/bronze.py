@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,14 +24,21 @@ def null_tokens_to_null(c: Column) -> Column:
     return F.when(~trimmed.isin(*NULL_TOKENS), trimmed)
 
 
-def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """Raw parse in file order; a row of another width keeps its text in ``_corrupt``."""
+def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
+             quoted_lines: bool = False) -> DataFrame:
+    """Raw parse in file order; a row of another width keeps its text in ``_corrupt``.
+
+    With ``quoted_lines`` a quoted field may hold line breaks.  A file is then one task, as
+    a split could begin inside quotes, so land such data as many files.  Without it files
+    are split, and a record with such a break shows as torn lines among the load errors.
+    """
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
     return (
         spark.read.schema(wide)
         .option("header", True).option("sep", ",").option("quote", '"').option("escape", '"')
         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        .option("multiLine", quoted_lines)
         .option("enforceSchema", True)
         # A parser that skips unused fields cannot tell that a row has another width.
         .option("columnPruning", False)
@@ -56,7 +64,7 @@ def land(scan: DataFrame, columns: Sequence[str], as_of: AsOf,
 
 
 def read_bronze(spark: SparkSession, entity: str, path: str | Sequence[str], as_of: AsOf,
-                skip_bad_rows: bool = False) -> DataFrame:
+                skip_bad_rows: bool = False, quoted_lines: bool = False) -> DataFrame:
     """Land one entity's files.
 
     Rows with too few or too many fields are kept (missing fields NULL, surplus
@@ -64,7 +72,7 @@ def read_bronze(spark: SparkSession, entity: str, path: str | Sequence[str], as_
     """
     file_schema = schemas.BRONZE_FILES[entity]
     order = schemas.BRONZE_TABLE_ORDER.get(entity, tuple(file_schema.names))
-    scan = scan_csv(spark, path, file_schema)
+    scan = scan_csv(spark, path, file_schema, quoted_lines)
     if skip_bad_rows:
         scan, _ = split_by_width(scan)
     return land(scan, order, as_of)
@@ -95,6 +103,37 @@ def read_json(spark: SparkSession, path: str | Sequence[str],
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+@dataclass
+class JsonLanding:
+    """Landed JSON lines: the elements that could be read, and the lines that could not."""
+
+    elements: DataFrame
+    rejects: DataFrame
+
+
+def land_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, as_of: AsOf) -> JsonLanding:
+    """JSON lines as typed rows with audit columns; an outer array is stripped to a row per element.
+
+    A line is rejected as a whole, with its reason, if its bytes are not UTF-8 or if it is
+    no JSON object or array; the text of a reject has the bad bytes replaced.  Blank lines
+    are passed over.  A field of another type than declared is NULL, its line is kept.
+    """
+    line = F.col("value")
+    lines = spark.read.text(path).where(F.trim(line) != "").select(
+        line, F.col("_metadata.file_path").alias("source_file"), F.is_valid_utf8(line).alias("readable"))
+    wrapped = T.ArrayType(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
+    parsed = F.from_json(F.when(F.col("readable"), line), wrapped, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    shaped = F.trim(line).rlike(r"^[\[{]")
+    broken = ~shaped | F.coalesce(F.exists("elements", lambda e: e[CORRUPT].isNotNull() & F.forall(
+        F.array(*[e[n] for n in schema.names]), lambda v: v.isNull())), F.lit(True))
+    read = lines.withColumn("elements", parsed).withColumn("reason", F.when(
+        ~F.col("readable"), "INVALID_UTF8").when(broken, "MALFORMED_JSON"))
+    audit = [instant(as_of).alias("load_timestamp"), F.col("source_file"), batch_id(as_of).alias("load_batch_id")]
+    elements = read.where("reason IS NULL").select(F.inline("elements"), *audit).drop(CORRUPT)
+    rejects = read.where("reason IS NOT NULL").select(F.make_valid_utf8(line).alias("text"), "reason", *audit)
+    return JsonLanding(elements, rejects)
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and modification time of the files below a landing folder."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
+from threading import Lock
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +82,72 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's setting that deletes the shuffle files of an execution at its end.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared or result store with all it holds."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_freeing: dict[str, object] = {"lock": Lock(), "depth": 0, "before": None}
+
+
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of the actions inside are deleted when these end; several threads may be inside."""
+    with _freeing["lock"]:
+        if _freeing["depth"] == 0:
+            _freeing["before"] = spark.conf.get(FREES, None)
+            spark.conf.set(FREES, "true")
+        _freeing["depth"] += 1
+    try:
+        yield
+    finally:
+        with _freeing["lock"]:
+            _freeing["depth"] -= 1
+            if _freeing["depth"] == 0:
+                before = _freeing["before"]
+                spark.conf.unset(FREES) if before is None else spark.conf.set(FREES, before)
+
+
+class Scratch:
+    """Intermediate tables of one piece of work, in a folder of their own below the shared one.
+
+    A table is written as Parquet, so it survives lost executors, cuts the lineage and is
+    pruned when read.  What was shuffled for it is deleted as soon as it is written.  Leaving
+    the scope deletes all tables; :meth:`drop` deletes one as soon as it has been used.
+    Only results that are written or collected inside the scope may leave it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/scratch-{name}-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
+        """Write ``df`` and go on with the written copy."""
+        path = f"{self.root}/{len(self.tables)}-{name}"
+        with freeing_shuffles(self.spark):
+            df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((kept, path))
+        return kept
+
+    def drop(self, *kept: DataFrame) -> None:
+        for df, path in self.tables:
+            if any(df is x for x in kept):
+                delete_folder(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete_folder(self.spark, self.root)
+
+
 def append(df: DataFrame, path: str, partition: str | None = None,
            cluster: tuple[str, ...] = ()) -> None:
     """Append rows, partitioned by a date column and sorted inside each file."""
@@ -107,12 +176,11 @@ def replace_run(df: DataFrame, path: str, run_id: str, partition: str, day: str,
     existing = read_if_exists(spark, path)
     if existing is not None:
         others = existing.where((F.col(partition) == F.lit(day).cast("date"))
-                                & (F.col("run_id") != run_id))
+                                & ~F.col("run_id").eqNullSafe(run_id))
         df = others.unionByName(df, allowMissingColumns=True)
     merged = cut_lineage(df)
     if existing is not None and merged.isEmpty():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={day}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_folder(spark, f"{path}/{partition}={day}")
     else:
         replace_partitions(merged, path, partition, cluster)
 
@@ -123,12 +191,15 @@ def _writer(df: DataFrame, partition: str | None, cluster: tuple[str, ...]):
     return df.write.partitionBy(partition) if partition else df.write
 
 
-def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    """A result table, or None where no folder stands; a damaged table raises."""
+def read_if_exists(spark: SparkSession, path: str, merge: bool = True) -> DataFrame | None:
+    """A result table, or None where no folder stands; a damaged table raises.
+
+    With ``merge`` the columns of all files are brought together, for which all files are opened.
+    """
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    return spark.read.option("mergeSchema", merge).parquet(path)
 
 
 def counts_since(tables: dict[str, DataFrame], column: str, since: Column) -> DataFrame:

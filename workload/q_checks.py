@@ -220,22 +220,39 @@ def rule_scale_parameter(spark, sf_dir):
                                    ("stg_transaction", "transaction_amount", 90, 2))})
 
 
-_DAYS = """days AS (
+# Every calendar day from the first with rows to today, also those without rows.
+_DAYS = f"""counts AS (SELECT CAST({{0}} AS DATE) AS day, count(*) AS n FROM {{1}} GROUP BY 1),
+spine AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM counts), DATE '{AS_OF[:10]}', INTERVAL 1 DAY)) AS DATE) AS day),
+days AS (
   SELECT day, n, CAST(sum(n) OVER w AS DOUBLE) / count(*) OVER w AS expected
-  FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) d
-  WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))"""
+  FROM (SELECT day, coalesce(n, 0) AS n FROM spine LEFT JOIN counts USING (day)) d
+  WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))""".format
 
 
-@query("daily_volume", f"""WITH {_DAYS}
+@query("daily_volume", f"""WITH {_DAYS("ts", "events")}
 SELECT CAST(day AS VARCHAR) AS day, CAST(n AS BIGINT) AS row_count,
        round(expected, 6) AS expected_rows,
        coalesce(abs(n - expected) > expected * 0.05, FALSE) AS is_anomaly FROM days""")
 def volume_by_day(spark, sf_dir):
-    out = daily_volume(source(spark, sf_dir, "events"), "ts", 7, 0.05)
+    out = daily_volume(source(spark, sf_dir, "events"), "ts", AS_OF, 7, 0.05)
     return out.withColumn("expected_rows", F.round("expected_rows", 6))
 
 
-@query("rule_volume_anomaly_detection", f"WITH {_DAYS} " + _rated([
+_SILENT = "(SELECT * FROM stg_account WHERE CAST(load_timestamp AS DATE) NOT BETWEEN DATE '2020-03-10' AND DATE '2020-03-15')"
+
+
+@query("daily_volume_silent_days", ctes(["stg_account"], """
+SELECT CAST(day AS VARCHAR) AS day, CAST(n AS BIGINT) AS row_count, round(expected, 6) AS expected_rows,
+       coalesce(abs(n - expected) > expected * 0.5, FALSE) AS is_anomaly FROM days""", _DAYS("load_timestamp", _SILENT)))
+def volume_with_silent_days(spark, sf_dir):
+    """Six days without any load stand out, as do the days after the last load."""
+    staged = derived(spark, sf_dir, "stg_account").where(
+        ~F.col("load_timestamp").cast("date").between(F.lit("2020-03-10").cast("date"), F.lit("2020-03-15").cast("date")))
+    out = daily_volume(staged, "load_timestamp", AS_OF)
+    return out.withColumn("expected_rows", F.round("expected_rows", 6))
+
+
+@query("rule_volume_anomaly_detection", f"WITH {_DAYS('ts', 'events')} " + _rated([
     """SELECT 'events' AS dataset_id, 'VOLUME_ANOMALY_DETECTION' AS rule_name, 'ts' AS column_name,
        CAST(90 AS DOUBLE) AS threshold, count(*) AS t,
        count(*) FILTER (WHERE abs(n - expected) > expected * 0.05) AS e FROM days"""]))

@@ -167,16 +167,18 @@ _QUARTER = "CAST(date_trunc('quarter', CAST(summary_date AS DATE)) AS DATE)"
 
 
 @query("weekly_rollup", ctes(HISTORY, f"""
-SELECT * EXCLUDE (start, island), CAST(start AS VARCHAR) AS week_start_date,
+SELECT * EXCLUDE (start, island, lim), CAST(start AS VARCHAR) AS week_start_date,
        strftime(start, '%G-W%V') AS week_id, CAST(start + 6 AS VARCHAR) AS week_end_date,
-       CAST(sum(CASE WHEN avg_dq_score < 90 THEN 1 ELSE 0 END) OVER (
+       CAST(sum(CASE WHEN avg_dq_score * 100 < lim THEN 1 ELSE 0 END) OVER (
          PARTITION BY dataset_id, island ORDER BY start) AS BIGINT) AS weeks_below_sla
-FROM (SELECT {_scored('prev_week_score', 'score_change_pct')},
-             sum(CASE WHEN c >= 9000 OR pc IS NULL THEN 1 ELSE 0 END) OVER (
+FROM (SELECT {_scored('prev_week_score', 'score_change_pct')}, lim,
+             sum(CASE WHEN c >= lim OR pc IS NULL THEN 1 ELSE 0 END) OVER (
                PARTITION BY dataset_id ORDER BY start) AS island
-      FROM {_with_previous("p", "7 DAY")} q) w""", daily_sql(), _period(_WEEK)))
+      FROM {_with_previous("p", "7 DAY")} q
+      JOIN (SELECT dataset_id AS owner, coalesce({cents('sla_threshold')}, 9000) AS lim FROM history_datasets) limits
+        ON owner = dataset_id) w""", daily_sql(), _period(_WEEK)))
 def weekly_rollup(spark, sf_dir):
-    return summary.weekly_rollup(_daily(spark, sf_dir))
+    return summary.weekly_rollup(_daily(spark, sf_dir), datasets=derived(spark, sf_dir, "history_datasets"))
 
 
 _TOP = """top AS (
