@@ -51,7 +51,9 @@ from assayer.llm.shared import by_value, stored
 K, BITS, TABLES = 20, 64, 4
 WIDTH = BITS // TABLES
 #: Vectors of a band that rotations are learned on; rounds of learning; rows and queries in a block.
-SAMPLE, ROUNDS, BLOCK, QUERIES = 2048, 20, 4096, 512
+SAMPLE, ROUNDS, BLOCK, QUERIES = 2048, 20, 4096, 256
+#: Parts of buckets that one task meets a block of queries with; queries of which a task holds the best.
+PARTS, HELD = 256, 100_000
 #: Share of the sample's near pairs that must lie within the radius of their angle.
 CERTAIN = 0.97
 
@@ -178,7 +180,8 @@ def _visits(cells: dict[int, Cell], home: bool):
                     yield pd.DataFrame({
                         "cell": int(number), "t": t, "prefix": prefix, "unit": group["unit"].to_numpy()[at][i],
                         "id": group["id"].to_numpy()[at][i], "mode": (modes[at] + 100 * whole)[i],
-                        "code": codes.view(np.int64)[at][i], "vector": group["vector"].to_numpy()[at][i]})
+                        "code": codes.view(np.int64)[at][i], "vector": group["vector"].to_numpy()[at][i],
+                        "worst": group["worst"].fillna(-np.inf).to_numpy()[at][i]})
     return work
 
 
@@ -187,7 +190,9 @@ def _pack(group: pd.DataFrame) -> pd.DataFrame:
     vectors = np.array(group["vector"].tolist(), np.float64)
     out = out.assign(units=[group["unit"].to_numpy(np.int64).tobytes()], ids=[group["id"].to_numpy(np.int64).tobytes()],
                      vectors=[vectors.tobytes()], codes=[group["code"].to_numpy(np.int64).tobytes()])
-    return out.assign(modes=[group["mode"].to_numpy(np.int64).tobytes()]) if "mode" in group else out
+    if "mode" in group:
+        out = out.assign(modes=[group["mode"].to_numpy(np.int64).tobytes()], worst=[group["worst"].to_numpy(np.float64).tobytes()])
+    return out
 
 
 def retrieved(t: int, bits: int, modes: np.ndarray, asked: np.ndarray, offered: np.ndarray) -> np.ndarray:
@@ -214,32 +219,62 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return total
 
 
+class Best:
+    """The best found so far of every query of a task."""
+
+    def __init__(self, k: int):
+        self.k, self.found = k, {}
+
+    def worst(self, queries: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The score below which nothing can be among a query's best."""
+        own = [self.found[q][0][-1] if q in self.found and len(self.found[q][0]) == self.k else -np.inf for q in queries.tolist()]
+        return np.maximum(known, own)
+
+    def add(self, query: int, score: np.ndarray, ids: np.ndarray, units: np.ndarray) -> None:
+        if query in self.found:
+            old = self.found[query]
+            score, ids, units = (np.concatenate([x, y]) for x, y in zip(old, (score, ids, units)))
+        best = np.lexsort((units, ids, -score))[:self.k]
+        self.found[query] = score[best], ids[best], units[best]
+
+    def frame(self) -> pd.DataFrame:
+        counts = [len(x[0]) for x in self.found.values()]
+        score, ids, units = (np.concatenate(x) for x in zip(*self.found.values()))
+        return pd.DataFrame({"q": np.repeat(np.fromiter(self.found, np.int64, len(counts)), counts), "u": units, "id": ids, "score": score})
+
+
 def _search(cells: dict[int, Cell], k: int):
+    """Meetings of a block of queries with a part of a bucket; a task returns the best of each query once."""
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = Best(k)
         for batch in batches:
             for row in batch.itertuples():
                 cell = cells[int(row.cell)]
                 asked, units, ids = (np.frombuffer(x, np.int64) for x in (row.q_units, row.units, row.ids))
                 queries = np.frombuffer(row.q_vectors, np.float64).reshape(len(asked), cell.dim)
                 vectors = np.frombuffer(row.vectors, np.float64).reshape(len(units), cell.dim)
-                modes = np.frombuffer(row.q_modes, np.int64)
+                modes, known = np.frombuffer(row.q_modes, np.int64), np.frombuffer(row.q_worst, np.float64)
                 take = retrieved(int(row.t), cell.prefix_bits, modes, np.frombuffer(row.q_codes, np.uint64),
                                  np.frombuffer(row.codes, np.uint64))
-                scores = queries @ vectors.T if take.mean() > 0.05 else None
-                out = []
+                # Rounded products tell what may enter; those that do are computed again, term by term.
+                slack = 1e-12 * cell.dim * np.sqrt((queries ** 2).sum(axis=1)) * cell.longest
+                least = best.worst(asked, known) - slack
+                if take.mean() > 0.05:
+                    take &= queries @ vectors.T >= least[:, None]
                 for i in np.flatnonzero(take.any(axis=1)):
                     at = np.flatnonzero(take[i])
-                    rough = vectors[at] @ queries[i] if scores is None else scores[i, at]
+                    rough = vectors[at] @ queries[i]
+                    at, rough = at[rough >= least[i]], rough[rough >= least[i]]
                     if len(at) > k:
-                        slack = 1e-12 * cell.dim * np.sqrt((queries[i] ** 2).sum()) * cell.longest
-                        least = np.partition(rough, len(at) - k)[len(at) - k] - slack
-                        at = at[rough >= least]
-                    score = exact(queries[i], vectors[at])
-                    best = np.lexsort((units[at], ids[at], -score))[:k]
-                    at = at[best]
-                    out.append(pd.DataFrame({"q": asked[i], "u": units[at], "id": ids[at], "score": score[best]}))
-                if out:
-                    yield pd.concat(out)
+                        at = at[rough >= np.partition(rough, len(at) - k)[len(at) - k] - slack[i]]
+                    if len(at):
+                        best.add(int(asked[i]), exact(queries[i], vectors[at]), ids[at], units[at])
+            if len(best.found) > HELD:
+                yield best.frame()
+                best = Best(k)
+        if best.found:
+            yield best.frame()
     return work
 
 
@@ -265,7 +300,8 @@ def search(vectors: DataFrame, is_query: str, k: int = K) -> DataFrame:
     units = stored(units.select(
         "key", F.col("first.row").alias("unit"), F.col("first.vec_id").alias("id"), F.col("first.vector").alias("vector"), F.col("first.norm").alias("norm"), "asked",
         F.size("first.vector").alias("dim"), F.floor(F.log2("first.norm") + 0.5).cast("int").alias("band")), "units", free=True)
-    sizes = units.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).orderBy("dim", "band").collect()
+    sizes = units.groupBy("dim", "band").agg(
+        F.count("*").alias("n"), F.max("norm").alias("longest"), F.count_if("asked").alias("asked")).orderBy("dim", "band").collect()
     empty = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], empty)
@@ -283,23 +319,31 @@ def search(vectors: DataFrame, is_query: str, k: int = K) -> DataFrame:
         parted(coded.select("unit", "id", "vector", "cell", "code", F.posexplode("prefixes").alias("t", "prefix")), BLOCK)
         .groupBy("cell", "t", "prefix", "part").applyInPandas(_pack, PACKED), "index", free=True)
 
+    asked_of = {}
+    for x in sizes:
+        asked_of[x["dim"]] = asked_of.get(x["dim"], 0) + x["asked"]
+    q_parts = F.create_map(*[F.lit(x) for i, c in cells.items() for x in (i, max(1, -(-asked_of[c.dim] // QUERIES)))])
+    chunks = F.create_map(*[F.lit(x) for i, c in cells.items() for x in (i, max(1, -(-TABLES * (2 ** c.prefix_bits + c.rows // BLOCK) // PARTS)))])
+
     def visit(queries: DataFrame, home: bool) -> DataFrame:
         visits = queries.mapInPandas(
-            _visits(cells, home), "cell int, t int, prefix int, unit long, id long, mode int, code long, vector array<double>")
-        blocks = parted(stored(visits, "visits", free=True), QUERIES).groupBy("cell", "t", "prefix", "part").applyInPandas(
-            _pack, PACKED + ", modes binary")
+            _visits(cells, home), "cell int, t int, prefix int, unit long, id long, mode int, code long, vector array<double>, worst double")
+        # A query is in the block of its number wherever it goes, so one task can meet it with many buckets.
+        blocks = visits.withColumn("part", F.pmod(F.xxhash64("unit"), q_parts[F.col("cell")]).cast("int")).groupBy(
+            "cell", "t", "prefix", "part").applyInPandas(_pack, PACKED + ", modes binary, worst binary")
         blocks = blocks.select("cell", "t", "prefix", F.col("part").alias("q_part"), *[F.col(c).alias(f"q_{c}") for c in (
-            "units", "vectors", "codes", "modes")])
-        pairs = blocks.join(index, ["cell", "t", "prefix"]).repartition("cell", "t", "prefix", "q_part", "part")
+            "units", "vectors", "codes", "modes", "worst")])
+        chunk = F.pmod(F.xxhash64("t", "prefix", "part"), chunks[F.col("cell")])
+        pairs = blocks.join(index, ["cell", "t", "prefix"]).repartition("cell", "q_part", chunk)
         best = W.partitionBy("q").orderBy(F.desc("score"), "id", "u")
         return stored(pairs.mapInPandas(_search(cells, k + 1), FOUND).withColumn("at", F.row_number().over(best))
                       .where(F.col("at") <= k + 1).drop("at"), "found", free=True)
 
-    asked = units.where("asked").select("unit", "id", "vector", "dim")
+    asked = units.where("asked").select("unit", "id", "vector", "dim", F.lit(None).cast("double").alias("worst"))
     seen = visit(asked, True)
     worst = seen.groupBy("q").agg(F.min("score").alias("worst"), F.count("*").alias("n")).select(
         F.col("q").alias("unit"), F.when(F.col("n") > k, F.col("worst")).alias("worst"))
-    found = seen.unionAll(visit(asked.join(worst, "unit", "left"), False)).groupBy("q", "u").agg(F.max("score").alias("score"))
+    found = seen.unionAll(visit(asked.drop("worst").join(worst, "unit", "left"), False)).groupBy("q", "u").agg(F.max("score").alias("score"))
 
     # Back from distinct vectors to rows.
     same = W.partitionBy("key").orderBy("vec_id", "row")
