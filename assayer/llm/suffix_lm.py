@@ -1,22 +1,28 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Symbols are lower-cased words and the end of a text.  The root is the smoothed
-unigram distribution of all training tokens.  A context of one to ``DEPTH`` words becomes
-a state if it is seen twice and if its next-symbol distribution diverges from that of
-its suffix: the log-likelihood that it gains over the suffix must pay for its entries.
-A state gives the next symbols that follow it twice their own probability and leaves the
-rest of its mass to its longest retained suffix, so every state is a distribution.  A
-token is scored in the longest retained state that ends its history.
-
-Word counts and grams are unlimited and stay in Spark: every task counts, Spark sums.
-A gram is named by a 64-bit key.  What a state changes in the logarithm of a text's
-probability is a sum over the grams of the text: the share left to the suffix for each
-state that is met, and for each entry its ratio to that.  So all states and entries are
-one table of a value per gram.  The grams that are a share ``HEAD`` of all tokens, and
-the words that are a share ``MIN_TOP``, are shipped (as relative frequencies sum to one,
-these are at most ``1 / HEAD`` for each length and ``1 / MIN_TOP``); all others are looked
-up by a join.  A filter of ``2 ** FILTER_BITS`` bits spares the join most grams without
-a value while there are fewer values than bits; it never drops one that has a value.
+Symbols are lower-cased words and the end of a text.  The root is the smoothed unigram
+distribution of all training tokens.  A context, one or more words, is a state if it
+keeps entries: next symbols that were seen after it ``LEAST`` times and pass a test of
+divergence each, namely that the log-likelihood gained by giving this symbol its own
+probability here, instead of its probability after the suffix, pays for the entry.  A
+state gives what it keeps that probability and leaves the rest of its mass to its longest
+retained suffix, so every state is a distribution.  A token is scored in the longest
+retained state that ends its history.  Contexts grow by a word to the left, level by
+level, as long as some entry passes, and at most to ``DEPTH`` words.
+
+Words and grams are named by 64-bit keys, computed over whole columns of text at once.
+Counting: a task sorts the grams of a few million tokens, counts equal ones and sends them
+on in blocks by leading bits of the key; a block of all tasks is merged by one task, and
+there are so many blocks that each has a few million grams at most.  No gram is dropped
+before its whole count is known, but a gram is only looked at if the grams of its first and
+of its last words were seen often enough themselves, which a filter of ``2 ** FILTER_BITS``
+bits tells of most (it never says no wrongly).
+
+Scoring: what the states change in the logarithm of a text's probability is a sum over its
+grams, so all words, states and entries are one table of values per key.  Those that are a
+share ``HEAD`` of all tokens are shipped (as shares of a level sum to one, at most
+``1 / HEAD`` of each length); the others' keys travel to the table in blocks, as in counting.
+Tables of a level are deleted once the next is written.
 
 Defined results
   NULL or empty text    the end alone
@@ -28,295 +34,431 @@ Defined results
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.bpe import slices
 from assayer.llm.shared import by_value, fold, stored
+from assayer.sources.tables import Scratch
+
+#: Occurrences without which a gram is no entry and no context; weight of the suffix in a state; log-likelihood (nats) that an entry must gain; words of the longest context.
+LEAST, SUFFIX_WEIGHT, ENTRY_COST, DEPTH = 4, 4.0, 4.0, 4
+#: Least share of tokens for a value that is shipped; bits of the filters of grams.
+HEAD, FILTER_BITS = 5e-7, 26
+#: Tokens a task counts before it sends its counts on; grams of a block; bytes that are hashed at once.
+HELD, BLOCK_GRAMS, HASHED = 3_000_000, 3_000_000, 1 << 20
+
+#: Key of the end of a text, which also stands before each text.
+END = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x5851F42D4C957F2D
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A value per byte, upper-case letters like lower-case ones.
+_VALUES = np.random.default_rng(9).integers(1, 2 ** 63, 256).astype(np.uint64)
+_VALUES[65:91] = _VALUES[97:123]
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-END = b""
-#: Least share of tokens for a word that is shipped, and, beyond being seen twice, for a context and for context plus next symbol; weight of the suffix in a state; log-likelihood (nats) that an entry must bring.
-MIN_TOP, MIN_WORD, MIN_JOINT, SUFFIX_WEIGHT, ENTRY_COST = 1e-6, 0.0, 0.0, 4.0, 2.0
-#: Words of the longest context; least share of tokens for a gram whose value is shipped.
-DEPTH, HEAD = 2, 2e-6
-#: Bits of the filter of grams are numbered by so many leading bits of the key, at least 6.
-FILTER_BITS = 25
-#: Distinct items a task counts before it hands its counts on.
-HELD = 1_000_000
 
+def longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of grams that go on with one more word."""
+    return _mixed(key + word * END)
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words between ASCII white space with A-Z as a-z, then the end."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.ones(count, np.uint64)
+    have, step = 1, base
+    while have < count:  # base ** (have + i) = base ** have * base ** i
+        more = min(have, count - have)
+        out[have:have + more] = out[:more] * np.uint64(step)
+        have, step = have + more, step * step % 2 ** 64
+    return out
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
 
-    def out():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+class Hasher:
+    """Keys of the words in bytes of text: a polynomial over the bytes, modulo ``2 ** 64``, mixed.
 
-    for batch in batches:
-        for part in slices(batch, "text"):
-            for text in part.column("text").to_pylist():
-                counts.update(tokens(text))
-            if len(counts) > HELD:
-                yield out()
-                counts = Counter()
-    yield out()
+    Prefix sums give the polynomial of any stretch, and the inverse of the base (which is
+    odd) moves it to the front, so no word is looked at by itself.
+    """
 
+    def __init__(self):
+        self.power = self.inverse = np.ones(0, np.uint64)
+
+    def _table(self, count: int) -> None:
+        if len(self.power) < count:
+            self.power, self.inverse = _powers(_BASE, count), _powers(pow(_BASE, -1, 2 ** 64), count)
+
+    def words(self, data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the words of ``data`` and where they start; no word crosses one of the ``breaks``."""
+        if not len(data):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        word = ~_SPACE[data]
+        before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        before[1:], after[:-1] = word[:-1], word[1:]
+        inner = breaks[(breaks > 0) & (breaks < len(data))]
+        before[inner], after[inner - 1] = False, False
+        starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+        keys = np.empty(len(starts), np.uint64)
+        first = 0
+        while first < len(starts):  # words that begin within so many bytes, and reach as far as they do
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + HASHED, "right")))
+            low, high = starts[first], ends[last - 1]
+            self._table(high - low + 1)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_VALUES[data[low:high]] * self.power[:high - low], out=sums[1:])
+            s, e = starts[first:last] - low, ends[first:last] - low
+            keys[first:last] = _mixed((sums[e] - sums[s]) * self.inverse[s] + (e - s).astype(np.uint64))
+            first = last
+        return keys, starts
+
+    def stream(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of texts one after the other, the end before and after each, and the number of each one's text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        breaks = offsets - offsets[0]
+        keys, starts = self.words(data, breaks[1:-1])
+        text = np.searchsorted(breaks[1:], starts, "right")
+        counts = np.bincount(text, minlength=len(texts)) + 2
+        owner = np.repeat(np.arange(len(texts)), counts)
+        out = np.full(len(owner), END)
+        out[np.arange(len(keys)) + 2 * text + 1] = keys
+        return out, owner
+
+
+def grams(stream: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Keys of the grams of 1 to ``longest`` words that begin at each place, those that leave their text included."""
+    keys = [stream]
+    for size in range(2, longest + 1):
+        keys.append(longer(keys[-1][:-1], stream[size - 1:]))
+    return keys
 
-class _Codes(dict):
-    """64-bit code of a word, remembered while it is in use."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD:
-            self.clear()
-        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return value
+def inside(owner: np.ndarray, size: int) -> np.ndarray:
+    """Whether the gram of ``size`` words at a place stays in its text."""
+    return owner[:max(len(owner) - size + 1, 0)] == owner[size - 1:]
 
 
-def _longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys of grams that go on with one more word."""
-    z = key + word * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+def _passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the filter lets keys pass."""
+    slot = key >> np.uint64(64 - (len(bits).bit_length() - 1 + 6))
+    return bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
 
 
-def _grams(found: list[list[bytes]], codes: _Codes, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys of the grams of 1 to ``longest`` words that begin at each token of lists of tokens, and each token's list.
+def filter_of(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The bits that the leading bits of keys number, in words of 64."""
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    rows = keys.select(F.shiftrightunsigned(slot, 6).alias("at"), F.expr(f"shiftleft(1L, CAST(key >>> {64 - bits} AS INT) & 63)").alias("bit")
+                       ).groupBy("at").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    out = np.zeros(2 ** (bits - 6), np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
 
-    Grams that reach beyond their list have keys too.
-    """
-    owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    keys = [np.fromiter((codes[w] for x in found for w in x), np.uint64, len(owner))]
-    for size in range(2, longest + 1):
-        keys.append(_longer(keys[-1][:-1], keys[0][size - 1:]))
-    return keys, owner
 
+def _first(keys: np.ndarray) -> np.ndarray:
+    """Where equal neighbours of sorted keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their codes."""
-    codes = _Codes()
-    for batch in batches:
-        key = np.fromiter((codes[w] for w in batch.column("word").to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("n")], ["key", "n"])
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher, held, waiting = Hasher(), [], 0
 
-def _passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether the filter lets keys pass."""
-    slot = key >> np.uint64(64 - (len(bits).bit_length() - 1 + 6))
-    return bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
+    def out() -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        first = _first(keys)
+        return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(keys))).astype(np.int64))],
+                                          ["key", "n"])
 
+    for batch in batches:
+        for part in slices(batch, "text"):
+            stream, owner = hasher.stream(part.column("text"))
+            held.append(stream[1:][owner[1:] == owner[:-1]])  # the end once
+            waiting += len(held[-1])
+            if waiting > HELD:
+                yield out()
+                held, waiting = [], 0
+    yield out()
 
-def _count_grams(size: int, shorter: np.ndarray):
-    """Counts of grams of ``size`` words by the key of the context (all but the last word) and the code of the last word.
 
-    A gram is no more frequent than its context and its suffix, so both must pass the filter of shorter grams.
-    """
+def _blocks(keys: np.ndarray, blocks: int) -> list[tuple[int, int, int]]:
+    """Number, begin and end of the blocks of sorted keys, by their leading bits."""
+    shift = np.uint64(64 - (blocks.bit_length() - 1))
+    number = keys >> shift if blocks > 1 else np.zeros(len(keys), np.uint64)
+    first = _first(number)
+    return [(int(number[a]), int(a), int(b)) for a, b in zip(first, np.append(first[1:], len(keys)))]
+
+
+def _count_grams(size: int, shorter: np.ndarray, blocks: int):
+    """Counts of grams of ``size`` words in blocks: the context's keys, the last word's, and how often."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
+        hasher, held, waiting = Hasher(), [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            context, word = (np.concatenate(x) for x in zip(*held))
+            key = longer(context, word)
+            order = np.argsort(key)
+            key = key[order]
+            first = _first(key)
+            n = np.diff(np.append(first, len(key))).astype(np.uint32)
+            key, order = key[first], order[first]
+            context, word = context[order], word[order]
+            for block, a, b in _blocks(key, blocks):
+                yield pa.RecordBatch.from_pydict(
+                    {"block": [block], "packed": [context[a:b].tobytes() + word[a:b].tobytes() + n[a:b].tobytes()]},
+                    pa.schema([("block", pa.int32()), ("packed", pa.binary())]))
+
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [[END, *tokens(text)] for text in part.column("text").to_pylist()]
-                keys, owner = _grams(found, codes, size - 1)
-                passes = _passes(shorter, keys[-1])
-                counted = (owner[size - 1:] == owner[:max(len(owner) - size + 1, 0)]) & passes[:-1] & passes[1:]
-                word, context = keys[0][size - 1:][counted], keys[-1][:-1][counted]
-                order = np.lexsort((context, word))
-                word, context = word[order], context[order]
-                first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])])[:len(word)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(context[first].view(np.int64)), pa.array(word[first].view(np.int64)),
-                     pa.array(np.diff(np.append(first, len(word))).astype(np.int64))], ["context", "word", "n"])
+                stream, owner = hasher.stream(part.column("text"))
+                context = grams(stream, size - 1)[-1]
+                passes = _passes(shorter, context)
+                counted = inside(owner, size) & passes[:-1] & passes[1:]
+                held.append((context[:-1][counted], stream[size - 1:][counted]))
+                waiting += int(counted.sum())
+                if waiting > HELD:
+                    yield from out()
+                    held, waiting = [], 0
+        yield from out()
     return work
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams with their keys and the keys of their suffixes, all but the first word; that of a single word is 0."""
-    for batch in batches:
-        context, word, rest = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("context", "word", "context_suffix"))
-        word = word.view(np.uint64)
-        key = _longer(context.view(np.uint64), word).view(np.int64)
-        suffix = np.where(rest != 0, _longer(rest.view(np.uint64), word), word).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key), batch.column("context"), pa.array(suffix), batch.column("n"), batch.column("seen")],
-            ["key", "context", "suffix", "n", "seen"])
+def _merge_grams(least: int):
+    """The grams of a block that were seen ``least`` times, with their keys."""
+
+    def work(packed: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in packed.column("packed")]
+        counts = [len(p) // 20 for p in parts]
+        context = np.concatenate([p[:8 * m].view(np.uint64) for p, m in zip(parts, counts)])
+        word = np.concatenate([p[8 * m:16 * m].view(np.uint64) for p, m in zip(parts, counts)])
+        n = np.concatenate([p[16 * m:].view(np.uint32) for p, m in zip(parts, counts)])
+        key = longer(context, word)
+        order = np.argsort(key)
+        first = _first(key[order])
+        n = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        at = order[first][n >= least]
+        return pa.table({"key": key[at].view(np.int64), "context": context[at].view(np.int64), "word": word[at].view(np.int64), "n": n[n >= least]})
+    return work
 
 
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys, -1 for those not there."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of grams without their first word: of the context without it (0 if it is a single word) and the last word."""
+    for batch in batches:
+        rest, word = (batch.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in ("rest_of_context", "word"))
+        suffix = np.where(rest != 0, longer(rest, word), word).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "context", "n", "seen")], pa.array(suffix)],
+                                         ["key", "context", "n", "seen", "suffix"])
 
 
-class Tree:
-    """States of one word in sorted arrays: the formulas of ``values`` in memory, for small vocabularies.
+def blocks_for(items: int, of_block: int) -> int:
+    """A power of two, so that blocks of leading bits have about ``of_block`` items."""
+    return 1 << max(0, int(np.ceil(np.log2(max(items, 1) / of_block))))
 
-    ``entries1`` are keys ``word * size + next``.
-    """
-
-    def __init__(self, counts: np.ndarray, total: int, vocabulary: int):
-        self.size = len(counts)
-        self.counts = counts
-        self.root = (counts + 0.5) / (total + 0.5 * (vocabulary + 1))
-        self.rest1 = np.full(self.size, np.nan)
-        self.entries1, self.p1 = np.zeros(0, np.int64), np.zeros(0)
-
-    @staticmethod
-    def _states(context: np.ndarray, n: np.ndarray, seen: np.ndarray, suffix: np.ndarray):
-        """Share left to the suffix (NaN for contexts that fail the test) and entry probabilities."""
-        size = len(seen)
-        kept = np.bincount(context, n, size)
-        whole = np.maximum(seen, kept) + SUFFIX_WEIGHT
-        rest = (whole - kept) / whole
-        p = n / whole[context] + rest[context] * suffix
-        gain = np.bincount(context, n * np.log(p / suffix), size) + (seen - kept).clip(0) * np.log(rest)
-        entries = np.bincount(context, minlength=size)
-        return np.where((entries > 0) & (gain > ENTRY_COST * entries), rest, np.nan), p
-
-    def add_pairs(self, keys: np.ndarray, n: np.ndarray) -> None:
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order].astype(float)
-        first, after = keys // self.size, keys % self.size
-        self.rest1, p = self._states(first, n, self.counts.astype(float), self.root[after])
-        keep = ~np.isnan(self.rest1[first])
-        self.entries1, self.p1 = keys[keep], p[keep]
-
-    def after_one(self, first: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Probability of numbered words after one word, in its state or the root."""
-        at = _find(self.entries1, first * self.size + after)
-        backed = np.where(np.isnan(self.rest1[first]), 1.0, self.rest1[first]) * self.root[after]
-        return np.where(at >= 0, self.p1[at] if len(self.p1) else 0.0, backed)
-
-
-def _filter(grams: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the keys' leading bits, in words of 64."""
-    slot = F.shiftrightunsigned("key", 64 - bits)
-    rows = grams.select(F.shiftrightunsigned(slot, 6).alias("at"), F.expr("shiftleft(1L, CAST(key >>> %d AS INT) & 63)" % (64 - bits)).alias("bit")).groupBy(
-        "at").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
-    out = np.zeros(2 ** (bits - 6), np.uint64)
-    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
 
+def grow(scratch: Scratch, training: DataFrame, words: DataFrame, total: int, vocabulary: int, least: int, depth: int | None) -> list[DataFrame]:
+    """Per level a written table of ``key, n, gain``: what states and entries change in a text's log10 probability.
 
-def values(training: DataFrame, words: DataFrame, total: int, vocabulary: int, min_word: float, min_joint: float, depth: int) -> DataFrame:
-    """``key, n, value`` of every gram that changes the logarithm (base 10) of a text's probability, against the root."""
-    enough, least = max(2, min_word * total), max(2, min_joint * total)
+    A state adds the share that it leaves to the suffix wherever its context is followed
+    by something, an entry what its own probability adds to that.
+    """
+    below = total + 0.5 * (vocabulary + 1)
     # Probability of the last word of each gram after the others, in the longest state so far.
-    shorter = stored(words.where(F.col("n") >= enough).mapInArrow(_coded, "key long, n long"), "codes").select(
-        "key", F.lit(0).cast("long").alias("suffix"), "n", ((F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))).alias("p"))
-    found = []
-    for size in range(2, depth + 2):
-        counted = stored(
-            training.select("text").mapInArrow(_count_grams(size, _filter(shorter, FILTER_BITS)), "context long, word long, n long")
-            .groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "grams", free=True)
-        # What a gram's context and suffix are: grams seen at least as often, so both are there unless a word is not frequent.
-        entries = stored(
-            counted.join(shorter.select(
-                F.col("key").alias("context"), F.col("suffix").alias("context_suffix"), F.col("n").alias("seen")), "context")
-            .mapInArrow(_named, "key long, context long, suffix long, n long, seen long")
+    shorter = scratch.keep(words.where(F.col("n") >= least).select(
+        "key", F.lit(0).cast("long").alias("suffix"), "n", ((F.col("n") + 0.5) / F.lit(below)).alias("p")), "shorter")
+    found, size, blocks = [], 1, blocks_for(total, BLOCK_GRAMS)
+    while depth is None or size <= depth:
+        size += 1
+        counted = scratch.keep(
+            training.mapInArrow(_count_grams(size, filter_of(shorter), blocks), "block int, packed binary")
+            .groupBy("block").applyInArrow(_merge_grams(least), "key long, context long, word long, n long"), "grams")
+        entries = scratch.keep(
+            counted.join(shorter.select(F.col("key").alias("context"), F.col("suffix").alias("rest_of_context"), F.col("n").alias("seen")), "context")
+            .mapInArrow(_suffixes, "key long, context long, n long, seen long, suffix long")
             .join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix"), "entries")
-        contexts = stored(
-            entries.groupBy("context").agg(F.first("seen").alias("seen"), F.sum("n").alias("kept"), F.count("*").alias("entries"))
-            .where(F.col("seen") >= enough).withColumn("whole", F.greatest("seen", "kept") + F.lit(SUFFIX_WEIGHT))
-            .withColumn("rest", (F.col("whole") - F.col("kept")) / F.col("whole")), "contexts")
-        p = F.col("n") / F.col("whole") + F.col("rest") * F.col("q")
-        gained = entries.join(contexts.select("context", "whole", "rest"), "context").groupBy("context").agg(
-            F.sum(F.col("n") * F.log(p / F.col("q"))).alias("gain"))
-        states = stored(contexts.join(gained, "context").where(
-            F.col("gain") + F.greatest(F.col("seen") - F.col("kept"), F.lit(0)) * F.log("rest") > ENTRY_COST * F.col("entries"))
-            .select("context", F.col("seen").alias("state_n"), "whole", "rest"), "states")
-        shorter = stored(entries.join(states, "context", "left").select(
-            "key", "suffix", "n", "q", "rest", F.when(F.col("rest").isNull(), F.col("q")).otherwise(p).alias("p")), "shorter")
-        found += [shorter.where("rest IS NOT NULL").select("key", "n", (F.log10(F.col("p") / F.col("q")) - F.log10("rest")).alias("value")),
-                  states.select(F.col("context").alias("key"), F.col("state_n").alias("n"), F.log10("rest").alias("value"))]
-    return stored(reduce(DataFrame.unionAll, found).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "values")
-
-
-def _scored(number: dict[bytes, int], logs: np.ndarray, head: np.ndarray, worth: np.ndarray, others_in: np.ndarray, longest: int):
-    """Sums over the shipped words and grams of every text; its other words and grams are listed."""
+        scratch.drop(counted, shorter)
+        n, whole, q = F.col("n"), F.greatest("seen", "n") + F.lit(SUFFIX_WEIGHT), F.col("q")
+        left = (whole - n) / whole
+        gain = n * F.log((n / whole + left * q) / q) + F.greatest(F.col("seen") - n, F.lit(0)) * F.log(left)
+        kept = scratch.keep(entries.where(gain > ENTRY_COST).select("key", "context", "n", "seen"), "kept")
+        states = scratch.keep(kept.groupBy("context").agg(F.sum("n").alias("kept"), F.max("seen").alias("seen")).withColumn(
+            "whole", F.greatest("seen", "kept") + F.lit(SUFFIX_WEIGHT)).select(
+            "context", "seen", "whole", ((F.col("whole") - F.col("kept")) / F.col("whole")).alias("rest")), "states")
+        if states.isEmpty():
+            scratch.drop(entries, kept, states)
+            break
+        own = F.when(gain > ENTRY_COST, n / F.col("state_whole")).otherwise(F.lit(0.0)) + F.col("rest") * q
+        shorter = scratch.keep(entries.join(states.select("context", F.col("whole").alias("state_whole"), "rest"), "context", "left").select(
+            "key", "suffix", "n", F.coalesce(own, q).alias("p"),
+            F.when(F.col("rest").isNotNull() & (gain > ENTRY_COST), F.log10(own / q) - F.log10("rest")).alias("gain")), "shorter")
+        found.append(scratch.keep(
+            shorter.where("gain IS NOT NULL").select("key", "n", "gain").unionAll(
+                states.select(F.col("context").alias("key"), F.col("seen").alias("n"), F.log10("rest").alias("gain"))), "gains"))
+        scratch.drop(entries, kept, states)
+    return found
+
+
+class Lookup:
+    """Places of keys among sorted ones, by their leading bits and few steps from there."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(1, min(21, int(np.ceil(np.log2(max(len(keys), 1))))))
+        leading = keys >> np.uint64(64 - self.bits)
+        self.first = np.searchsorted(leading, np.arange(2 ** self.bits + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.first).max(initial=0))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places, -1 for those not there."""
+        out = np.full(len(keys), -1)
+        leading = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end, open_ = self.first[leading], self.first[leading + 1], np.arange(len(keys))
+        for _ in range(self.most):
+            more = at < end
+            at, end, open_ = at[more], end[more], open_[more]
+            if not len(at):
+                break
+            hit = self.keys[at] == keys[open_]
+            out[open_[hit]] = at[hit]
+            at, end, open_ = at[~hit] + 1, end[~hit], open_[~hit]
+        return out
+
+
+_SCORED = ("block int, packed binary, row long, doc_id long, held_out boolean, n_tokens long, known long, base double, gain double")
+_SCORED_ARROW = pa.schema([("block", pa.int32()), ("packed", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
+                           ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())])
+
+
+def _scored(head: tuple[np.ndarray, ...], others_in: np.ndarray, longest: int, end: tuple[int, float], blocks: int):
+    """Sums of the shipped values of every text; the keys of its others, in blocks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-        codes = _Codes()
+        hasher, lookup = Hasher(), Lookup(head[0])
+        known_of, base_of, gain_of = head[1:]
+        keys, rows, waiting = [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not keys:
+                return
+            key, row = np.concatenate(keys), np.concatenate(rows)
+            order = np.argsort(key)
+            key, row = key[order], row[order]
+            found = _blocks(key, blocks)
+            yield pa.RecordBatch.from_pydict(
+                {"block": [b for b, _, _ in found], "packed": [key[a:z].tobytes() + row[a:z].tobytes() for _, a, z in found],
+                 **{f.name: [None] * len(found) for f in _SCORED_ARROW if f.name not in ("block", "packed")}}, _SCORED_ARROW)
+
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, known, base, rare = [], [], [], []
-                listed = [[END, *tokens(text)] for text in part.column("text").to_pylist()]
-                for found in listed:
-                    x = np.fromiter([number.get(w, -1) for w in found[1:]], np.int64, len(found) - 1)
-                    top = x[x >= 0]
-                    sizes.append(len(x))
-                    known.append(len(top))
-                    base.append(float(logs[top].sum()))
-                    rare.append([{"word": w, "n": n} for w, n in Counter([w for w, i in zip(found[1:], x) if i < 0]).items()])
-                keys, owner = _grams(listed, codes, longest)
-                gains, others, owners = np.zeros(len(listed)), [], []
-                for size, key in enumerate(keys, 1):
-                    last = max(size, 2) - 1  # a single word is a context, which something follows
-                    begins, ends = owner[:max(len(owner) - last, 0)], owner[last:]
-                    of = begins[begins == ends]
-                    key = key[:len(begins)][begins == ends].view(np.int64)
-                    at = _find(head, key)
-                    gains += np.bincount(of[at >= 0], worth[at[at >= 0]], len(listed))
-                    other = (at < 0) & _passes(others_in, key.view(np.uint64))
-                    others.append(key[other])
-                    owners.append(of[other])
-                of = np.concatenate(owners)
-                order = np.argsort(of, kind="stable")
-                places = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(listed)))]).astype(np.int32)
-                grams = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(others)[order]))
+                stream, owner = hasher.stream(part.column("text"))
+                docs = part.num_rows
+                sizes = np.bincount(owner, minlength=docs) - 1
+                known, base, gain = np.full(docs, end[0]), np.full(docs, end[1]), np.zeros(docs)
+                ids = part.column("row").to_numpy()
+                for size, key in enumerate(grams(stream, longest), 1):
+                    # The end after a text is no context, and is counted apart.
+                    stays = inside(owner, max(size, 2))
+                    key, of = key[:len(stays)][stays], owner[:len(stays)][stays]
+                    at = lookup.find(key)
+                    hit = at >= 0
+                    found, place = at[hit], of[hit]
+                    gain += np.bincount(place, gain_of[found], docs)
+                    if size == 1:
+                        known = known + np.bincount(place, known_of[found], docs).astype(np.int64)
+                        base += np.bincount(place, base_of[found], docs)
+                    other = ~hit & _passes(others_in, key)
+                    keys.append(key[other])
+                    rows.append(ids[of[other]])
+                    waiting += len(keys[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(sizes, pa.int64()),
-                     pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(gains, pa.float64()), pa.array(rare, rare_type), grams],
-                    ["row", "doc_id", "held_out", "n_tokens", "top_known", "top_base", "gain", "rare", "grams"])
+                    [pa.nulls(docs, pa.int32()), pa.nulls(docs, pa.binary()), part.column("row"), part.column("doc_id"), part.column("held_out"),
+                     pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(gain)], schema=_SCORED_ARROW)
+                if waiting > HELD:
+                    yield from out()
+                    keys, rows, waiting = [], [], 0
+        yield from out()
     return work
 
 
-def score(docs: DataFrame, min_top: float = MIN_TOP, min_word: float = MIN_WORD, min_joint: float = MIN_JOINT,
-          depth: int = DEPTH, head: float = HEAD) -> DataFrame:
+def _looked_up(number: tuple, listed: pa.Table, values: pa.Table) -> pa.Table:
+    """Sums per row of the values of a block's keys."""
+    kinds = {"row": pa.int64(), "known": pa.int64(), "base": pa.float64(), "gain": pa.float64()}
+    parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in listed.column("packed")]
+    keys = np.sort(values.column("key").to_numpy().view(np.uint64))
+    order = np.argsort(values.column("key").to_numpy().view(np.uint64))
+    lookup = Lookup(keys)
+    known, base, gain = (values.column(c).to_numpy()[order] for c in ("known", "base", "gain"))
+    sums = []
+    for p in parts:
+        half = len(p) // 2
+        key, row = p[:half].view(np.uint64), p[half:].view(np.int64)
+        at = lookup.find(key)
+        hit = at >= 0
+        at, row = at[hit], row[hit]
+        rows, place = np.unique(row, return_inverse=True)
+        sums.append((rows, *[np.bincount(place, x[at], len(rows)) for x in (known, base, gain)]))
+    if not sums:
+        return pa.table({c: pa.array([], kind) for c, kind in kinds.items()})
+    columns = [np.concatenate(x) for x in zip(*sums)]
+    return pa.table({c: pa.array(x.astype(np.int64) if c == "known" else x, kind) for (c, kind), x in zip(kinds.items(), columns)})
+
+
+def score(docs: DataFrame, least: int = LEAST, depth: int | None = DEPTH, head: float = HEAD) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``row, doc_id, text``."""
     fifth = fold(F.col("doc_id"))
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(fifth == 1, F.lit(False)).alias("held_out"), "text", (fifth != 1).alias("learn"))
     training = rows.where("learn").select("text")
-    words = stored(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    listed = sorted(words.where(F.col("n") >= min_top * total).collect(), key=lambda r: (-r["n"], r["word"]))
-    number = {bytes(r["word"]): i for i, r in enumerate(listed)}
-    below = total + 0.5 * (vocabulary + 1)
-    logs = np.log10((np.array([r["n"] for r in listed], np.int64) + 0.5) / below)
-
-    worths = values(training, words, total, vocabulary, min_word, min_joint, depth)
-    shipped = worths.where(F.col("n") >= head * total).select("key", "value").toPandas().sort_values("key")
-    others = worths.where(F.col("n") < head * total).select("key", "value")
-    scored = stored(rows.select("row", "doc_id", "held_out", "text").mapInArrow(
-        _scored(number, logs, shipped["key"].to_numpy(np.int64), shipped["value"].to_numpy(np.float64), _filter(others, FILTER_BITS), depth + 1),
-        "row long, doc_id long, held_out boolean, n_tokens long, top_known long, top_base double, gain double, "
-        "rare array<struct<word: binary, n: bigint>>, grams array<long>"), "scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    looked_up = rare.join(words, "word", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(below)))).alias("rare_base"))
-    others = scored.select("row", F.explode("grams").alias("key")).join(others, "key").groupBy("row").agg(F.sum("value").alias("rare_gain"))
-    base = F.col("top_base") + F.coalesce("rare_base", F.lit(0.0))
-    gain = F.col("gain") + F.coalesce("rare_gain", F.lit(0.0))
-    return scored.drop("rare", "grams").join(looked_up, "row", "left").join(others, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("top_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + gain).alias("score"))
+    with Scratch(docs.sparkSession, "suffix-tree") as scratch:
+        words = scratch.keep(training.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+        total, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        below = total + 0.5 * (vocabulary + 1)
+        unknown = float(np.log10(0.5 / below))
+        levels = grow(scratch, training, words, total, vocabulary, max(least, 1), depth)
+
+        # Words are their own gain over an unknown word; the end before a text is a context only.
+        end = int(np.array(END).view(np.int64))
+        is_word = F.col("key") != end
+        base = F.when(is_word, F.log10((F.col("n") + 0.5) / F.lit(below)) - unknown).otherwise(0.0)
+        table = words.select("key", "n", is_word.cast("long").alias("known"), base.alias("base"), F.lit(0.0).alias("gain"))
+        table = reduce(DataFrame.unionAll, [g.select("key", "n", F.lit(0).cast("long"), F.lit(0.0), "gain") for g in levels], table)
+        values = scratch.keep(table.groupBy("key").agg(
+            F.max("n").alias("n"), F.max("known").alias("known"), F.max("base").alias("base"), F.sum("gain").alias("gain")), "values")
+        ends = words.where(F.col("key") == end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        at_end = (1 if ends else 0, float(np.log10((ends + 0.5) / below)) - unknown if ends else 0.0)
+        shipped = values.where(F.col("n") >= head * total).select("key", "known", "base", "gain").toArrow()
+        key = shipped["key"].to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        arrays = (key[order], *[shipped[c].to_numpy()[order] for c in ("known", "base", "gain")])
+        others = values.where(F.col("n") < head * total)
+        blocks = blocks_for(total, BLOCK_GRAMS)
+        scored = scratch.keep(rows.select("row", "doc_id", "held_out", "text").mapInArrow(
+            _scored(arrays, filter_of(others), len(levels) + 1, at_end, blocks), _SCORED), "scored")
+        in_block = F.shiftrightunsigned("key", 64 - (blocks.bit_length() - 1)).cast("int") if blocks > 1 else F.lit(0)
+        found = scored.where("block IS NOT NULL").select("block", "packed").groupBy("block").cogroup(
+            others.select(in_block.alias("block"), "key", "known", "base", "gain").groupBy("block")).applyInArrow(
+            _looked_up, "row long, known long, base double, gain double")
+        texts = scored.where("block IS NULL").drop("block", "packed")
+        summed = texts.unionByName(found, allowMissingColumns=True).groupBy("row").agg(
+            *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("known", "base", "gain")])
+        base_score = F.col("base") + F.col("n_tokens") * F.lit(unknown)
+        result = stored(summed.select(
+            "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+            base_score.alias("base_score"), (base_score + F.col("gain")).alias("score")), "scores", free=True)
+    return result
 
 
 by_value(__name__)

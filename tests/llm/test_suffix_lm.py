@@ -1,75 +1,83 @@
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from collections import Counter
 from math import log, log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assayer.llm import suffix_lm
 from assayer.llm.exact_dedup import with_rows
 from assayer.llm.queries import QUERIES
 from assayer.llm.shared import stored
-from assayer.llm.suffix_lm import Tree, score, tokens
+from assayer.llm.suffix_lm import ENTRY_COST, SUFFIX_WEIGHT, Hasher, Lookup, score
+from assayer.sources.tables import shared_dir
 
 
 def held(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
-def plain(rows, min_word, min_joint):
-    """The tree in dictionaries: contexts as tuples, longest retained suffix first."""
+def tokens(text):
+    return [*(text or "").encode().lower().split(), b""]
+
+
+def plain(rows, least, depth=None):
+    """The tree in dictionaries: contexts as tuples of any length, longest retained suffix first."""
     training = [tokens(t) for i, t, *_ in rows if i is not None and not held(i)]
     c = Counter(w for t in training for w in t)
     total, below = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
-    root = lambda w: (c[w] + 0.5) / below
-    enough, least = max(2, min_word * total), max(2, min_joint * total)
-    common = {w for w in c if c[w] >= enough}
     texts = [[b"", *t] for t in training]
-    pairs = Counter(p for t in texts for p in zip(t, t[1:]) if set(p) <= common)
-    often = {p for p, n in pairs.items() if n >= enough}
-    triples = Counter(p for t in texts for p in zip(t, t[1:], t[2:]) if p[:2] in often and p[2] in common)
     states = {}
 
     def p(word, history):
-        for s in (tuple(history[-2:]), tuple(history[-1:])):
-            if len(s) and s in states:
-                rest, own = states[s]
-                return own[word] if word in own else rest * p(word, s[1:])
-        return root(word)
-
-    for grams, seen_of in ((pairs, lambda s: c[s[0]]), (triples, lambda s: pairs[s])):
-        groups = {}
-        for g, n in grams.items():
+        if not history:
+            return (c[word] + 0.5) / below
+        if history in states:
+            rest, own = states[history]
+            return own[word] if word in own else rest * p(word, history[1:])
+        return p(word, history[1:])
+
+    size, seen_of = 1, {(w,): n for w, n in c.items()}
+    while depth is None or size <= depth:
+        size += 1
+        counted = Counter(tuple(t[k:k + size]) for t in texts for k in range(len(t) - size + 1))
+        groups, new = {}, {}
+        for g, n in counted.items():
             if n >= least:
                 groups.setdefault(g[:-1], {})[g[-1]] = n
-        new = {}
         for s, follow in groups.items():
-            kept = sum(follow.values())
-            seen = seen_of(s)
-            whole = max(seen, kept) + suffix_lm.SUFFIX_WEIGHT
-            rest = (whole - kept) / whole
-            own = {w: n / whole + rest * p(w, s[1:]) for w, n in follow.items()}
-            gain = sum(n * log(own[w] / p(w, s[1:])) for w, n in follow.items()) + max(seen - kept, 0) * log(rest)
-            if gain > suffix_lm.ENTRY_COST * len(follow):
-                new[s] = (rest, own)
+            seen = seen_of[s]
+            whole = seen + SUFFIX_WEIGHT
+            kept = {}
+            for w, n in follow.items():
+                q, left = p(w, s[1:]), (whole - n) / whole
+                if n * log((n / whole + left * q) / q) + (seen - n) * log(left) > ENTRY_COST:
+                    kept[w] = n
+            if kept:
+                rest = (whole - sum(kept.values())) / whole
+                new[s] = (rest, {w: n / whole + rest * p(w, s[1:]) for w, n in kept.items()})
+        if not new:
+            break
         states.update(new)
-    out = {}
-    for k, (i, t, *_) in enumerate(rows):
+        seen_of = counted
+    out, longest = [], max(map(len, states), default=0)
+    for i, t, *_ in rows:
         x = tokens(t)
         history = [b"", *x]
-        hidden = [w if w in common else None for w in history]
-        out[k] = (i, held(i), len(x), sum(c[w] > 0 for w in x), total, sum(log10(root(w)) for w in x),
-                  sum(log10(p(w, hidden[max(0, j - 1):j + 1])) for j, w in enumerate(x)))
-    return sorted(out.values(), key=repr), states
+        out.append((i, held(i), len(x), sum(c[w] > 0 for w in x), total, sum(log10(p(w, ())) for w in x),
+                    sum(log10(p(w, tuple(history[max(0, j + 1 - longest):j + 1]))) for j, w in enumerate(x))))
+    return sorted(out, key=repr), states, c
 
 
-def check(spark, rows, min_word=0.01, min_joint=0.0, min_top=0.05):
+def check(spark, rows, least=2, **options):
     df = with_rows(stored(spark.createDataFrame([(*r, 1, 1) for r in rows], "doc_id long, text string, n int, word int").repartition(3), "docs"))
-    got = sorted((tuple(r) for r in score(df, min_top, min_word, min_joint).collect()), key=repr)
-    expected, states = plain(rows, min_word, min_joint)
+    got = sorted((tuple(r) for r in score(df, least, None, **options).collect()), key=repr)
+    expected, states, _ = plain(rows, least)
     assert [g[:5] for g in got] == [e[:5] for e in expected]
     assert [x for g in got for x in g[5:]] == pytest.approx([x for e in expected for x in e[5:]])
     return states
@@ -82,55 +90,83 @@ def test_against_plain_tree(spark):
         line = ["a"]
         while rng.random() < 0.95:
             line.append(rng.choice("bbbbbc") if line[-1] == "a" else rng.choice("aac") if line[-2:] == ["c", "b"] else rng.choice("abcDÉ"))
-        rows.append((i, " ".join(line) + f" rare{i % 50}"))
-    states = check(spark, rows, min_top=0.0)
-    assert {len(s) for s in states} == {1, 2}
-    check(spark, rows, min_word=0.02, min_top=0.01)
+        rows.append((i, " ".join(line) + f" rare{i % 50} The quick brown fox jumps over the lazy dog" * (i % 9 == 0)))
+    states = check(spark, rows)
+    assert {1, 2, 3} <= {len(s) for s in states}
+    check(spark, rows, least=5)
+
+
+@pytest.mark.parametrize("head", [0.0, 0.003, 2.0])
+def test_same_scores_whatever_is_shipped(spark, monkeypatch, head):
+    for name in ("BLOCK_GRAMS", "HELD", "HASHED"):
+        monkeypatch.setattr(suffix_lm, name, 100)
+    rng = random.Random(4)
+    check(spark, [(i, " ".join(rng.choice(("a b c d", "b a", "c c b", f"w{i}")) for _ in range(20))) for i in range(60)], head=head)
 
 
 def test_odd_rows(spark):
-    check(spark, [(1, None), (2, ""), (None, "a b"), (3, "A\ta\x0bb c " * 20_000), (3, "x"), (3, "x"), (4, "\n"), (5, "a b a b")], min_top=0.0)
+    check(spark, [(1, None), (2, ""), (None, "a b"), (3, "A\ta\x0bb c " * 20_000), (3, "x"), (3, "x"), (4, "\n"), (5, "a b a b"),
+                  (7, "zz" * 100_000 + " a b")])
     check(spark, [(None, "a b"), (None, None)])
     assert score(with_rows(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
 
+def test_unseen_texts_with_common_grams_that_training_lacks(spark):
+    out = [i for i in range(400) if held(i)]
+    rows = [(i, "never learned words, " * 50 if held(i) else "what is learned here") for i in range(400)]
+    states = check(spark, rows)
+    assert out and not any(b"never" in s for s in states)
+
+
 def test_states_are_distributions():
-    rng = np.random.default_rng(0)
-    tree = Tree(np.array([50, 30, 20]), 100, 3)
-    tree.root = tree.root / tree.root.sum()
-    tree.add_pairs(np.array([0, 1, 5, 6]), np.array([40, 8, 25, 10]))
-    for first in range(3):
-        assert tree.after_one(np.full(3, first), np.arange(3)).sum() == pytest.approx(1)
-    assert rng is not None
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(("x y z", "x y y", "z")) for _ in range(12))) for i in range(80)]
+    _, states, c = plain(rows, 2)
+    below = sum(c.values()) + 0.5 * (len(c) + 1)
+    root = {w: (n + 0.5) / below for w, n in c.items()}
+    for s, (rest, own) in states.items():
+        if len(s) == 1:  # what the state keeps, and the rest spread as the root has it
+            kept = sum(own[w] - rest * root[w] for w in own)
+            assert kept + rest == pytest.approx(1)
+    assert states
+
+
+def test_keys_of_words():
+    texts = ["", "one  two\tTWO\nthree", "É é two", None, " ", "two" * 50 + " x", "three"]
+    stream, owner = Hasher().stream(pa.array(texts))
+    want = [[b"", *(t or "").encode().lower().split(), b""] for t in texts]
+    assert np.bincount(owner).tolist() == [len(w) for w in want]
+    flat, by_word = [w for words in want for w in words], {}
+    for key, word in zip(stream.tolist(), flat):
+        by_word.setdefault(word, set()).add(key)
+    assert all(len(k) == 1 for k in by_word.values()) and len({k for s in by_word.values() for k in s}) == len(by_word)
+
+
+def test_lookup():
+    rng = np.random.default_rng(1)
+    for keys in (np.unique(rng.integers(0, 2 ** 63, 5000).astype(np.uint64)), np.arange(300, dtype=np.uint64), np.zeros(0, np.uint64)):
+        asked = np.concatenate([keys, rng.integers(0, 2 ** 63, 100).astype(np.uint64)])
+        at = Lookup(keys).find(asked)
+        assert at[:len(keys)].tolist() == list(range(len(keys))) and (at[len(keys):] == -1).all()
 
 
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in QUERIES["op9_lm_suffix_tree"](spark, sf).collect()), key=repr)
-    expected, _ = plain(rows, suffix_lm.MIN_WORD, suffix_lm.MIN_JOINT)
+    expected, _, _ = plain(rows, suffix_lm.LEAST, suffix_lm.DEPTH)
     assert [g[:5] for g in got] == [e[:5] for e in expected]
     assert [x for g in got for x in g[5:]] == pytest.approx([x for e in expected for x in e[5:]])
     unseen = [g for g in got if g[1]]
     assert sum(g[6] for g in unseen) > sum(g[5] for g in unseen)
 
 
-def test_what_is_seen_twice_counts_at_any_size(spark):
-    # 6 of 60,000 tokens: far below the shares of the tokens that contexts and entries had to be before.
+def test_what_is_seen_often_enough_counts_at_any_size(spark):
+    # 6 of 60,000 tokens.
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(600))) for i in range(100)]
     rows += [(i, "quite another language") for i in range(1000, 1010)]
-    states = check(spark, rows, min_word=suffix_lm.MIN_WORD, min_joint=suffix_lm.MIN_JOINT, min_top=suffix_lm.MIN_TOP)
-    assert suffix_lm.MIN_WORD == suffix_lm.MIN_JOINT == 0 and (b"quite", b"another") in states
-
-
-def test_same_scores_whatever_is_shipped(spark):
-    rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice(("a b c d", "b a", "c c b")) for _ in range(20))) for i in range(60)]
-    df = with_rows(stored(spark.createDataFrame(rows, "doc_id long, text string"), "docs"))
-    found = [sorted((r.doc_id, r.score) for r in score(df, head=head).collect()) for head in (0.0, 0.01, 2.0)]
-    for other in found[1:]:
-        assert [x for r in other for x in r] == pytest.approx([x for r in found[0] for x in r])
+    assert (b"quite",) in check(spark, rows, least=suffix_lm.LEAST)
 
 
 def test_longer_contexts(spark):
@@ -140,3 +176,10 @@ def test_longer_contexts(spark):
     df = with_rows(stored(spark.createDataFrame(rows, "doc_id long, text string"), "docs"))
     two, three = ({r.doc_id: r.score for r in score(df, depth=depth).collect() if r.held_out} for depth in (2, 3))
     assert two and all(three[i] > two[i] + 5 for i in two)
+
+
+def test_only_the_result_is_left(spark):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    score(with_rows(spark.createDataFrame([(i, "a b c d") for i in range(30)], "doc_id long, text string"))).count()
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before] == ["llm-scores"]
