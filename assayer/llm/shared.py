@@ -8,14 +8,14 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assayer.sources.tables import shared_dir
+from assayer.sources.tables import FREES, literal_rows, shared_dir
 
 #: White space of the word rule: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Spark's setting that deletes the shuffle files of an execution at its end.
-FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("first", T.LongType())])
 
 
 def by_value(module: str) -> None:
@@ -43,12 +43,26 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Files whose names are sent to every task to number their rows; with more, the rows are written with numbers.
+MOST_FILES, ROW_BITS = 100_000, 40
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``row, doc``: the rows of a table, numbered, whatever their columns are called.
 
-    The numbers depend on how the files are split, so they are written down once.
+    Rows of a Parquet table are numbered by their file and their place in it, which every
+    later read repeats.  Of any other frame the numbers depend on how it is split, so they
+    are written down once, with a copy of the rows.
     """
-    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns and docs.inputFiles():
+        paths = docs.select(F.col("_metadata.file_path").alias("path")).distinct().limit(MOST_FILES + 1).toArrow()["path"].to_pylist()
+        if len(paths) <= MOST_FILES:
+            files = literal_rows(docs.sparkSession, [(p, i << ROW_BITS) for i, p in enumerate(sorted(paths))], _FILES)
+            placed = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("index"), doc)
+            return placed.join(F.broadcast(files), "path").select((F.col("first") + F.col("index")).alias("row"), "doc")
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), doc), "numbered")
 
 
 def fold(doc_id: Column) -> Column:
