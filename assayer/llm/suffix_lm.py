@@ -52,8 +52,8 @@ from assayer.sources.tables import Scratch
 LEAST, SUFFIX_WEIGHT, ENTRY_COST, DEPTH = 4, 4.0, 4.0, 4
 #: Least share of tokens for a value that is shipped; bits of the filters of grams.
 HEAD, FILTER_BITS = 5e-7, 26
-#: Tokens a task counts before it sends its counts on; grams of a block; bytes that are hashed at once.
-HELD, BLOCK_GRAMS, HASHED = 1_500_000, 1_000_000, 1 << 20
+#: Tokens a task counts, and keys it lists, before it sends them on; grams of a block; bytes that are hashed at once.
+HELD, LISTED, BLOCK_GRAMS, HASHED = 1_500_000, 300_000, 1_000_000, 1 << 20
 
 #: Key of the end of a text, which also stands before each text.
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -182,7 +182,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           ["key", "n"])
 
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", HASHED):
             stream, owner = hasher.stream(part.column("text"))
             held.append(stream[1:][owner[1:] == owner[:-1]])  # the end once
             waiting += len(held[-1])
@@ -223,7 +223,7 @@ def _count_grams(size: int, shorter: np.ndarray, blocks: int):
                     pa.schema([("block", pa.int32()), ("packed", pa.binary())]))
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASHED):
                 stream, owner = hasher.stream(part.column("text"))
                 context = grams(stream, size - 1)[-1]
                 passes = _passes(shorter, context)
@@ -362,7 +362,7 @@ def _scored(head: tuple[np.ndarray, ...], others_in: np.ndarray, longest: int, e
                  **{f.name: [None] * len(found) for f in _SCORED_ARROW if f.name not in ("block", "packed")}}, _SCORED_ARROW)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASHED):
                 stream, owner = hasher.stream(part.column("text"))
                 docs = part.num_rows
                 sizes = np.bincount(owner, minlength=docs) - 1
@@ -386,7 +386,7 @@ def _scored(head: tuple[np.ndarray, ...], others_in: np.ndarray, longest: int, e
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(docs, pa.int32()), pa.nulls(docs, pa.binary()), part.column("row"), part.column("doc_id"), part.column("held_out"),
                      pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(gain)], schema=_SCORED_ARROW)
-                if waiting > HELD:
+                if waiting > LISTED:
                     yield from out()
                     keys, rows, waiting = [], [], 0
         yield from out()
