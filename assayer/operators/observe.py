@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assayer import schemas
 from assayer.functions.clock import AsOf, day, days_before, instant
 from assayer.sources.tables import (
-    Scratch, append, asset_id, delete_folder, read_if_exists, replace_partitions,
+    Scratch, append, asset_id, delete_folder, partition_values, read_if_exists, replace_partitions,
 )
 
 # Windows, limits and confidences that insights depend on.
@@ -96,7 +96,7 @@ METRIC_DAY = "metric_day"
 
 def write_facts(facts: DataFrame, path: str) -> None:
     """Append metric facts to a history partitioned by the day of their metric time."""
-    append(facts.withColumn(METRIC_DAY, F.to_date("metric_time")), path, METRIC_DAY)
+    append(facts.withColumn(METRIC_DAY, F.to_date("metric_time")).repartition(METRIC_DAY), path, METRIC_DAY)
 
 
 def write_backfill(unified: DataFrame, path: str, as_of: AsOf, days: int = HISTORY_DAYS) -> None:
@@ -108,17 +108,15 @@ def write_backfill(unified: DataFrame, path: str, as_of: AsOf, days: int = HISTO
     """
     spark, since = unified.sparkSession, days_before(as_of, days)
     first = date.fromisoformat(str(as_of)[:10]) - timedelta(days=days)
-    existing = read_if_exists(spark, path)
     fresh = unified.where(F.col("metric_time") >= since).withColumn(METRIC_DAY, F.to_date("metric_time"))
-    old = set()
+    # The folders' names tell the days; only that of the first day is opened.
+    old = {d for d in partition_values(spark, path, METRIC_DAY) if d >= first.isoformat()}
     with Scratch(spark, "backfill") as scratch:
-        if existing is not None:
-            kept = existing.where((F.col(METRIC_DAY) == F.lit(first)) & (F.col("metric_time") < since))
-            fresh = fresh.unionByName(kept, allowMissingColumns=True)
-            # Days are read off the partitions' names; there is one row per day at most.
-            old = {r[0] for r in existing.where(F.col(METRIC_DAY) >= F.lit(first)).select(METRIC_DAY).distinct().collect()}
+        if first.isoformat() in old:
+            edge = read_if_exists(spark, f"{path}/{METRIC_DAY}={first}").withColumn(METRIC_DAY, F.lit(first))
+            fresh = fresh.unionByName(edge.where(F.col("metric_time") < since), allowMissingColumns=True)
         merged = scratch.keep(fresh)
-        new = {r[0] for r in merged.select(METRIC_DAY).distinct().collect()}
+        new = {str(r[0]) for r in merged.select(METRIC_DAY).distinct().collect()}
         if new:
             replace_partitions(merged.repartition(METRIC_DAY), path, METRIC_DAY)
         for gone in sorted(old - new):

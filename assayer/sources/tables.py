@@ -202,6 +202,16 @@ def read_if_exists(spark: SparkSession, path: str, merge: bool = True) -> DataFr
     return spark.read.option("mergeSchema", merge).parquet(path)
 
 
+def partition_values(spark: SparkSession, path: str, partition: str) -> list[str]:
+    """The values of a table's partition column, read off the names of its folders; none where no table stands."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [entry.getPath().getName() for entry in files.listStatus(folder)]
+    return [n.split("=", 1)[1] for n in names if n.startswith(f"{partition}=")]
+
+
 def counts_since(tables: dict[str, DataFrame], column: str, since: Column) -> DataFrame:
     """Rows at or after an instant, per table."""
     lines = [df.where(F.col(column) >= since).agg(F.count(F.lit(1)).alias("row_count"))

@@ -80,7 +80,9 @@ def test_table_rules(spark):
     assert found == {
         "|UNIQUENESS_COMPOSITE_KEY|*": (4, 3), "|COMPLETENESS_CRITICAL_COLUMNS|*": (4, 2),
         "|CONSISTENCY_LOGICAL_RELATIONSHIP|*": (4, 1), "|FRESHNESS_LOAD_TIMESTAMP|*": (1, 0),
-        "|VOLUME_ROW_COUNT_THRESHOLD|*": (4, 1), "|VOLUME_ANOMALY_DETECTION|day": (3, 1)}
+        "|VOLUME_ROW_COUNT_THRESHOLD|*": (4, 1),
+        # The 1st to the 10th, of which the 3rd to the 8th and the 10th have no rows and the 9th has two.
+        "|VOLUME_ANOMALY_DETECTION|day": (10, 8)}
 
 
 def test_foreign_key(spark):
