@@ -51,9 +51,9 @@ from assayer.llm.shared import by_value, stored
 K, BITS, TABLES = 20, 64, 4
 WIDTH = BITS // TABLES
 #: Vectors of a band that rotations are learned on; rounds of learning; rows and queries in a block.
-SAMPLE, ROUNDS, BLOCK, QUERIES = 2048, 20, 4096, 256
+SAMPLE, ROUNDS, BLOCK, QUERIES = 2048, 20, 4096, 1024
 #: Parts of buckets that one task meets a block of queries with; queries of which a task holds the best.
-PARTS, HELD = 256, 100_000
+PARTS, HELD = 64, 100_000
 #: Share of the sample's near pairs that must lie within the radius of their angle.
 CERTAIN = 0.97
 
