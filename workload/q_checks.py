@@ -11,7 +11,7 @@ from assayer.plans import seeds
 from assayer.plans.runs import (
     Configuration, execute, profile_dataset, run_batch, run_checks, run_rule, run_scan,
 )
-from assayer.sources.tables import Registry
+from assayer.sources.tables import Registry, cut_lineage
 from workload.base import ctes, fresh_dir, half_up, percent, query
 from workload.silver import (
     CURRENCIES, EMAIL, ENTITIES, KINDS, KYC, MOVES, PHONE, STATES, silver, silver_sql,
@@ -504,18 +504,22 @@ def failure_classification(spark, sf_dir):
     return shape.failures(derived(spark, sf_dir, "history"))
 
 
-_ACCOUNT = ("account_id customer_id account_type account_status opening_balance opened_date "
-            "load_timestamp source_file load_batch_id").split()
-_TX = ("transaction_id account_id transaction_type transaction_amount transaction_date "
-       "load_timestamp source_file load_batch_id").split()
+_AUDIT = "load_timestamp source_file load_batch_id"
+_LANDED = {
+    "stg_customer": (["customer_id"], f"customer_id customer_name email dob phone kyc_status country created_date {_AUDIT}".split()),
+    "stg_account": (["account_id"], f"account_id customer_id account_type account_status opening_balance opened_date {_AUDIT}".split()),
+    "stg_transaction": (["transaction_id"], f"transaction_id account_id transaction_type transaction_amount transaction_date {_AUDIT}".split()),
+    "stg_daily_balance": (["account_id", "balance_date"], f"account_id balance_date closing_balance {_AUDIT}".split()),
+    "stg_fx_rate": (["currency_code", "rate_date"], f"currency_code rate_date fx_rate_to_usd {_AUDIT}".split()),
+}
+_SAMPLE_KEYS = {DATASET_OF[t]: keys for t, (keys, _) in _LANDED.items()}
 
 
 def _sample_sql() -> str:
-    """Samples of every failed or warned check of the account and transaction tables."""
-    tables = {"stg_account": ("account_id", _ACCOUNT), "stg_transaction": ("transaction_id", _TX)}
+    """Samples of every failed or warned check of all landing tables."""
     parts = []
-    for table, (key, columns) in tables.items():
-        dataset = DATASET_OF[table]
+    for table, (keys, columns) in _LANDED.items():
+        dataset, key = DATASET_OF[table], f"concat_ws('|', {', '.join(keys)})"
         order = ", ".join(["pk ASC NULLS FIRST", *[f"{c} ASC NULLS FIRST" for c in columns]])
         for column, limits in seeds.BRONZE_CHECKS[dataset].items():
             for name, limit in limits.items():
@@ -537,9 +541,9 @@ def _sample_sql() -> str:
                     bad = _error(name, column, limit)
                 parts.append(f"""SELECT * FROM ({head}, pk AS failed_record_pk,
                   {column} AS failed_column_value
-                  FROM (SELECT *, coalesce({key}, '') AS pk FROM {table} c WHERE {bad}) bad
+                  FROM (SELECT *, {key} AS pk FROM {table} c WHERE {bad}) bad
                   ORDER BY {order} LIMIT 100)""")
-    judged = _rated(_seeded(("DS_BRONZE_ACCOUNT", "DS_BRONZE_TRANSACTION")))
+    judged = _rated(_seeded())
     return f"""SELECT s.dataset_id, s.rule_name, s.column_name, failed_record_pk,
        failed_column_value
 FROM ({' UNION ALL '.join(parts)}) s JOIN ({judged}) j ON s.dataset_id = j.dataset_id
@@ -547,52 +551,49 @@ FROM ({' UNION ALL '.join(parts)}) s JOIN ({judged}) j ON s.dataset_id = j.datas
 WHERE check_status IN ('FAILED', 'WARNING') AND invalid_records > 0"""
 
 
-@query("failed_samples", ctes(["stg_customer", "stg_account", "stg_transaction"], _sample_sql()))
+def _sampled(spark, sf_dir):
+    """The sampled records of a run over all datasets; only checks that failed are looked at again."""
+    run = run_checks(_registry(spark, sf_dir), Configuration.shipped(spark), AS_OF, "RUN")
+    run.lines = cut_lineage(run.lines)
+    return run.failed_records(_SAMPLE_KEYS, counts=run.invalid_counts())
+
+
+@query("failed_samples", ctes(STAGES, _sample_sql()))
 def failed_samples(spark, sf_dir):
     """Up to 100 failing records per failed check, with key and value."""
-    registry, conf = _registry(spark, sf_dir), Configuration.shipped(spark)
-    keys = {"DS_BRONZE_ACCOUNT": ["account_id"], "DS_BRONZE_TRANSACTION": ["transaction_id"]}
-    out = None
-    for dataset in keys:
-        run = run_checks(registry, conf, AS_OF, "RUN", dataset)
-        part = run.failed_records(keys).select(
-            "dataset_id", "rule_name", "column_name", "failed_record_pk", "failed_column_value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _sampled(spark, sf_dir).select("dataset_id", "rule_name", "column_name", "failed_record_pk", "failed_column_value")
 
 
 def _failing_sql() -> str:
-    """Number of sampled records per failed row check: all failures up to 100."""
-    judged = _rated(_seeded(("DS_BRONZE_TRANSACTION",)))
-    return f"""SELECT rule_name, column_name, least(invalid_records, 100) AS sampled,
-       least(invalid_records, 100) AS failing
-FROM ({judged}) j WHERE check_status IN ('FAILED', 'WARNING') AND invalid_records > 0
-  AND rule_name NOT IN ('UNIQUENESS_PRIMARY_KEY', 'CONSISTENCY_FOREIGN_KEY')"""
+    """Number of sampled records per failed check: all failures up to 100."""
+    return f"""
+SELECT dataset_id, rule_name, column_name, CAST(count(*) AS BIGINT) AS sampled, CAST(count(*) AS BIGINT) AS failing
+FROM ({_sample_sql()}) samples GROUP BY ALL"""
 
 
-@query("failed_samples_random", ctes(["stg_account", "stg_transaction"], _failing_sql()))
+@query("failed_samples_random", ctes(STAGES, _failing_sql()))
 def failed_samples_random(spark, sf_dir):
-    """Samples of the failed checks only: their size, and how many sampled rows break their rule."""
-    run = run_checks(_registry(spark, sf_dir), Configuration.shipped(spark), AS_OF, "RUN",
-                     "DS_BRONZE_TRANSACTION")
-    records = run.failed_records({"DS_BRONZE_TRANSACTION": ["transaction_id"]},
-                                 counts=run.invalid_counts())
-    row_checks = records.where(
-        ~F.col("rule_name").isin("UNIQUENESS_PRIMARY_KEY", "CONSISTENCY_FOREIGN_KEY"))
-    value = F.col("failed_column_value")
+    """Samples of the failed checks only: their size, and how many sampled records break their rule."""
+    value, name = F.col("failed_column_value"), F.col("rule_name")
+    number = value.try_cast("decimal(38,0)")
+    known = [v.strip("'") for kinds in (KYC, KINDS, STATES, MOVES) for v in kinds.strip("()").split(",")]
     breaks = (
-        F.when(F.col("rule_name") == "COMPLETENESS_CHECK", value.isNull())
-        .when(F.col("rule_name") == "VALIDITY_POSITIVE_NUMBER",
-              F.coalesce(value.try_cast("decimal(38,0)") <= 0, F.lit(True)))
-        .when(F.col("rule_name") == "VALIDITY_NUMERIC_FORMAT",
-              value.try_cast("decimal(38,0)").isNull())
-        .when(F.col("rule_name") == "VALIDITY_DATE_FORMAT", value.try_cast("date").isNull())
-        .when(F.col("rule_name") == "VALIDITY_DATE_RANGE",
-              F.coalesce(value.try_cast("date") > F.lit("2024-01-30").cast("date"), F.lit(True)))
-        .when(F.col("rule_name") == "FRESHNESS_DATA_RECENCY",
-              value.try_cast("date") < F.lit("2023-11-01").cast("date"))
-        .otherwise(~value.isin("Deposit", "Withdrawal", "Transfer", "Payment")))
-    return row_checks.groupBy("rule_name", "column_name").agg(
+        F.when(name == "COMPLETENESS_CHECK", value.isNull())
+        .when(name == "VALIDITY_POSITIVE_NUMBER", F.coalesce(number <= 0, F.lit(True)))
+        .when(name == "VALIDITY_NON_NEGATIVE_NUMBER", F.coalesce(number < 0, F.lit(True)))
+        .when(name == "VALIDITY_NUMERIC_FORMAT", number.isNull())
+        .when(name == "VALIDITY_DATE_FORMAT", value.try_cast("date").isNull())
+        .when(name == "VALIDITY_DATE_RANGE", F.coalesce(
+            ~value.try_cast("date").between(F.lit("1900-01-01").cast("date"), F.lit("2024-01-30").cast("date")), F.lit(True)))
+        .when(name == "FRESHNESS_DATA_RECENCY", value.try_cast("date") < F.lit("2023-11-06").cast("date"))
+        .when(name == "VALIDITY_EMAIL_FORMAT", ~value.rlike(EMAIL))
+        .when(name == "VALIDITY_PHONE_FORMAT", ~value.rlike(PHONE))
+        .when(name == "VALIDITY_COUNTRY_CODE", ~F.lit(COUNTRIES).contains(F.concat(F.lit("'"), value, F.lit("'"))))
+        .when(name == "VALIDITY_CURRENCY_CODE", ~F.lit(CURRENCIES).contains(F.concat(F.lit("'"), value, F.lit("'"))))
+        .when(name == "VALIDITY_ALLOWED_VALUES", ~value.isin(*known))
+        .when(name == "UNIQUENESS_PRIMARY_KEY", F.get_json_object("row_context", "$.copies").cast("int") >= 1)
+        .when(name == "CONSISTENCY_FOREIGN_KEY", value.isNotNull()))
+    return _sampled(spark, sf_dir).groupBy("dataset_id", "rule_name", "column_name").agg(
         F.count(F.lit(1)).alias("sampled"), F.count_if(breaks).alias("failing"))
 
 

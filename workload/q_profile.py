@@ -10,6 +10,7 @@ from assayer.operators.profile import (
 from assayer.plans.runs import Configuration, run_scan
 from assayer.sources.tables import Registry
 from workload.base import ctes, percent, query
+from workload.q_checks import _rated, _seeded
 from workload.staging import AS_OF, derived, source
 
 # column -> (type text, category) in table order
@@ -143,10 +144,12 @@ def schema_registry_profiled(spark, sf_dir):
 
 
 @query("scan_dispatch_full", _sql("stg_customer", AS_OF, f"""
-SELECT column_name, rule_name, check_status, pass_rate FROM ({_CHECKS}) checks"""))
+SELECT column_name, rule_name, check_status, pass_rate FROM ({_CHECKS}) checks
+UNION ALL SELECT column_name, rule_name, check_status, pass_rate FROM ({_rated(_seeded(("DS_BRONZE_CUSTOMER",)))}) rated"""))
 def scan_dispatch_full(spark, sf_dir):
-    """A full scan profiles and checks; its profile part."""
+    """A full scan profiles and checks: the derived and the configured checks."""
     registry = Registry(spark).add("DS_BRONZE_CUSTOMER", derived(spark, sf_dir, "stg_customer"))
     done = run_scan(registry, Configuration.shipped(spark), AS_OF, "RUN", "DS_BRONZE_CUSTOMER",
                     "full")
-    return done["profile"][1].select("column_name", "rule_name", "check_status", "pass_rate")
+    columns = ("column_name", "rule_name", "check_status", "pass_rate")
+    return done["profile"][1].select(*columns).unionByName(done["checks"].results.select(*columns))

@@ -95,11 +95,13 @@ def daily_summary_for_run(spark, sf_dir):
 
 @query("daily_upsert", ctes(HISTORY, "SELECT * FROM daily", daily_sql()))
 def daily_upsert(spark, sf_dir):
-    """Summaries of part of the checks, replaced by those of all: same as all at once."""
+    """Days kept, days of which part was summed up before, and days that are new: same as all at once."""
     datasets = derived(spark, sf_dir, "history_datasets")
     history = derived(spark, sf_dir, "history")
-    first = summary.daily_summary(history.where("check_status <> 'PASSED'"), datasets)
-    return summary.upsert_summary(first, summary.daily_summary(history, datasets))
+    early = "check_timestamp < TIMESTAMP_NTZ '1998-01-01 00:00:00'"
+    first = summary.daily_summary(history.where(
+        f"{early} OR (check_status <> 'PASSED' AND check_timestamp < TIMESTAMP_NTZ '2000-01-01 00:00:00')"), datasets)
+    return summary.upsert_summary(first, summary.daily_summary(history.where(f"NOT ({early})"), datasets))
 
 
 @query("score_trend", ctes(HISTORY, """

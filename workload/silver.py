@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from assayer.operators.cleanse import silver_from_bronze
 from workload.staging import AS_OF, derived
 
+# Patterns, codes and enumerations of the typed layer, and below its weights and messages.
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 PHONE = r"^\+?[0-9]{1,4}[-.\s]?[0-9]{3,4}[-.\s]?[0-9]{4}$"
 CURRENCIES = ("'USD','EUR','GBP','CAD','JPY','AUD','CHF','CNY','INR','MXN','BRL','NZD','SEK'")
