@@ -48,10 +48,9 @@ def recall(found, rows, k=20):
     return hits / total
 
 
-@pytest.mark.parametrize("block", [64, 4096])
-def test_noise_and_clusters(spark, monkeypatch, block):
-    monkeypatch.setattr(hashing_ann, "BLOCK", block)
-    monkeypatch.setattr(hashing_ann, "QUERIES", block // 8)
+def test_noise_and_clusters(spark, monkeypatch):
+    for name, size in (("BLOCK", 64), ("QUERIES", 16), ("PARTS", 8)):
+        monkeypatch.setattr(hashing_ann, name, size)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(8, 24))
     x = np.vstack([rng.normal(size=(1200, 24)), centres[rng.integers(8, size=800)] + 0.1 * rng.normal(size=(800, 24))])

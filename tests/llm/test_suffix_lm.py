@@ -93,10 +93,9 @@ def test_against_plain_tree(spark):
         rows.append((i, " ".join(line) + f" rare{i % 50} The quick brown fox jumps over the lazy dog" * (i % 9 == 0)))
     states = check(spark, rows)
     assert {1, 2, 3} <= {len(s) for s in states}
-    check(spark, rows, least=5)
 
 
-@pytest.mark.parametrize("head", [0.0, 0.003, 2.0])
+@pytest.mark.parametrize("head", [0.003, 2.0])
 def test_same_scores_whatever_is_shipped(spark, monkeypatch, head):
     for name in ("BLOCK_GRAMS", "HELD", "HASHED"):
         monkeypatch.setattr(suffix_lm, name, 100)
