@@ -13,7 +13,7 @@ queries meets every block of candidates, and the best of the blocks are merged.
 
 Defined results
   NULL id; NULL vector or one with NULL or non-finite components   takes no part
-  repeated id              the greatest of its vectors stands for it
+  repeated id              rows of their own; a query leaves out only its own row
   equal scores             smaller id first
   vectors of other length  are no candidates of a query
   scores beyond 64 bits    stop at the limits of a long
@@ -35,7 +35,7 @@ from assayer.llm.shared import by_value, stored
 K, SCALE, PIVOTS, PIVOT_SAMPLE = 20, 64, 24, 256
 QUERY_BLOCK, CANDIDATE_BLOCK, FIRST = 512, 8192, 128
 
-PACKED = "dim int, block int, ids binary, vectors binary, distances binary"
+PACKED = "dim int, block int, ids binary, rows binary, vectors binary, distances binary"
 
 
 def integers(vector: Column) -> Column:
@@ -81,13 +81,13 @@ def products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return sums
 
 
-def best(query_id: int, query: np.ndarray, bounds: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
-         base: float, slack: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids and scores of the k best of a block, and how many candidates were evaluated.
+def best(own: int, query: np.ndarray, bounds: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
+         base: float, slack: float, k: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids and scores of the k best of a block but the query's own row, and how many candidates were evaluated.
 
-    A candidate's squared distance is ``base`` less twice its score.
+    A candidate's squared distance is ``base`` less twice its score.  Without ``rows`` ids tell rows apart.
     """
-    open_ = np.flatnonzero(ids != query_id)
+    open_ = np.flatnonzero((ids if rows is None else rows) != own)
     if len(open_) > FIRST:
         open_ = open_[np.argpartition(bounds[open_], FIRST)]
     now, later = open_[:FIRST], open_[FIRST:]
@@ -119,7 +119,7 @@ def _pack(pivots: dict[int, np.ndarray], longest: dict[int, float], as_queries:
         points = np.hstack([points, np.zeros((len(points), 1))]) if as_queries else lengthened(points, longest[dim])
         table = to_pivots(points, pivots[dim]).astype(np.float32)
         return pd.DataFrame({"dim": [dim], "block": [block], "ids": [group["vec_id"].to_numpy(np.int64).tobytes()],
-                             "vectors": [vectors.tobytes()], "distances": [table.tobytes()]})
+                             "rows": [group["row"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()], "distances": [table.tobytes()]})
     return work
 
 
@@ -128,7 +128,7 @@ def _search(longest: dict[int, float], k: int):
         for batch in batches:
             for row in batch.itertuples():
                 dim = int(row.dim)
-                q_ids, c_ids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.c_ids, np.int64)
+                q_ids, q_rows, c_ids, c_rows = (np.frombuffer(x, np.int64) for x in (row.ids, row.rows, row.c_ids, row.c_rows))
                 queries = np.frombuffer(row.vectors, np.int64).reshape(len(q_ids), dim)
                 vectors = np.frombuffer(row.c_vectors, np.int64).reshape(len(c_ids), dim)
                 near = np.frombuffer(row.distances, np.float32).reshape(len(q_ids), -1)
@@ -142,9 +142,9 @@ def _search(longest: dict[int, float], k: int):
                     for distance, column in zip(near[i], table):
                         np.maximum(bounds, np.abs(column - distance), out=bounds)
                     base = squares[i] + longest[dim]
-                    found, scores, _ = best(query_id, queries[i], bounds, c_ids, vectors, base,
-                                            1e-5 * (np.sqrt(base) + 1), k)
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": found, "score": scores}))
+                    found, scores, _ = best(q_rows[i], queries[i], bounds, c_ids, vectors, base,
+                                            1e-5 * (np.sqrt(base) + 1), k, c_rows)
+                    out.append(pd.DataFrame({"row": q_rows[i], "query_id": query_id, "vec_id": found, "score": scores}))
                 if out:
                     yield pd.concat(out).astype("int64")
     return work
@@ -156,8 +156,9 @@ def search(vectors: DataFrame, is_query: str, k: int = K, query_block: int = QUE
     spark = vectors.sparkSession
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("vector"))
     rows = stored(
-        usable.where("vec_id IS NOT NULL AND vector IS NOT NULL").groupBy("vec_id").agg(F.max("vector").alias("vector"))
-        .select("vec_id", F.size("vector").alias("dim"), "vector", F.expr(is_query).alias("is_query")), "vectors")
+        usable.where("vec_id IS NOT NULL AND vector IS NOT NULL")
+        .select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("vector").alias("dim"), "vector",
+                F.expr(is_query).alias("is_query")), "vectors")
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q"), F.max(square).alias("longest")).collect()
     empty = "query_id long, rank int, vec_id long, score long"
@@ -165,7 +166,7 @@ def search(vectors: DataFrame, is_query: str, k: int = K, query_block: int = QUE
         return spark.createDataFrame([], empty)
     longest = {s.dim: s.longest for s in sizes}
     # A bounded sample by id digest to choose pivots from; any pivots give exact results.
-    by_digest = W.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
+    by_digest = W.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id", "vector")
     sample = rows.withColumn("at", F.row_number().over(by_digest)).where(F.col("at") <= PIVOT_SAMPLE).collect()
     grouped: dict[int, list] = {}
     for r in sample:
@@ -175,7 +176,7 @@ def search(vectors: DataFrame, is_query: str, k: int = K, query_block: int = QUE
 
     def block(column: str, size: int) -> Column:
         count = F.create_map(*[F.lit(x) for s in sizes for x in (s.dim, max(1, -(-s[column] // size)))])
-        return F.pmod(F.xxhash64("vec_id", F.lit(column)), count[F.col("dim")]).cast("int")
+        return F.pmod(F.xxhash64("row", F.lit(column)), count[F.col("dim")]).cast("int")
 
     def packed(part: DataFrame, column: str, size: int) -> DataFrame:
         return (part.withColumn("block", block(column, size)).groupBy("dim", "block")
@@ -185,11 +186,11 @@ def search(vectors: DataFrame, is_query: str, k: int = K, query_block: int = QUE
     asked = packed(rows.where("is_query"), "q", query_block).withColumn(
         "c_block", F.explode(F.sequence(F.lit(0), blocks[F.col("dim")])))
     offered = packed(rows, "n", candidate_block).select(
-        "dim", F.col("block").alias("c_block"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"),
+        "dim", F.col("block").alias("c_block"), F.col("ids").alias("c_ids"), F.col("rows").alias("c_rows"), F.col("vectors").alias("c_vectors"),
         F.col("distances").alias("c_distances"))
     found = asked.join(offered, ["dim", "c_block"]).repartition("dim", "block", "c_block").mapInPandas(
-        _search(longest, k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        _search(longest, k), "row long, query_id long, vec_id long, score long")
+    order = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 

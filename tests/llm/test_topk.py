@@ -14,16 +14,12 @@ QUERY = "pmod(vec_id, 20) = 0"
 
 
 def brute(rows, k):
-    best = {}
-    for i, v, *_ in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        v = [math.floor(64 * float(np.float32(x))) for x in v]
-        best[i] = max(best.get(i, v), v)
+    usable = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v, *_ in rows
+              if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in best.items():
+    for own, (q, v) in enumerate(usable):
         if q % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in best.items() if i != q and len(w) == len(v))
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for at, (i, w) in enumerate(usable) if at != own and len(w) == len(v))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -49,6 +45,7 @@ def test_odd_rows(spark):
     nulls = spark.createDataFrame([(1, [1.0, None])], "vec_id long, embedding array<float>")
     assert topk.search(nulls, QUERY).count() == 0
     check(spark, [(0, [1.0])])
+    check(spark, [(0, [1.0, 1.0]), (1, [2.0, 2.0]), (1, [3.0, 0.0]), (0, [1.0, 1.0]), (0, [0.0, 2.0])])
     check(spark, [])
 
 
