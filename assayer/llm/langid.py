@@ -29,7 +29,7 @@ from assayer.llm.bpe import slices
 from assayer.llm.shared import by_value, fold, stored
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 13, (1, 2, 3), 0.5
-#: Largest model to ship, in bytes.  More languages than fit need fewer buckets.
+#: Largest model to ship, in bytes.  With more languages than fit the buckets are halved until they do.
 MAX_MODEL = 64 << 20
 #: Cells of the count rows that are held at a time.
 CELLS = 1 << 21
@@ -76,11 +76,11 @@ def _count(buckets: int):
 def fit(rows: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities by bucket, from all rows ``lang, text``."""
     learn = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    many = learn.select("lang").distinct().count()
+    while buckets > 1 and many * buckets * 8 > MAX_MODEL:
+        buckets //= 2
     counts = stored(learn.mapInArrow(_count(buckets), "lang string, bucket int, n long")
                     .groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "languages")
-    languages = counts.select("lang").distinct()
-    if languages.count() * buckets * 8 > MAX_MODEL:
-        raise ValueError("too many languages for the model's size: choose fewer buckets")
     packed = counts.toPandas()
     names = sorted(packed["lang"].unique())
     table = np.full((len(names), buckets), SMOOTHING)
@@ -104,7 +104,9 @@ def _score(names: list[str], log_p: np.ndarray):
                     run = usable[start:start + together]
                     cells = [grams(texts[i], buckets).astype(np.int64) + k * buckets for k, i in enumerate(run)]
                     counts = np.bincount(np.concatenate(cells), minlength=len(run) * buckets)
-                    logs = counts.reshape(len(run), buckets) @ weights
+                    used = np.flatnonzero(counts)  # every text has some
+                    first = np.searchsorted(used, np.arange(len(run)) * buckets)
+                    logs = np.add.reduceat(weights[used % buckets] * counts[used, None], first)
                     shares = np.exp(logs - logs.max(axis=1, keepdims=True))
                     shares /= shares.sum(axis=1, keepdims=True)
                     best = logs.argmax(axis=1)
