@@ -51,8 +51,8 @@ from assayer.sources.tables import Scratch
 LEAST, SUFFIX_WEIGHT, ENTRY_COST, DEPTH = 4, 4.0, 4.0, 4
 #: Least share of tokens for a value that is shipped; bits of the filters of grams.
 HEAD, FILTER_BITS = 5e-7, 26
-#: Tokens a task counts, and keys it lists, before it sends them on; grams of a block; bytes that are hashed at once.
-HELD, LISTED, BLOCK_GRAMS, HASHED = 1_500_000, 300_000, 1_000_000, 1 << 20
+#: Tokens a task counts, and keys it lists, before it sends them on; grams of a block in counting, tokens in scoring, where few are listed; bytes that are hashed at once.
+HELD, LISTED, BLOCK_GRAMS, BLOCK_TOKENS, HASHED = 1_500_000, 300_000, 1_000_000, 8_000_000, 1 << 20
 
 #: Key of the end of a text, which also stands before each text.
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -402,27 +402,46 @@ def _scored(head: tuple[np.ndarray, ...], others_in: np.ndarray, longest: int, e
     return work
 
 
-def _looked_up(number: tuple, listed: pa.Table, values: pa.Table) -> pa.Table:
-    """Sums per row of the values of a block's keys."""
-    kinds = {"row": pa.int64(), "known": pa.int64(), "base": pa.float64(), "gain": pa.float64()}
-    parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in listed.column("packed")]
-    keys = np.sort(values.column("key").to_numpy().view(np.uint64))
-    order = np.argsort(values.column("key").to_numpy().view(np.uint64))
-    lookup = Lookup(keys)
-    known, base, gain = (values.column(c).to_numpy()[order] for c in ("known", "base", "gain"))
-    sums = []
-    for p in parts:
-        half = len(p) // 2
-        key, row = p[:half].view(np.uint64), p[half:].view(np.int64)
-        at = lookup.find(key)
-        hit = at >= 0
-        at, row = at[hit], row[hit]
-        rows, place = np.unique(row, return_inverse=True)
-        sums.append((rows, *[np.bincount(place, x[at], len(rows)) for x in (known, base, gain)]))
-    if not sums:
-        return pa.table({c: pa.array([], kind) for c, kind in kinds.items()})
-    columns = [np.concatenate(x) for x in zip(*sums)]
-    return pa.table({c: pa.array(x.astype(np.int64) if c == "known" else x, kind) for (c, kind), x in zip(kinds.items(), columns)})
+def _by_row(rows: np.ndarray, known: np.ndarray, base: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One sum for each row."""
+    found, place = np.unique(rows, return_inverse=True)
+    return found, *[np.bincount(place, x, len(found)) for x in (known, base, gain)]
+
+
+def _looked_up(ranges: int):
+    """Sums per row of the values of a block's keys, packed by ranges of rows."""
+
+    def work(block: tuple, listed: pa.Table, values: pa.Table) -> pa.Table:
+        keys = values.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        lookup = Lookup(keys[order])
+        columns = [values.column(c).to_numpy()[order].astype(np.float64) for c in ("known", "base", "gain")]
+        sums = []
+        for part in listed.column("packed"):
+            p = np.frombuffer(part.as_buffer(), np.uint8)
+            key, row = p[:len(p) // 2].view(np.uint64), p[len(p) // 2:].view(np.int64)
+            at = lookup.find(key)
+            hit = at >= 0
+            sums.append(_by_row(row[hit], *[c[at[hit]] for c in columns]))
+        out: dict[str, list] = {"range": [], "packed": []}
+        if sums:
+            found = _by_row(*[np.concatenate(x) for x in zip(*sums)])
+            spread = _mixed(found[0].view(np.uint64))
+            order = np.argsort(spread)
+            found = [x[order] for x in found]
+            for number, a, z in _blocks(spread[order], ranges):
+                out["range"].append(number)
+                out["packed"].append(b"".join(x[a:z].tobytes() for x in found))
+        return pa.table({"range": pa.array(out["range"], pa.int32()), "packed": pa.array(out["packed"], pa.binary())})
+    return work
+
+
+def _summed(packed: pa.Table) -> pa.Table:
+    """The sums of a range of rows over all blocks."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1) for x in packed.column("packed")]
+    kinds = (np.int64, np.float64, np.float64, np.float64)
+    row, known, base, gain = _by_row(*[np.concatenate([p[i].view(kind) for p in parts]) for i, kind in enumerate(kinds)])
+    return pa.table({"row": row, "known": known.astype(np.int64), "base": base, "gain": gain})
 
 
 def score(docs: DataFrame, least: int = LEAST, depth: int | None = DEPTH, head: float = HEAD) -> DataFrame:
@@ -453,13 +472,14 @@ def score(docs: DataFrame, least: int = LEAST, depth: int | None = DEPTH, head:
         order = np.argsort(key)
         arrays = (key[order], *[shipped[c].to_numpy()[order] for c in ("known", "base", "gain")])
         others = values.where(F.col("n") < head * total)
-        blocks = blocks_for(total, BLOCK_GRAMS)
+        blocks = blocks_for(total, BLOCK_TOKENS)
         scored = scratch.keep(rows.select("row", "doc_id", "held_out", "text").mapInArrow(
             _scored(arrays, filter_of(others), len(levels) + 1, at_end, blocks), _SCORED), "scored")
         in_block = F.shiftrightunsigned("key", 64 - (blocks.bit_length() - 1)).cast("int") if blocks > 1 else F.lit(0)
         found = scored.where("block IS NOT NULL").select("block", "packed").groupBy("block").cogroup(
             others.select(in_block.alias("block"), "key", "known", "base", "gain").groupBy("block")).applyInArrow(
-            _looked_up, "row long, known long, base double, gain double")
+            _looked_up(blocks), "range int, packed binary").groupBy("range").applyInArrow(
+            _summed, "row long, known long, base double, gain double")
         texts = scored.where("block IS NULL").drop("block", "packed")
         summed = texts.unionByName(found, allowMissingColumns=True).groupBy("row").agg(
             *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("known", "base", "gain")])

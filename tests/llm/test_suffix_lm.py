@@ -97,7 +97,7 @@ def test_against_plain_tree(spark):
 
 @pytest.mark.parametrize("head", [0.003, 2.0])
 def test_same_scores_whatever_is_shipped(spark, monkeypatch, head):
-    for name in ("BLOCK_GRAMS", "HELD", "HASHED"):
+    for name in ("BLOCK_GRAMS", "BLOCK_TOKENS", "HELD", "LISTED", "HASHED"):
         monkeypatch.setattr(suffix_lm, name, 100)
     rng = random.Random(4)
     check(spark, [(i, " ".join(rng.choice(("a b c d", "b a", "c c b", f"w{i}")) for _ in range(20))) for i in range(60)], head=head)
