@@ -28,7 +28,8 @@ def query(name: str, sql: str | None = None):
 @query("op10_chat_prefix_target")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.read_back(chat.expand(turns.unionByName(chat.control_conversation(spark))), ordered=True)
+    segments = stored(chat.expand(turns.unionByName(chat.control_conversation(spark))), "segments", free=True)
+    return chat.read_examples(chat.training_texts(segments))
 
 
 @query("op5_bpe_merge_replay")

@@ -3,9 +3,11 @@ from __future__ import annotations
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from assayer.llm import chat
 from assayer.llm.chat import (
-    END, START, control_conversation, escape, escape_role, expand, read_back, training_texts,
+    END, START, control_conversation, escape, escape_role, expand, read_back, read_examples, training_texts,
     unescape, unescape_role,
 )
 from assayer.llm.queries import QUERIES
@@ -74,3 +76,30 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
     rows += [tuple(r) for r in control_conversation(spark).collect()]
     assert digests(QUERIES["op10_chat_prefix_target"](spark, sf)) == brute(rows)
+
+
+def test_examples_are_read_back(spark):
+    rows = [(c, i, r, f"{c} {i} {END}\n{START}", 0, "") for c, roles in (
+        (1, ("user", "assistant", "user", "assistant")), (2, ("assistant", "user", "user")), (3, ("user",)),
+        (None, ("system", "assistant"))) for i, r in enumerate(roles)]
+    texts = training_texts(expand(spark.createDataFrame(rows, ROWS).repartition(3)))
+    found = read_examples(texts)
+    assert digests(found) == brute(rows)
+    lengths = {}
+    for r in texts.collect():
+        lengths.setdefault(r.conv_id, []).append(len(r.text))
+    assert {r.conv_id: r.formatted_chars for r in found.collect()} == {c: sum(n) for c, n in lengths.items()}
+    assert {c: len(n) for c, n in lengths.items()} == {1: 2, 2: 2, 3: 1, None: 1}
+    assert read_examples(texts.where("FALSE")).count() == 0
+    with pytest.raises(Exception, match="does not follow the template"):
+        read_examples(texts.withColumn("text", F.concat("text", F.lit("x")))).collect()
+
+
+def test_query_reads_the_examples(spark, monkeypatch):
+    """A reply changed in the spelled-out texts alone changes the digests."""
+    sf = "/root/testdata/sf0.001"
+    told = digests(QUERIES["op10_chat_prefix_target"](spark, sf))
+    monkeypatch.setattr(chat, "training_texts", lambda segments: training_texts(segments).withColumn(
+        "text", F.translate("text", "o", "0")))
+    changed = digests(QUERIES["op10_chat_prefix_target"](spark, sf))
+    assert told.keys() == changed.keys() and all(told[c][1] != changed[c][1] and told[c][0] == changed[c][0] for c in told)
