@@ -7,7 +7,7 @@ evaluates all of it, so cleansing is a narrow, codegen-only pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -136,9 +136,13 @@ SPECS = {
 }
 
 
-def cleanse(bronze: DataFrame, entity: str, as_of: AsOf) -> DataFrame:
-    """Typed rows of one entity; rows without a key are dropped."""
+def cleanse(bronze: DataFrame, entity: str, as_of: AsOf, typed: Mapping[str, Column] | None = None) -> DataFrame:
+    """Typed rows of one entity; rows without a key are dropped.
+
+    ``typed`` names columns of ``bronze`` that hold a value as typed already.
+    """
     spec = SPECS[entity]()
+    columns = {**spec.columns, **(typed or {})}
     valid = F.when(spec.invalid[0], False)
     for condition in spec.invalid[1:]:
         valid = valid.when(condition, False)
@@ -147,11 +151,11 @@ def cleanse(bronze: DataFrame, entity: str, as_of: AsOf) -> DataFrame:
     none = F.array().cast("array<string>")
     errors = F.concat(*[F.when(broken, F.array(F.lit(text))).otherwise(none)
                         for broken, text in spec.messages])
-    key_present = spec.columns[spec.keys[0]].isNotNull()
+    key_present = columns[spec.keys[0]].isNotNull()
     for key in spec.keys[1:]:
-        key_present = key_present & spec.columns[key].isNotNull()
+        key_present = key_present & columns[key].isNotNull()
     return bronze.where(key_present).select(
-        *[c.alias(name) for name, c in spec.columns.items()],
+        *[c.alias(name) for name, c in columns.items()],
         valid.otherwise(True).alias("is_valid"),
         points.cast("decimal(5,2)").alias("dq_score"),
         errors.alias("validation_errors"),
@@ -174,19 +178,34 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest: str,
     return ranked.where("_rank = 1").drop("_rank")
 
 
+def _keyed(bronze: DataFrame, spec: CleanseSpec) -> tuple[DataFrame, dict[str, str]]:
+    """Landed rows with a whole key, and the column that holds each key as typed.
+
+    The first key is taken over as landed, the others are typed beside their text.
+    """
+    columns = {key: f"_key{i}" if i else key for i, key in enumerate(spec.keys)}
+    keyed = bronze.select("*", *[spec.columns[key].alias(c) for key, c in columns.items() if c != key])
+    for c in columns.values():
+        keyed = keyed.where(F.col(c).isNotNull())
+    return keyed, columns
+
+
+def landed_keys(bronze: DataFrame, entity: str) -> DataFrame:
+    """The keys, as typed, that ``silver_from_bronze`` has a row for, each once."""
+    keyed, columns = _keyed(bronze, SPECS[entity]())
+    return keyed.select(*[F.col(c).alias(key) for key, c in columns.items()]).distinct()
+
+
 def silver_from_bronze(bronze: DataFrame, entity: str, as_of: AsOf) -> DataFrame:
     """Newest landed version of every key, cleansed: the input of an upsert.
 
-    Keys are compared after typing, so two texts of one date are one key.
+    Keys are compared after typing, so two texts of one date are one key.  The rows stay
+    partitioned by the typed keys, so a join on these shuffles only its other side.
     """
     spec = SPECS[entity]()
-    typed_keys = {f"_key{i}": spec.columns[k] for i, k in enumerate(spec.keys)}
-    present = [F.col(c).isNotNull() for c in typed_keys]
-    keyed = bronze.withColumns(typed_keys)
-    for condition in present:
-        keyed = keyed.where(condition)
-    # The first key is taken over as landed, so it cannot differ within a group.
+    keyed, columns = _keyed(bronze, spec)
+    # The first key cannot differ within a group.
     settled = ("load_timestamp", "source_file", spec.keys[0])
     tie_break = [c for c in bronze.columns if c not in settled]
-    newest = latest_per_key(keyed, list(typed_keys), "load_timestamp", tie_break)
-    return cleanse(newest.drop(*typed_keys), entity, as_of)
+    newest = latest_per_key(keyed, list(columns.values()), "load_timestamp", tie_break)
+    return cleanse(newest, entity, as_of, {key: F.col(c) for key, c in columns.items()})

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.sources.tables import Scratch, append, literal_rows, read_if_exists
+from assayer.sources.tables import Scratch, append, freeing_shuffles, literal_rows, read_if_exists
 
 BUCKET, MAP_BUCKET = "key_bucket", "map_bucket"
 #: Keys that one task numbers, as a rule; rows that a bucket of a new table holds.
@@ -52,8 +52,10 @@ def numbered(df: DataFrame, keys: Sequence[str], name: str, start_after: int = 0
     numbers do not depend on ``digits``.
     """
     coarse = max(1, digits // 2)
-    rows = df.withColumn("_digest", key_digest(keys)).withColumn("_piece", F.substring("_digest", 1, digits))
-    pieces = rows.groupBy("_piece").agg(F.count(F.lit(1)).alias("_size")).withColumn("_group", F.substring("_piece", 1, coarse))
+    # Keys travel without their digests, which are worked out again behind the shuffle.
+    placed = df.withColumn("_piece", F.substring(key_digest(keys), 1, digits))
+    rows = placed.repartition("_piece").withColumn("_digest", key_digest(keys))
+    pieces = placed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_size")).withColumn("_group", F.substring("_piece", 1, coarse))
     groups = pieces.groupBy("_group").agg(F.sum("_size").alias("_size"))
 
     def before(part: Column | str, order: str) -> Column:
@@ -91,41 +93,58 @@ class KeyMap:
         table = read_if_exists(self.spark, f"{self.path}/allocations")
         return 0 if table is None else table.agg(F.max("last_number")).first()[0] or 0
 
+    def allocated(self) -> int:
+        """How many numbers were ever allocated."""
+        table = read_if_exists(self.spark, f"{self.path}/allocations")
+        return 0 if table is None else table.agg(F.sum(F.col("last_number") - F.col("first_number") + 1)).first()[0] or 0
+
     def buckets(self, rows: int) -> int:
         """Buckets of the map: set by the first load, by its size."""
         table = read_if_exists(self.spark, f"{self.path}/allocations")
         found = None if table is None else table.agg(F.max("buckets")).first()[0]
         return found or max(8, math.ceil(rows / ROWS_PER_BUCKET))
 
-    def extend(self, rows: DataFrame, load_id: str) -> int:
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets of the map that the keys of ``rows`` fall into."""
+        bucket = bucket_of(self.keys, self.buckets(0)).alias(MAP_BUCKET)
+        return sorted(r[0] for r in rows.select(bucket).distinct().collect())
+
+    def extend(self, rows: DataFrame, load_id: str, distinct: bool = False) -> int:
         """Number the keys of ``rows`` that are not yet known; how many there were.
 
-        Rows with a NULL in their key are given none.
+        Rows with a NULL in their key are given none.  ``distinct`` says that ``rows`` is a
+        written table that holds whole keys, each once, which needs no copy.
         """
         with Scratch(self.spark, "keys") as scratch:
-            wanted = scratch.keep(rows.select(*self.keys).dropna().distinct())
+            wanted = rows.select(*self.keys) if distinct else scratch.keep(rows.select(*self.keys).dropna().distinct())
             buckets = self.buckets(wanted.count())
-            wanted = wanted.withColumn(MAP_BUCKET, bucket_of(self.keys, buckets))
-            known = self.known([r[0] for r in wanted.select(MAP_BUCKET).distinct().collect()])
-            if known is not None:
-                wanted = wanted.join(known.select(MAP_BUCKET, *self.keys), [MAP_BUCKET, *self.keys], "left_anti")
-            new = scratch.keep(wanted)
+            known = self.known()
+            if known is None:
+                new = wanted
+            else:
+                known = self.known(self.touched(wanted))
+                new = scratch.keep(wanted.join(known.select(*self.keys), list(self.keys), "left_anti"))
             count = new.count()
             if count:
                 after = self.last()
                 append(literal_rows(self.spark, [(load_id, after + 1, after + count, buckets)], _ALLOCATION),
                        f"{self.path}/allocations")
                 numbers = numbered(new, self.keys, self.name, after, digits_for(count, self.per_task))
-                append(numbers.repartition(MAP_BUCKET), f"{self.path}/keys", MAP_BUCKET)
+                numbers = numbers.withColumn(MAP_BUCKET, bucket_of(self.keys, buckets))
+                with freeing_shuffles(self.spark):
+                    append(numbers.repartition(MAP_BUCKET), f"{self.path}/keys", MAP_BUCKET)
         return count
 
-    def attach(self, rows: DataFrame) -> DataFrame:
+    def attach(self, rows: DataFrame, buckets: Sequence[int] | None = None, after: int = 0) -> DataFrame:
         """``rows`` with their number; NULL for a key that the map lacks.
 
-        Only the buckets of the map that the rows' keys fall into are read.
+        Only the buckets of the map that the rows' keys fall into are read; ``buckets`` spares
+        a pass over the rows to find them.  Only numbers beyond ``after`` are attached.
         """
-        placed = rows.withColumn(MAP_BUCKET, bucket_of(self.keys, self.buckets(0)))
-        known = self.known([r[0] for r in placed.select(MAP_BUCKET).distinct().collect()])
+        known = self.known()
         if known is None:
             return rows.withColumn(self.name, F.lit(None).cast("bigint"))
-        return placed.join(known, [MAP_BUCKET, *self.keys], "left").drop(MAP_BUCKET)
+        known = self.known(self.touched(rows) if buckets is None else buckets)
+        if after:
+            known = known.where(F.col(self.name) > after)
+        return rows.join(known.drop(MAP_BUCKET), list(self.keys), "left")

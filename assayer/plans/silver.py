@@ -6,6 +6,11 @@ others are neither read nor written.  The number of buckets is set when the tabl
 first written and kept with it.  Surrogate keys come from a stored map (`KeyMap`), so a
 key keeps its number through all loads.
 
+A load reads its landed rows twice, first their keys alone, so they must be the same both
+times.  Whole rows are shuffled once, by key: the newest version, its number and the row it
+replaces meet there, and buckets are made of the hash by which Spark shuffles, so each is
+written where its rows are.
+
 A load that breaks off can be run again: it upserts the same values.
 """
 
@@ -16,21 +21,26 @@ from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.clock import AsOf
-from assayer.operators.cleanse import SPECS, silver_from_bronze
+from assayer.operators.cleanse import SPECS, landed_keys, silver_from_bronze
 from assayer.operators.keys import BUCKET, ROWS_PER_BUCKET, KeyMap, bucket_of
 from assayer.operators.upsert import upsert
-from assayer.sources.tables import Scratch, literal_rows, overwrite, read_if_exists, replace_partitions
+from assayer.sources.tables import Scratch, append, freeing_shuffles, literal_rows, overwrite, read_if_exists, replace_partitions
 
 #: Names of the surrogate keys.
 KEY_NAMES = {"customer": "customer_key", "account": "account_key", "transaction": "transaction_key",
              "daily_balance": "balance_key", "fx_rate": "rate_key"}
 
-_LAYOUT = T.StructType([T.StructField("buckets", T.IntegerType())])
+#: Folders of a table up to which its buckets keep to ``rows_per_bucket``; larger tables have larger buckets.
+FOLDERS = 1_000
+
+#: ``hash`` as Spark shuffles; tables first written without this field are laid out by ``bucket_of``.
+_LAYOUT = T.StructType([T.StructField("buckets", T.IntegerType()), T.StructField("hashing", T.StringType())])
+_INSERTED = T.StructType([T.StructField("load_id", T.StringType()), T.StructField("rows_inserted", T.LongType())])
 _LOADED = T.StructType([
     T.StructField("entity", T.StringType()), T.StructField("rows_inserted", T.LongType()),
     T.StructField("rows_updated", T.LongType()), T.StructField("buckets_written", T.LongType())])
@@ -63,13 +73,34 @@ class SilverTable:
         return None if table is None else table.drop(BUCKET)
 
     def buckets(self, rows: int) -> int:
-        """Buckets of the table, fixed by its first load."""
-        layout = read_if_exists(self.spark, f"{self.root}/layout/{self.entity}")
-        if layout is not None:
-            return layout.first()["buckets"]
-        buckets = max(8, math.ceil(rows / self.rows_per_bucket))
-        overwrite(literal_rows(self.spark, [(buckets,)], _LAYOUT), f"{self.root}/layout/{self.entity}")
-        return buckets
+        """Buckets of a new table of so many rows: a multiple or a divisor of the partitions of a shuffle."""
+        wanted = max(8, math.ceil(rows / self.rows_per_bucket))
+        wanted = min(wanted, max(FOLDERS, math.ceil(rows / ROWS_PER_BUCKET)))
+        width = _width(self.spark)
+        if wanted >= width:
+            return math.ceil(wanted / width) * width
+        return next(n for n in range(wanted, width + 1) if width % n == 0)
+
+    def layout(self, rows: int) -> tuple[Column, bool]:
+        """The bucket of a row, fixed by the first load, and whether a shuffle by key keeps a bucket together."""
+        path = f"{self.root}/layout/{self.entity}"
+        stored = read_if_exists(self.spark, path)
+        if stored is None:
+            buckets, hashed = self.buckets(rows), True
+            overwrite(literal_rows(self.spark, [(buckets, "hash")], _LAYOUT), path)
+        else:
+            found = stored.first().asDict()
+            buckets, hashed = found["buckets"], found.get("hashing") == "hash"
+        if not hashed:
+            return bucket_of(self.keys, buckets), False
+        width = _width(self.spark)
+        fits = buckets % width == 0 or width % buckets == 0
+        return F.pmod(F.hash(*self.keys), F.lit(buckets)).cast("int"), fits
+
+    def inserted(self) -> int:
+        """Rows that finished loads have inserted."""
+        loads = read_if_exists(self.spark, f"{self.root}/loads/{self.entity}")
+        return 0 if loads is None else loads.agg(F.sum("rows_inserted")).first()[0] or 0
 
     def touched(self, buckets: list[int]) -> DataFrame | None:
         """The rows in some buckets; the literal list prunes the other folders."""
@@ -82,24 +113,36 @@ class SilverTable:
         New keys are inserted, known ones updated in every column but their load time.
         """
         with Scratch(self.spark, f"load-{self.entity}") as scratch:
-            source = scratch.keep(silver_from_bronze(bronze, self.entity, as_of))
-            rows = source.count()
+            keys = scratch.keep(landed_keys(bronze, self.entity), "keys")
+            rows = keys.count()
             if not rows:
                 return literal_rows(self.spark, [(self.entity, 0, 0, 0)], _LOADED)
-            source = source.withColumn(BUCKET, bucket_of(self.keys, self.buckets(rows)))
-            found = sorted(r[0] for r in source.select(BUCKET).distinct().collect())
-            self.key_map.extend(source, load_id)
-            numbered = self.key_map.attach(source)
+            bucket, fits = self.layout(rows)
+            found = sorted(r[0] for r in keys.select(bucket.alias(BUCKET)).distinct().collect())
+            # Where every number given so far is in the table, only those of new keys are fetched from the map;
+            # after a load that broke off, or over a table without a record of its loads, all are.
+            numbers = self.key_map
+            after = numbers.last() if numbers.allocated() == self.inserted() else 0
+            numbers.extend(keys, load_id, distinct=True)
+            version = numbers.attach(silver_from_bronze(bronze, self.entity, as_of), numbers.touched(keys), after)
             target = self.touched(found)
-            if target is None:
-                known = 0
-                replace_partitions(numbered.repartition(BUCKET), self.path, BUCKET, self.keys)
-            else:
-                known = source.join(target.select(BUCKET, *self.keys), [BUCKET, *self.keys], "left_semi").count()
-                merged = upsert(target.select(*numbered.columns), numbered, [BUCKET, *self.keys])
-                # The target is read and overwritten, so the new version is written elsewhere first.
-                replace_partitions(scratch.keep(merged).repartition(BUCKET), self.path, BUCKET, self.keys)
-        return literal_rows(self.spark, [(self.entity, rows - known, known, len(found))], _LOADED)
+            before = 0
+            if target is not None:
+                before = target.count()
+                version = upsert(target.select(*version.columns), version, self.keys, ("load_timestamp", numbers.name))
+            version = version.withColumn(BUCKET, bucket)
+            # The partitions that are read are replaced only when the whole new version is written.
+            with freeing_shuffles(self.spark):
+                replace_partitions(version if fits else version.repartition(BUCKET), self.path, BUCKET, self.keys)
+            inserted = self.touched(found).count() - before
+            append(literal_rows(self.spark, [(load_id, inserted)], _INSERTED), f"{self.root}/loads/{self.entity}")
+        return literal_rows(self.spark, [(self.entity, inserted, rows - inserted, len(found))], _LOADED)
+
+
+def _width(spark: SparkSession) -> int:
+    """Partitions of a shuffle before adaptive execution joins small ones."""
+    return int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+               or spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def load_silver(spark: SparkSession, landed: Mapping[str, DataFrame], root: str, as_of: AsOf,

@@ -4,9 +4,10 @@ import os
 
 from pyspark.sql import functions as F
 
-from assayer.operators.keys import BUCKET, KeyMap, digits_for, numbered
+from assayer.operators.keys import BUCKET, KeyMap, bucket_of, digits_for, numbered
+from assayer.plans import silver
 from assayer.plans.silver import SilverTable, load_silver
-from assayer.sources.tables import Scratch, append, read_if_exists
+from assayer.sources.tables import Scratch, append, overwrite, read_if_exists
 
 COLUMNS = ("customer_id customer_name email dob phone kyc_status country created_date load_batch_id "
            "load_timestamp source_file").split()
@@ -98,3 +99,52 @@ def test_scratch_tables_go(spark):
         assert two.count() == 4 and read_if_exists(spark, scratch.tables[0][1]) is None
         root = scratch.root
     assert read_if_exists(spark, root) is None
+
+
+def test_a_load_that_broke_off_is_made_up_for(spark, tmp_path):
+    """Keys that were numbered and never written keep their number, whichever load brings them."""
+    table = SilverTable(spark, str(tmp_path), "customer")
+    table.load(landed(spark, ("a", "1")), FIRST, "L1")
+    table.key_map.extend(landed(spark, ("b", "1"), ("c", "1")), "L2")  # what a load does before it breaks off
+    given = {r["customer_id"]: r["customer_key"] for r in table.key_map.known().collect()}
+    assert table.load(landed(spark, ("b", "2"), ("d", "2")), SECOND, "L3").first()[:3] == ("customer", 2, 0)
+    assert table.load(landed(spark, ("a", "3"), ("c", "3")), SECOND, "L4").first()[:3] == ("customer", 1, 1)
+    found = {i: r["customer_key"] for i, r in by_id(table).items()}
+    assert found == given | {"d": 4} and sorted(found.values()) == [1, 2, 3, 4]
+
+
+def test_whole_rows_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """One exchange of landed rows and one of the rows they replace, none to lay them out in buckets."""
+    plans = []
+    write = silver.replace_partitions
+    monkeypatch.setattr(silver, "replace_partitions", lambda df, *rest: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *rest)))
+    table = SilverTable(spark, str(tmp_path), "customer", rows_per_bucket=10)
+    table.load(landed(spark, *[(f"c{i}", "1") for i in range(170)]), FIRST, "L1")
+    table.load(landed(spark, *[(f"c{i}", "2") for i in range(100, 300)], hour=2), SECOND, "L2")
+    wide = [[p for p in plan.split("Exchange hashpartitioning(")[1:] if not p.startswith("key_bucket")] for plan in plans]
+    assert [plan.count("key_bucket") > 0 and "hashpartitioning(key_bucket" not in plan for plan in plans] == [True, True]
+    assert [len(w) for w in wide][0] <= 2 and [len(w) for w in wide][1] <= 3
+    assert all(len(f) == 1 for f in by_folder(table.path).values()) and len(by_folder(table.path)) == 24
+    assert len(by_id(table)) == 300 and sorted(r["customer_key"] for r in by_id(table).values()) == list(range(1, 301))
+
+
+def by_folder(path):
+    found = {}
+    for f in files(path):
+        found.setdefault(os.path.dirname(f), []).append(f)
+    return found
+
+
+def test_folders_do_not_grow_with_the_rows(spark, tmp_path):
+    table = SilverTable(spark, str(tmp_path), "customer", rows_per_bucket=5_000)
+    assert table.buckets(160_000) == 32 and table.buckets(160_000_000) == 1_000
+    assert SilverTable(spark, str(tmp_path), "customer").buckets(10 ** 9) == 2_000
+
+
+def test_tables_of_the_former_layout_stay_in_use(spark, tmp_path):
+    table = SilverTable(spark, str(tmp_path), "customer")
+    overwrite(spark.sql("SELECT 8 AS buckets"), f"{table.root}/layout/customer")
+    table.load(landed(spark, ("a", "1"), ("b", "1")), FIRST, "L1")
+    assert {r[0] for r in table.touched(list(range(8))).select(F.col(BUCKET) - bucket_of(("customer_id",), 8)).collect()} == {0}
+    assert table.load(landed(spark, ("b", "2"), hour=2), SECOND, "L2").first()[:3] == ("customer", 0, 1)
