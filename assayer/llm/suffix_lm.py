@@ -52,7 +52,7 @@ LEAST, SUFFIX_WEIGHT, ENTRY_COST, DEPTH = 4, 4.0, 4.0, 4
 #: Least share of tokens for a value that is shipped; bits of the filters of grams.
 HEAD, FILTER_BITS = 5e-7, 26
 #: Tokens a task counts, and keys it lists, before it sends them on; grams of a block in counting, tokens in scoring, where few are listed; bytes that are hashed at once.
-HELD, LISTED, BLOCK_GRAMS, BLOCK_TOKENS, HASHED = 1_500_000, 300_000, 1_000_000, 8_000_000, 1 << 20
+HELD, LISTED, BLOCK_GRAMS, BLOCK_TOKENS, HASHED = 1_500_000, 300_000, 1_000_000, 2_000_000, 1 << 20
 
 #: Key of the end of a text, which also stands before each text.
 END = np.uint64(0x9E3779B97F4A7C15)

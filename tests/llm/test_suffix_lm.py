@@ -182,3 +182,8 @@ def test_only_the_result_is_left(spark):
     before = set(os.listdir(folder))
     score(with_rows(spark.createDataFrame([(i, "a b c d") for i in range(30)], "doc_id long, text string"))).count()
     assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before] == ["llm-scores"]
+
+
+def test_a_block_holds_two_million_tokens_at_most():
+    """A task holds a block in scoring, as Arrow in the JVM and in Python at once."""
+    assert suffix_lm.blocks_for(70_000_000, suffix_lm.BLOCK_TOKENS) >= 35
