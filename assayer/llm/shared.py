@@ -15,6 +15,9 @@ from assayer.sources.tables import FREES, literal_rows, shared_dir
 #: White space of the word rule: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting for the rows of a batch that a task hands to Python.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("first", T.LongType())])
 
 
@@ -23,23 +26,25 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, free: bool = False, batch: int | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
     The written table survives lost executors, cuts the lineage and has a known
     size, so that Spark broadcasts it only when it is small.  With ``free``, what was
-    shuffled for it is deleted as soon as it is written.
+    shuffled for it is deleted as soon as it is written.  With ``batch``, Python gets
+    so many rows at a time, of which JVM and worker hold a copy each.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREES, None)
-    if free:
-        spark.conf.set(FREES, "true")
+    settings = {**({FREES: "true"} if free else {}), **({BATCH: str(batch)} if batch else {})}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        if free:
-            spark.conf.unset(FREES) if before is None else spark.conf.set(FREES, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,6 +17,8 @@ from assayer.llm.shared import packed, stored
 
 #: Near duplicates share this percentage of their shingles of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Whole documents that a task hands to Python at a time.
+BATCH_ROWS = 1_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,5 +75,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name, batch=BATCH_ROWS)
     return docs

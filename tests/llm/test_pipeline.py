@@ -3,13 +3,14 @@ from __future__ import annotations
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
 from assayer.llm import queries
 from assayer.llm.bpe import load_ranks
 from assayer.llm.exact_dedup import normalise
-from assayer.llm.shared import packed, stored
+from assayer.llm.shared import BATCH, packed, stored
 from tests.llm.test_jaccard import shingle_set
 from tests.llm.test_mixing import shared_out
 
@@ -109,3 +110,13 @@ def test_numbers_stay_when_files_are_split_otherwise(spark, monkeypatch):
     queries.QUERIES["op4_jaccard_orders"](spark, SF)
     first, second = numbers_under_other_splits(spark, seen[0], ("row", "doc_id"))
     assert first == second
+
+
+def test_stages_hand_python_few_documents_at_a_time(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    before = spark.conf.get(BATCH)
+    sent = stored(spark.range(0, 5_000, 1, 1).mapInArrow(sizes, "n long"), "sizes", batch=corpus_pipeline.BATCH_ROWS)
+    assert [r.n for r in sent.collect()] == [corpus_pipeline.BATCH_ROWS] * 5 and spark.conf.get(BATCH) == before
