@@ -25,6 +25,7 @@ import heapq
 import os
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -55,86 +56,93 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.merged: dict[int, int] = {}  # rank of a pair of ids, -1 for none
-
-    def _rank(self, left: int, right: int) -> int:
-        key = left << 32 | right
-        rank = self.merged.get(key)
-        if rank is None:
-            rank = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
-            if len(self.merged) < KNOWN_PAIRS:
-                self.merged[key] = rank
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pairs = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        # Ranks of a token with the one after it, and with the one before it, -1 for none.
+        self.follows: dict[int, dict[int, int]] = {}
+        self.leads: dict[int, dict[int, int]] = {}
+        self.known = 0
+
+    def _rank(self, left: int, right: int, remembered: dict[int, int], key: int) -> int:
+        rank = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
+        if self.known < KNOWN_PAIRS:
+            self.known += 1
+            remembered[key] = rank
         return rank
 
     def encode(self, pieces: Iterable[bytes]) -> list[list[int]]:
         """Ids of every piece; a piece that is a token itself is that token."""
-        pieces = list(pieces)
         out: list[list[int] | None] = []
-        ids: list[int] = []
-        spans: list[tuple[int, int, int]] = []
-        single, ranks = self.single, self.ranks
+        row: list[bytes] = []
+        places: list[int] = []
+        size, ranks = 0, self.ranks
         for k, piece in enumerate(pieces):
             whole = ranks.get(piece)
             if whole is not None:
                 out.append([whole])
                 continue
             out.append(None)
-            start = len(ids)
-            ids.extend([single[b] for b in piece])
-            spans.append((k, start, len(ids)))
-            ids.append(-1)  # keeps neighbouring pieces apart
-            if len(ids) > ROW_BYTES:
-                self._settle(ids, spans, out)
-                ids, spans = [], []
-        self._settle(ids, spans, out)
+            row.append(piece)
+            places.append(k)
+            size += len(piece) + 1
+            if size > ROW_BYTES:
+                self._settle(row, places, out)
+                row, places, size = [], [], 0
+        self._settle(row, places, out)
         return out
 
-    def _settle(self, ids: list[int], spans: list[tuple[int, int, int]], out: list[list[int] | None]) -> None:
+    def _settle(self, row: list[bytes], places: list[int], out: list[list[int] | None]) -> None:
         """Merge one row of pieces and hand every piece its ids."""
-        self._replay(ids)
-        for k, start, end in spans:
+        if not row:
+            return
+        ids = self._replay(row)
+        start = 0
+        for k, piece in zip(places, row):
+            end = start + len(piece)
             out[k] = [t for t in ids[start:end] if t >= 0]
-
-    def _replay(self, ids: list[int]) -> None:
-        """Apply all merges in place; a merged token stands at its first position, -2 elsewhere."""
-        n, rank_of, known = len(ids), self._rank, self.merged.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        last = -1
-        for p, t in enumerate(ids):
-            if last >= 0 and t >= 0:
-                rank = known(last << 32 | t)
-                if rank is None:
-                    rank = rank_of(last, t)
-                if rank >= 0:
-                    index.setdefault(rank, []).append(p - 1)
-            last = t
-        heap = list(index)
-        heapq.heapify(heap)
+            start = end + 1
+
+    def _replay(self, row: list[bytes]) -> list[int]:
+        """Apply all merges to pieces in a row; a merged token stands at its first position, -2 elsewhere.
+
+        Behind each piece stands -1, which keeps neighbours apart, and one more at the end.
+        """
+        data = np.frombuffer(b"\0".join(row) + b"\0\0", np.uint8)
+        ends = np.append(np.cumsum([len(piece) + 1 for piece in row]) - 1, len(data) - 1)
+        tokens = self.single[data]
+        tokens[ends] = -1
+        ranks = self.pairs[data[:-1].astype(np.int64) << 8 | data[1:]]
+        ranks[ends[:-1]] = -1
+        ranks[ends[ends > 0] - 1] = -1
+        found = np.flatnonzero(ranks >= 0)
+        found = found[np.argsort(ranks[found], kind="stable")]
+        heap, first = np.unique(ranks[found], return_index=True)
+        heap = heap.tolist()  # sorted, so a heap
+        index = {rank: part.tolist() for rank, part in zip(heap, np.split(found, first[1:]))}
+        ids, bytes_of, rank_of = tokens.tolist(), self.bytes_of, self._rank
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         while heap:
             rank = heapq.heappop(heap)
             places = index.pop(rank, None)
             if places is None:
                 continue
             places.sort()
+            length, follows, leads = len(bytes_of[rank]), self.follows.setdefault(rank, {}), self.leads.setdefault(rank, {})
             for done, p in enumerate(places):
-                left = ids[p]
-                if left < 0:
+                if ids[p] < 0:
                     continue
                 q = after[p]
-                right = ids[q]
-                if right < 0 or known(left << 32 | right, -1) != rank and rank_of(left, right) != rank:
+                r = after[q]
+                if r - p != length:  # the bytes from here on are the token's, but no longer two tokens
                     continue
                 ids[p], ids[q] = rank, -2
-                r = after[p] = after[q]
-                before[r if r < n else q] = p
+                after[p], before[r] = r, p
                 again = False
-                t = ids[r] if r < n else -1
+                t = ids[r]
                 if t >= 0:
-                    new = known(rank << 32 | t)
+                    new = follows.get(t)
                     if new is None:
-                        new = rank_of(rank, t)
+                        new = rank_of(rank, t, follows, t)
                     if new >= 0:
                         if new in index:
                             index[new].append(p)
@@ -143,10 +151,11 @@ class MergeReplay:
                             heapq.heappush(heap, new)
                         again = new <= rank
                 o = before[p]
-                if o >= 0 and ids[o] >= 0:
-                    new = known(ids[o] << 32 | rank)
+                t = ids[o]  # before the first one lies the last, which is no token
+                if t >= 0:
+                    new = leads.get(t)
                     if new is None:
-                        new = rank_of(ids[o], rank)
+                        new = rank_of(t, rank, leads, t)
                     if new >= 0:
                         if new in index:
                             index[new].append(o)
@@ -158,6 +167,7 @@ class MergeReplay:
                     index.setdefault(rank, []).extend(places[done + 1:])
                     heapq.heappush(heap, rank)
                     break
+        return ids
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -167,21 +177,23 @@ def _digests(ranks: dict[bytes, int], pattern: str):
     """Worker: tokens, digest of the ids and digest of the decoded bytes of every text."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, pieces_of = MergeReplay(ranks), regex.compile(pattern).findall
-        known: dict[str, tuple[int, str, bytes]] = {}
+        ids_of: dict[str, str] = {}
+        bytes_of: dict[str, bytes] = {}
         for batch in batches:
             for part in slices(batch, "text", DIGEST_CHARS):
                 split = [pieces_of(t or "") for t in part.column("text").to_pylist()]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                new = list({w for words in split for w in words if w not in known})
+                if len(ids_of) > REMEMBERED:
+                    ids_of.clear()
+                    bytes_of.clear()
+                new = list(set().union(*split).difference(ids_of))
                 for word, ids in zip(new, replay.encode([w.encode() for w in new])):
-                    known[word] = (len(ids), " ".join(map(str, ids)), replay.decode(ids))
+                    ids_of[word], bytes_of[word] = " ".join(map(str, ids)), replay.decode(ids)
                 counts, ids_sha, text_sha = [], [], []
                 for words in split:
-                    found = [known[w] for w in words]
-                    counts.append(sum([x[0] for x in found]))
-                    ids_sha.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
+                    listed = " ".join(map(ids_of.__getitem__, words))
+                    counts.append(listed.count(" ") + 1 if words else 0)
+                    ids_sha.append(hashlib.sha256(listed.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(b"".join(map(bytes_of.__getitem__, words))).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha),
                      pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

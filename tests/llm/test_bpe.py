@@ -68,3 +68,20 @@ def test_large_rank_file_is_refused(tmp_path, monkeypatch):
     (tmp_path / "ranks").write_text("YQ== 0\n")
     with pytest.raises(ValueError):
         load_ranks(str(tmp_path / "ranks"))
+
+
+def test_pairs_of_bytes_come_from_a_table(monkeypatch):
+    asked = []
+    monkeypatch.setattr(MergeReplay, "_rank", lambda self, *a: asked.append(a) or -1)
+    assert MergeReplay(SINGLE | {b"ab": 300}).encode([b"cdcd", b"xab", b""]) == [[99, 100, 99, 100], [120, 300], []]
+    assert len(asked) == 1  # x with ab
+
+
+def test_without_room_to_remember_pairs(monkeypatch):
+    from assayer.llm import bpe
+
+    monkeypatch.setattr(bpe, "KNOWN_PAIRS", 0)
+    monkeypatch.setattr(bpe, "ROW_BYTES", 30)
+    texts = ["aaaaaaa", "aabcabcab", "cabcaabaab", "zab"] * 5
+    encoding = tiktoken.Encoding("odd", pat_str=r"[a-z]+", mergeable_ranks=ODD, special_tokens={})
+    assert MergeReplay(ODD).encode([t.encode() for t in texts]) == [encoding.encode_ordinary(t) for t in texts]
