@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm.bpe import slices
 from assayer.llm.shared import by_value, stored
+from assayer.sources.tables import freeing_shuffles
 
 BLOCK_BYTES, KEY_BYTES, MAX_SHARED = 1024, 8, 10_000
 
@@ -126,7 +127,8 @@ def identities(docs: DataFrame, block: int = BLOCK_BYTES, width: int = KEY_BYTES
                limit: int = MAX_SHARED) -> DataFrame:
     """``row, doc_id, n_blocks, name, text_sha256`` from ``row, doc_id, text``."""
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranks, width = shared_ranks(rows.select("text"), block, width, limit)
+    with freeing_shuffles(docs.sparkSession):
+        ranks, width = shared_ranks(rows.select("text"), block, width, limit)
     return rows.mapInArrow(_identities(ranks, block, width),
                            "row long, doc_id long, n_blocks long, name binary, text_sha256 string")
 
@@ -137,11 +139,11 @@ def dedup(docs: DataFrame, block: int = BLOCK_BYTES, width: int = KEY_BYTES, lim
     A group is counted in the tasks first; its rows meet again only in a join whose
     large partitions Spark can split.
     """
-    named = stored(identities(docs, block, width, limit), "identities")
+    named = stored(identities(docs, block, width, limit), "identities", free=True)
     groups = stored(
         named.groupBy("n_blocks", "name")
         .agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
-        .where("group_size > 1"), "groups")
+        .where("group_size > 1"), "groups", free=True)
     joined = named.join(groups, ["n_blocks", "name"], "left")
     grouped = F.col("group_size").isNotNull()
     return joined.select(

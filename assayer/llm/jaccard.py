@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm.bpe import slices
 from assayer.llm.shared import by_value, stored
+from assayer.sources.tables import Scratch, freeing_shuffles
 
 WORDS, PERCENT = 3, 90
 #: One document in so many is counted for the orders, and so many frequent tokens are kept at most.
@@ -160,10 +161,10 @@ def _verified(percent: int):
     return work
 
 
-def describe(docs: DataFrame, words: int, percent: int, sample_step: int) -> DataFrame:
+def describe(scratch: Scratch, docs: DataFrame, words: int, percent: int, sample_step: int) -> DataFrame:
     """Per row: size and class of its set, prefixes under the three orders."""
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sampled = stored(rows.where(F.pmod(F.xxhash64("row"), F.lit(sample_step)) == 0).select("text")
+    sampled = scratch.keep(rows.where(F.pmod(F.xxhash64("row"), F.lit(sample_step)) == 0).select("text")
                      .mapInArrow(_sampled(words), "token long").groupBy("token").count().where("count > 2"), "frequent")
     # The least count that at most FREQUENT tokens reach.
     least, reached = 1 << 62, 0
@@ -173,36 +174,41 @@ def describe(docs: DataFrame, words: int, percent: int, sample_step: int) -> Dat
             break
         least = r["count"]
     counted = sampled.where(F.col("count") >= least).toPandas()
+    scratch.drop(sampled)
     frequent = counted["token"].to_numpy(np.int64).view(np.uint64)
     ranks = np.minimum(255, 8 * np.log2(counted["count"].to_numpy(float))).astype(np.uint64)
     order = np.argsort(frequent)
     for seed in range(16):
-        found = stored(rows.mapInArrow(
+        found = scratch.keep(rows.mapInArrow(
             _described(frequent[order], ranks[order], words, percent, seed),
             "row long, doc_id long, n int, set binary, class long, first array<int>, second binary, third binary"), "sets")
         twice = found.groupBy("class").agg(F.min("set").alias("x"), F.max("set").alias("y")).where("x <> y")
         if twice.isEmpty():  # no two sets share a class number
             return found
+        scratch.drop(found)
     raise RuntimeError("class numbers keep colliding")
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """``node, label`` with the smallest node of each component, from ``a, b``.
 
     Every node takes the smallest label around it, then the label of that label.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    last = labels = scratch.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
     while True:
         around = (both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near")))
-        lower = stored(labels.join(around, labels["node"] == around["a"]).select(
+        lower = scratch.keep(labels.join(around, labels["node"] == around["a"]).select(
             "node", "label", F.least("label", "near").alias("next")), "lower")
+        scratch.drop(last)
         jump = lower.select(F.col("node").alias("at"), F.col("next").alias("after"))
-        new = stored(lower.join(jump, lower["next"] == jump["at"]).select(
+        last = new = scratch.keep(lower.join(jump, lower["next"] == jump["at"]).select(
             "node", "label", F.least("next", "after").alias("next")), "jumped")
+        scratch.drop(lower)
         done = new.where("label <> next").isEmpty()
         labels = new.select("node", F.col("next").alias("label"))
         if done:
+            scratch.drop(both)
             return labels
 
 
@@ -212,13 +218,13 @@ def _fit(percent: int) -> str:
             f"{100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)")
 
 
-def component_labels(docs: DataFrame, described: DataFrame, words: int, percent: int,
+def component_labels(scratch: Scratch, docs: DataFrame, classes: DataFrame, words: int, percent: int,
                      thin: int = THIN, growth: int = GROWTH) -> DataFrame | None:
     """``node, label`` of the classes that are linked to another one; None if none is."""
-    classes = stored(described.where("n > 0").dropDuplicates(["class"]).drop("doc_id", "set"), "classes")
     placed = classes.select(F.posexplode("first").alias("pos", "token"), "class", "n")
-    several = stored(placed.groupBy("token").count().where("count > 1").select("token"), "tokens")
-    members = stored(placed.join(several, "token"), "members").alias("m")
+    several = scratch.keep(placed.groupBy("token").count().where("count > 1").select("token"), "tokens")
+    members = scratch.keep(placed.join(several, "token"), "members")
+    scratch.drop(several)
     labels, tested, leaders, turn = None, None, 1, 0
     while True:
         rows = members.where(F.pmod(F.xxhash64("token"), F.lit(thin)) == 0) if turn == 0 else members
@@ -227,72 +233,77 @@ def component_labels(docs: DataFrame, described: DataFrame, words: int, percent:
         else:
             rows = rows.join(labels, rows["class"] == labels["node"], "left").select(
                 *[rows[c] for c in ("token", "pos", "class", "n")], F.coalesce("label", "class").alias("label"))
-        rows = stored(rows, "labelled")
-        active = stored(rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        rows = labelled = scratch.keep(rows, "labelled")
+        active = scratch.keep(rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
                         .where("low < high").select("token"), "active")
         if turn and active.isEmpty():
             return labels
         rows = rows.join(active, "token", "left_semi")
         by_digest = W.partitionBy("token").orderBy(F.xxhash64("class", "token"), "class")
-        heads = stored(rows.withColumn("at", F.row_number().over(by_digest)).where(F.col("at") <= leaders).drop("at"), "leaders")
+        heads = scratch.keep(rows.withColumn("at", F.row_number().over(by_digest)).where(F.col("at") <= leaders).drop("at"), "leaders")
         pairs = (rows.alias("x").join(heads.alias("y"), F.expr(
             f"x.token = y.token AND x.label <> y.label AND x.class <> y.class AND {_fit(percent)}"))
             .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = scratch.keep(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if turn:
-            members = stored(rows.join(heads.select("token", "class"), ["token", "class"], "left_anti").select(
+            scratch.drop(members)
+            members = scratch.keep(rows.join(heads.select("token", "class"), ["token", "class"], "left_anti").select(
                 "token", "pos", "class", "n"), "members")
             leaders *= growth
         else:
             leaders = 4
+        scratch.drop(labelled, active, heads)
         turn += 1
-        links = _links(docs, classes, pairs, words, percent)
+        links = _links(scratch, docs, classes, pairs, words, percent)
         if links is not None:
-            labels = _merge(labels, links)
+            labels = _merge(scratch, labels, links)
+            scratch.drop(links)
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame | None:
+def _links(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame | None:
     """The pairs that pass the other orders and whose whole sets are similar."""
     def side(which: str) -> DataFrame:
         return classes.select(F.col("class").alias(which), F.col("second").alias(f"{which}_second"),
                               F.col("third").alias(f"{which}_third"), F.col("row").alias(f"{which}_row"))
 
     several = pairs.join(side("a").drop("a_row"), "a").join(side("b").drop("b_row"), "b")
-    candidates = stored(several.mapInArrow(_share_prefixes, "a long, b long"), "candidates")
+    candidates = scratch.keep(several.mapInArrow(_share_prefixes, "a long, b long"), "candidates")
     ends = candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    needed = stored(classes.select("class", "row").join(ends, "class", "left_semi"), "needed")
+    needed = scratch.keep(classes.select("class", "row").join(ends, "class", "left_semi"), "needed")
     bit = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
     filled = needed.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits")).collect()
     if not filled:
+        scratch.drop(candidates, needed)
         return None
     words_of = np.zeros(FILTER_BITS >> 6, np.uint64)
     words_of[[r["word"] for r in filled]] = np.array([r["bits"] for r in filled], np.int64).view(np.uint64)
     sets = docs.select("row", "text", bit.alias("bit")).mapInArrow(
         _needed_sets(words_of, words), "row long, tokens binary").join(needed, "row").select("class", "tokens")
-    sets = stored(sets, "tokens")
+    sets = scratch.keep(sets, "tokens")
     left = candidates.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("a_tokens")), "a")
     both = left.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("b_tokens")), "b")
-    links = stored(both.mapInArrow(_verified(percent), "a long, b long"), "links")
+    links = scratch.keep(both.mapInArrow(_verified(percent), "a long, b long"), "links")
+    scratch.drop(candidates, needed, sets)
     return None if links.isEmpty() else links
 
 
-def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merge(scratch: Scratch, labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels after more links: the links join components of before."""
     if labels is None:
-        return connected(links)
+        return connected(scratch, links)
     a = labels.select(F.col("node").alias("a"), F.col("label").alias("a_label"))
     b = labels.select(F.col("node").alias("b"), F.col("label").alias("b_label"))
     known = links.join(a, "a", "left").join(b, "b", "left").select(
         F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-    new = connected(known).select(F.col("node").alias("was"), F.col("label").alias("now"))
+    new = connected(scratch, known).select(F.col("node").alias("was"), F.col("label").alias("now"))
     moved = labels.join(new, labels["label"] == new["was"], "left").select("node", F.coalesce("now", "label").alias("label"))
     added = new.join(labels, new["was"] == labels["node"], "left_anti").select(
         F.col("was").alias("node"), F.col("now").alias("label"))
-    return stored(moved.unionByName(added), "merged")
+    return scratch.keep(moved.unionByName(added), "merged")
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sample_step: int = SAMPLE_STEP,
@@ -301,15 +312,19 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, samp
 
     ``group`` numbers the components of documents with words, also where no id names them.
     """
-    described = describe(docs, words, percent, sample_step)
-    labels = component_labels(docs, described, words, percent, thin, growth)
-    rows = described.select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), "class")
-    if labels is not None:
-        rows = rows.join(labels, rows["class"] == labels["node"], "left").withColumn(
-            "class", F.coalesce("label", "class"))
-    rows = stored(rows.select("row", "doc_id", "n_shingles", "class"), "rows")
+    spark = docs.sparkSession
+    with Scratch(spark, "jaccard") as scratch, freeing_shuffles(spark):
+        described = describe(scratch, docs, words, percent, sample_step)
+        rows = scratch.keep(described.select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), "class"), "described")
+        classes = scratch.keep(described.where("n > 0").dropDuplicates(["class"]).drop("doc_id", "set"), "classes")
+        scratch.drop(described)
+        labels = component_labels(scratch, docs, classes, words, percent, thin, growth)
+        if labels is not None:
+            rows = rows.join(labels, rows["class"] == labels["node"], "left").withColumn(
+                "class", F.coalesce("label", "class"))
+        rows = stored(rows.select("row", "doc_id", "n_shingles", "class"), "rows", free=True)
     smallest = stored(rows.where("n_shingles > 0").groupBy("class").agg(
-        F.min("doc_id").alias("smallest"), F.count("*").alias("size")).where("size > 1").drop("size"), "smallest")
+        F.min("doc_id").alias("smallest"), F.count("*").alias("size")).where("size > 1").drop("size"), "smallest", free=True)
     return rows.join(smallest, "class", "left").select(
         "row", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("smallest", "doc_id"))
         .otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("class")).alias("group"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.llm.shared import WORD, packed, stored
+from assayer.llm.shared import WORD, packed, repeated, stored
 
 #: Weights repeat along the sources; rows of a slice that one task sorts.
 WEIGHTS, MAX_REPEAT, SLICE_ROWS, SEED = (5, 2, 1), 3, 50_000, "mix"
@@ -74,11 +74,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX
     rows = stored(
         docs.select("doc_id", "source", size.alias("size"), F.spark_partition_id().alias("part"), *keys)
         .groupBy("doc_id", "source", "size", "part", *keys).agg(F.count("*").alias("n"))
-        .withColumn("class", F.length(F.bin("size"))), "sizes")
+        .withColumn("class", F.length(F.bin("size"))), "sizes", free=True)
     totals = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     wanted = targets(totals, weights, max_repeat)
     classes = stored(rows.groupBy("source", "class").agg(F.sum("n").alias("rows")).select(
-        "source", "class", F.ceil(F.col("rows") / slice_rows).alias("slices")), "classes")
+        "source", "class", F.ceil(F.col("rows") / slice_rows).alias("slices")), "classes", free=True)
     cut = (rows.alias("r").join(classes.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))
                                 & (F.col("r.class") == F.col("c.class")))
            .select("r.*", F.when(F.col("slices") == 1, 0).otherwise(
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX
     offset = (_digest(F.concat(F.lit(f"{seed}|"), F.coalesce("source", F.lit("")))) % 1023 + 0.5) / 1024
     starts = stored(
         starts.alias("s").join(wanted.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")))
-        .select("s.source", "class", "slice", "start", "source_size", "target"), "starts")
+        .select("s.source", "class", "slice", "start", "source_size", "target"), "starts", free=True)
     running = W.partitionBy("source", "class", "slice").orderBy("size", "doc_id", "part", *keys).rowsBetween(
         W.unboundedPreceding, W.currentRow)
     placed = cut.withColumn("upto", F.sum("n").over(running))
@@ -112,5 +112,4 @@ def sampled(docs: DataFrame, **options) -> DataFrame:
     """The rows of a stored table, each as often as the mix takes it."""
     rows = packed(docs)
     needed = rows.select("row", "doc.doc_id", "doc.source", "doc.text")
-    chosen = stored(mix(needed, keys=("row",), **options).where("copies > 0").select("row", "copies"), "chosen")
-    return rows.join(chosen, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+    return repeated(rows, mix(needed, keys=("row",), **options).select("row", "copies"))

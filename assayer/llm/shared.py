@@ -70,6 +70,29 @@ def packed(docs: DataFrame) -> DataFrame:
     return stored(docs.select(F.monotonically_increasing_id().alias("row"), doc), "numbered")
 
 
+#: Neighbouring rows whose counts travel together; with more blocks, documents are shuffled to their counts.
+BLOCK_BITS, MOST_BLOCKS = 12, 8_192
+
+
+def repeated(rows: DataFrame, counts: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """The documents of :func:`packed`, each as often as ``row, copies`` says, which has every row once.
+
+    Counts are sent to the documents, two bytes for each, so that no text moves.
+    """
+    block, at = F.shiftrightunsigned("row", BLOCK_BITS), F.col("row").bitwiseAND(F.lit(2 ** BLOCK_BITS - 1)).cast("int")
+    listed = F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col("copies").cast("short").alias("copies"))))["copies"]
+    whole = F.when(F.size(listed) == F.max(at) + 1, listed).otherwise(F.raise_error(F.lit("rows without a count")))
+    blocks = stored(counts.groupBy(block.alias("block")).agg(whole.alias("copies")), "copies", free=True)
+    if blocks.limit(most_blocks + 1).count() > most_blocks:
+        each = blocks.select("block", F.posexplode("copies").alias("at", "copies")).where("copies > 0").select(
+            (F.shiftleft("block", BLOCK_BITS) + F.col("at")).alias("row"), "copies")
+        taken = rows.join(each, "row").select("doc", "copies")
+    else:
+        taken = rows.join(F.broadcast(blocks), block == F.col("block")).select(
+            "doc", F.element_at("copies", at + 1).alias("copies")).where("copies > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
+
+
 def fold(doc_id: Column) -> Column:
     """``crc32(doc_id as text) mod 5``; NULL for a NULL id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))

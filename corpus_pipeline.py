@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import bpe, exact_dedup, jaccard, langid, mixing
-from assayer.llm.shared import packed, stored
+from assayer.llm.shared import packed, repeated, stored
 
 #: Near duplicates share this percentage of their shingles of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -29,18 +29,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     rows = packed(docs)
-    return without(rows, exact_dedup.dedup(rows.select("row", "doc.doc_id", "doc.text")).where(~F.col("kept")))
+    found = exact_dedup.dedup(rows.select("row", "doc.doc_id", "doc.text"))
+    return repeated(rows, found.select("row", F.col("kept").cast("int").alias("copies")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar shingle sets one stays, that with the smallest id."""
     rows = packed(docs)
     found = jaccard.components(rows.select("row", "doc.doc_id", "doc.text"), NEAR_WORDS, NEAR_PERCENT)
-    grouped = stored(found.where("n_shingles > 0"), "near")
-    stays = stored(grouped.groupBy("group").agg(
+    grouped = stored(found.select("row", "doc_id", "group"), "near", free=True)
+    stays = stored(grouped.where("group IS NOT NULL").groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("size"))
-        .where("size > 1"), "stays")
-    return without(rows, grouped.join(stays, "group").where(F.col("row") != F.col("first.row")))
+        .where("size > 1"), "stays", free=True)
+    goes = F.coalesce(F.col("row") != F.col("first.row"), F.lit(False))
+    return repeated(rows, grouped.join(stays, "group", "left").select("row", F.when(goes, 0).otherwise(1).alias("copies")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +56,6 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, ranks, public_tokenizers.PATTERN)
 
 
-def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents but those whose row is dropped."""
-    gone = stored(dropped.select("row"), "dropped")
-    return rows.join(gone, "row", "left_anti").select("doc.*")
-
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import public_tokenizers
@@ -10,7 +11,8 @@ import corpus_pipeline
 from assayer.llm import queries
 from assayer.llm.bpe import load_ranks
 from assayer.llm.exact_dedup import normalise
-from assayer.llm.shared import BATCH, packed, stored
+from assayer.llm.shared import BATCH, packed, repeated, stored
+from assayer.sources.tables import shared_dir
 from tests.llm.test_jaccard import shingle_set
 from tests.llm.test_mixing import shared_out
 
@@ -120,3 +122,27 @@ def test_stages_hand_python_few_documents_at_a_time(spark):
     before = spark.conf.get(BATCH)
     sent = stored(spark.range(0, 5_000, 1, 1).mapInArrow(sizes, "n long"), "sizes", batch=corpus_pipeline.BATCH_ROWS)
     assert [r.n for r in sent.collect()] == [corpus_pipeline.BATCH_ROWS] * 5 and spark.conf.get(BATCH) == before
+
+
+def test_documents_are_not_shuffled_to_their_counts(spark):
+    docs = stored(spark.range(10_000).selectExpr("id AS doc_id", "repeat(string(id), 50) AS text").repartition(3), "docs")
+    rows = packed(docs)
+    counts = stored(rows.selectExpr("row", "doc.doc_id", "cast(doc.doc_id % 4 AS int) AS copies"), "counts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = repeated(rows, counts), repeated(rows, counts, most_blocks=0)
+        assert "Exchange hash" not in few._jdf.queryExecution().executedPlan().toString()
+        for out in (few, many):
+            assert Counter(r.doc_id for r in out.select("doc_id").collect()) == Counter({i: i % 4 for i in range(10_000) if i % 4})
+            assert out.columns == docs.columns and out.where("text <> repeat(string(doc_id), 50)").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_join_leaves_two_small_tables(spark):
+    rows = packed(spark.read.parquet(f"{SF}/documents.parquet"))
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = corpus_pipeline.jaccard.components(rows.select("row", "doc.doc_id", "doc.text"), 5, 80)
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["llm-rows", "llm-smallest"]
+    assert found.count() == rows.count()
