@@ -317,6 +317,7 @@ def grow(scratch: Scratch, training: DataFrame, words: DataFrame, total: int, vo
             shorter.where("gain IS NOT NULL").select("key", "n", "gain").unionAll(
                 states.select(F.col("context").alias("key"), F.col("seen").alias("n"), F.log10("rest").alias("gain"))), "gains"))
         scratch.drop(entries, kept, states)
+    scratch.drop(shorter)
     return found
 
 
@@ -346,6 +347,20 @@ class Lookup:
         return out
 
 
+def listing(key: np.ndarray, row: np.ndarray) -> bytes:
+    """Keys and their rows; rows as distances from the smallest, in as few bytes as these need."""
+    low = row.min()
+    away = row - low
+    return np.array([len(key), low], np.int64).tobytes() + key.tobytes() + away.astype(np.min_scalar_type(int(away.max()))).tobytes()
+
+
+def listed_keys(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and rows of a listing."""
+    count, low = packed[:16].view(np.int64)
+    key, away = packed[16:16 + 8 * count].view(np.uint64), packed[16 + 8 * count:]
+    return key, away.view(f"u{len(away) // count}").astype(np.int64) + low
+
+
 _SCORED = ("block int, packed binary, row long, doc_id long, held_out boolean, n_tokens long, known long, base double, gain double")
 _SCORED_ARROW = pa.schema([("block", pa.int32()), ("packed", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
                            ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())])
@@ -367,7 +382,7 @@ def _scored(head: tuple[np.ndarray, ...], others_in: np.ndarray, longest: int, e
             key, row = key[order], row[order]
             found = _blocks(key, blocks)
             yield pa.RecordBatch.from_pydict(
-                {"block": [b for b, _, _ in found], "packed": [key[a:z].tobytes() + row[a:z].tobytes() for _, a, z in found],
+                {"block": [b for b, _, _ in found], "packed": [listing(key[a:z], row[a:z]) for _, a, z in found],
                  **{f.name: [None] * len(found) for f in _SCORED_ARROW if f.name not in ("block", "packed")}}, _SCORED_ARROW)
 
         for batch in batches:
@@ -418,8 +433,7 @@ def _looked_up(ranges: int):
         columns = [values.column(c).to_numpy()[order].astype(np.float64) for c in ("known", "base", "gain")]
         sums = []
         for part in listed.column("packed"):
-            p = np.frombuffer(part.as_buffer(), np.uint8)
-            key, row = p[:len(p) // 2].view(np.uint64), p[len(p) // 2:].view(np.int64)
+            key, row = listed_keys(np.frombuffer(part.as_buffer(), np.uint8))
             at = lookup.find(key)
             hit = at >= 0
             sums.append(_by_row(row[hit], *[c[at[hit]] for c in columns]))
@@ -467,6 +481,7 @@ def score(docs: DataFrame, least: int = LEAST, depth: int | None = DEPTH, head:
             F.max("n").alias("n"), F.max("known").alias("known"), F.max("base").alias("base"), F.sum("gain").alias("gain")), "values")
         ends = words.where(F.col("key") == end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         at_end = (1 if ends else 0, float(np.log10((ends + 0.5) / below)) - unknown if ends else 0.0)
+        scratch.drop(words, *levels)  # the values have all of it
         shipped = values.where(F.col("n") >= head * total).select("key", "known", "base", "gain").toArrow()
         key = shipped["key"].to_numpy().view(np.uint64)
         order = np.argsort(key)

@@ -187,3 +187,32 @@ def test_only_the_result_is_left(spark):
 def test_a_block_holds_two_million_tokens_at_most():
     """A task holds a block in scoring, as Arrow in the JVM and in Python at once."""
     assert suffix_lm.blocks_for(70_000_000, suffix_lm.BLOCK_TOKENS) >= 35
+
+
+def test_listings_are_small_and_exact():
+    rng = np.random.default_rng(2)
+    key = rng.integers(0, 2 ** 64 - 1, 1000, np.uint64)
+    for spread in (1, 5_000, 10 ** 6, 2 ** 40):
+        row = rng.integers(0, spread, 1000) + (7 << 33)
+        packed = suffix_lm.listing(key, row)
+        back = suffix_lm.listed_keys(np.frombuffer(packed, np.uint8))
+        assert (back[0] == key).all() and (back[1] == row).all()
+        if spread == 5_000:  # as many neighbouring texts as a task lists at a time
+            assert len(packed) <= 10 * 1000 + 16
+
+
+def test_tables_go_once_the_values_have_them(spark, monkeypatch):
+    dropped, seen = [], []
+    keep, drop = suffix_lm.Scratch.keep, suffix_lm.Scratch.drop
+
+    def kept(self, df, name="table"):
+        out = keep(self, df, name)
+        seen.append((name, out))
+        if name == "scored":
+            assert {n for n, t in seen if not any(t is x for x in dropped)} == {"values", "scored"}
+        return out
+
+    monkeypatch.setattr(suffix_lm.Scratch, "keep", kept)
+    monkeypatch.setattr(suffix_lm.Scratch, "drop", lambda self, *t: dropped.extend(t) or drop(self, *t))
+    df = with_rows(stored(spark.createDataFrame([(i, "a b c d " * 9) for i in range(60)], "doc_id long, text string"), "docs"))
+    assert score(df).count() == 60 and "gains" in [n for n, _ in seen]
