@@ -37,7 +37,7 @@ from assayer.llm.shared import by_value
 #: Largest accepted rank file; a vocabulary does not grow with the corpus.
 MAX_RANK_FILE = 32 << 20
 #: Bytes of text in a slice, here and for the digests; bytes of pieces laid out together; pieces remembered between slices.
-SLICE_CHARS, DIGEST_CHARS, ROW_BYTES, REMEMBERED = 8 << 20, 2 << 20, 1 << 19, 400_000
+SLICE_CHARS, DIGEST_CHARS, ROW_BYTES, REMEMBERED = 8 << 20, 1 << 19, 1 << 19, 400_000
 #: Pairs of ids whose merge a worker remembers; others are looked up again.
 KNOWN_PAIRS = 1_000_000
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +28,26 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+@contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def batches(spark: SparkSession, rows: int):
+    """Python gets so many rows at a time from what is written or collected inside.
+
+    A frame that is written by others later takes the batches of that time.
+    """
+    return _set(spark, {BATCH: str(rows)})
+
+
 def stored(df: DataFrame, name: str, free: bool = False, batch: int | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
@@ -36,15 +58,8 @@ def stored(df: DataFrame, name: str, free: bool = False, batch: int | None = Non
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    settings = {**({FREES: "true"} if free else {}), **({BATCH: str(batch)} if batch else {})}
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
+    with _set(spark, {**({FREES: "true"} if free else {}), **({BATCH: str(batch)} if batch else {})}):
         df.write.parquet(path)
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

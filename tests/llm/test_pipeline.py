@@ -146,3 +146,39 @@ def test_the_join_leaves_two_small_tables(spark):
     found = corpus_pipeline.jaccard.components(rows.select("row", "doc.doc_id", "doc.text"), 5, 80)
     assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["llm-rows", "llm-smallest"]
     assert found.count() == rows.count()
+
+
+def test_no_stage_leaves_python_work_to_the_writer(spark):
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet"), spark.conf.get(BATCH)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert "InArrow" not in out._jdf.queryExecution().optimizedPlan().toString(), name
+        docs = stored(out, name)
+    assert spark.conf.get(BATCH) == before
+
+
+def test_stages_themselves_hand_python_few_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "BATCH_ROWS", 7)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = type(docs).mapInArrow
+
+    def watched(self, work, *a, folder=str(tmp_path)):
+        def seen(batches):
+            import os
+            import uuid
+
+            def noted():
+                for b in batches:
+                    if "text" in b.schema.names:
+                        open(os.path.join(folder, f"{b.num_rows}-{uuid.uuid4().hex}"), "w").close()
+                    yield b
+            return work(noted())
+        return plain(self, seen, *a)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    for name, stage in corpus_pipeline.STAGES:
+        before = set(os.listdir(tmp_path))
+        out = stored(stage(spark, docs, SF), name)
+        sizes = {int(x.split("-")[0]) for x in set(os.listdir(tmp_path)) - before}
+        assert name == "mix_sources" or sizes and max(sizes) == 7, name
+        docs = out
