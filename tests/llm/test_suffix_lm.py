@@ -216,3 +216,41 @@ def test_tables_go_once_the_values_have_them(spark, monkeypatch):
     monkeypatch.setattr(suffix_lm.Scratch, "drop", lambda self, *t: dropped.extend(t) or drop(self, *t))
     df = with_rows(stored(spark.createDataFrame([(i, "a b c d " * 9) for i in range(60)], "doc_id long, text string"), "docs"))
     assert score(df).count() == 60 and "gains" in [n for n, _ in seen]
+
+
+def test_filters_follow_the_size_and_number_of_keys(spark):
+    """A long context is looked for among the few of its length, in a small filter."""
+    rng = np.random.default_rng(3)
+    key = {size: rng.integers(0, 2 ** 64 - 1, count, np.uint64) for size, count in ((1, 60_000), (4, 40))}
+    rows = [(size, k) for size, keys in key.items() for k in keys.view(np.int64).tolist()]
+    found = suffix_lm.filters_of(spark.createDataFrame(rows, "size int, key long").repartition(3))
+    assert set(found) == {1, 4} and len(found[1]) <= 2 ** 14 and len(found[4]) <= 16
+    for size, keys in key.items():
+        assert suffix_lm._passes(found[size], keys).all()
+        assert suffix_lm._passes(found[size], rng.integers(0, 2 ** 64 - 1, 20_000, np.uint64)).mean() < 0.02
+
+
+def test_texts_are_hashed_in_pieces_that_stay_in_cache(monkeypatch):
+    hasher, texts = Hasher(), pa.array(["one two three " * 40_000, None, "four" * 20_000 + " one", ""])
+    stream, owner = hasher.stream(texts)
+    assert len(hasher.power) < 2 ** 17  # the longest word, not the longest text
+    monkeypatch.setattr(suffix_lm, "HASHED", 50)
+    again = Hasher().stream(texts)
+    assert (again[0] == stream).all() and (again[1] == owner).all()
+
+
+def test_sums_are_small_and_exact():
+    rng = np.random.default_rng(4)
+    row = np.sort(np.concatenate([(k << 33) + rng.choice(8_000, 100, replace=False) for k in range(30)]))
+    sums = row, rng.integers(0, 9, len(row)), rng.random(len(row)), -rng.random(len(row))
+    packed = suffix_lm.packed_sums(*sums)
+    assert all((a == b).all() for a, b in zip(suffix_lm.sums_of(np.frombuffer(packed, np.uint8)), sums))
+    assert len(zlib.compress(packed[:12 * len(row)], 1)) < 3 * len(row)
+
+
+def test_same_scores_in_small_slices(spark, monkeypatch):
+    for name in ("BLOCK_GRAMS", "BLOCK_TOKENS", "HELD", "LISTED", "TEXTS"):
+        monkeypatch.setattr(suffix_lm, name, 100)
+    monkeypatch.setattr(suffix_lm, "PART", 2)
+    rng = random.Random(8)
+    check(spark, [(i, " ".join(rng.choice(("a b c d", "b a", "c c b", f"w{i}")) for _ in range(20))) for i in range(60)], head=0.01)
